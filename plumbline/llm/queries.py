@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP9_SQL, op9_decontaminate
 from .jaccard_join import OP3_SQL, op3_jaccard_join
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 SQL = {
     "op3_jaccard_join": OP3_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op9_decontaminate": OP9_SQL,
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +40,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names and nothing else, so that no other column can clash: ``only(df, a="long")``."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
+
+
+def append(docs: DataFrame, make, fields: str, text: str = "text") -> DataFrame:
+    """``docs`` with columns that ``make(texts)`` gives for an Arrow column of texts; they replace columns of the same name."""
+    new = T.StructType.fromDDL(fields)
+    drop = {n.lower() for n in new.names}
+    kept = [i for i, n in enumerate(docs.columns) if n.lower() not in drop]
+    at = docs.columns.index(text)
+    names = [docs.columns[i] for i in kept] + new.names
+    schema = T.StructType([docs.schema.fields[i] for i in kept] + new.fields)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(make(batch.column(at))), names)
+
+    return docs.mapInArrow(run, schema)
