@@ -10,7 +10,7 @@ Documents are sets of word shingles. Two link when their Jaccard similarity is a
 2. *Token-group matrix.* Inside a coarse group, sets join finer groups one after the other. A matrix of tokens by
    groups holds each group's token union. A query's overlap with the union bounds its overlap with every member, so
    only groups whose union covers enough of the query are opened; inside, members are compared.
-3. Coarse groups beyond ``GROUP_SETS`` are dealt over several tasks, and the finer groups found there meet in further
+3. Coarse groups beyond ``GROUP_TOKENS`` are dealt over several tasks, and the finer groups found there meet in further
    rounds; sets outside a coarse group's largest class then query every part. No task holds more than one part.
 """
 
@@ -30,8 +30,8 @@ from .textnum import AS_IS, LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams
 
 #: Ranges beyond the pigeonhole bound; sets with more empty ranges than this match on empty ranges too.
 SPARE = 4
-#: Sets of a coarse group that one task compares.
-GROUP_SETS = 1024
+#: Tokens of a coarse group's sets that one task compares at once.
+GROUP_TOKENS = 1 << 18
 #: Rows of signatures gathered before repeats among them are contracted.
 CONTRACT_ROWS = 1 << 19
 _SET_A, _SET_B, _RANGE, _PAIR = (U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -188,7 +188,7 @@ class TokenGroupMatrix:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
-        self.columns: dict[int, list[int]] = {}
+        self.columns: dict[int, int | tuple[int, ...]] = {}
         self.parent: list[int] = []
         self.members: dict[int, list[tuple[int, np.ndarray]]] = {}
 
@@ -209,12 +209,27 @@ class TokenGroupMatrix:
     def qualifying(self, tokens: np.ndarray) -> list[int]:
         """Groups whose token union covers enough of the query: an intersection with a member is no larger."""
         counts: dict[int, int] = {}
-        for t in tokens.tolist():
-            for g in {self.find(g) for g in self.columns.get(t, ())}:
+        for held in map(self.columns.get, tokens.tolist()):
+            if held is None:
+                continue
+            for g in (self.find(held),) if isinstance(held, int) else {self.find(g) for g in held}:
                 counts[g] = counts.get(g, 0) + 1
         need = self.num * len(tokens)
         return [g for g, c in counts.items() if self.den * c >= need]
 
+    def mark(self, g: int, tokens: np.ndarray) -> None:
+        """Put tokens into a group's column; a token's entry is a group, or a tuple of them."""
+        columns = self.columns
+        for t in tokens.tolist():
+            held = columns.get(t)
+            if held is None:
+                columns[t] = g
+            elif isinstance(held, int):
+                if held != g:
+                    columns[t] = (held, g)
+            elif g not in held:
+                columns[t] = (*held, g)
+
     def links(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
         """A (group, member) for each group that holds a link with the query; the first members, which met most others, come first."""
         for g in self.qualifying(tokens):
@@ -236,9 +251,7 @@ class TokenGroupMatrix:
             self.parent.append(g)
             self.members[g] = []
         self.members[g].append((node, tokens))
-        for t in tokens.tolist():
-            if g not in (held := self.columns.setdefault(t, [])):
-                held.append(g)
+        self.mark(g, tokens)
         return [m for _, m in found]
 
     def groups(self) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -287,8 +300,7 @@ def _query_parts(num: int, den: int):
                     if not matrix.parent:
                         matrix.parent, matrix.members = [0], {0: []}
                     matrix.members[0].append((node, values))
-                    for t in values.tolist():
-                        matrix.columns.setdefault(t, [0])
+                    matrix.mark(0, values)
                     continue
                 for other, matrix in by_class.items():
                     if other == label or (min(other, label), max(other, label)) in known:
@@ -302,7 +314,7 @@ def _query_parts(num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_sets: int = GROUP_SETS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Classes of documents linked by similar shingle sets: (doc_id, n_shingles, component_id).
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Words are runs of other than ASCII white space
@@ -323,7 +335,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     to_rep = of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct()
     edges = shared.join(to_rep.select(F.col("doc_id").alias("before"), F.col("rep").alias("ra")), "before", "left").join(to_rep.select(F.col("doc_id").alias("node"), F.col("rep").alias("rb")), "node", "left")
     edges = edges.select(F.coalesce("ra", "before").alias("a"), F.coalesce("rb", "node").alias("b"))
-    links = cut(_verified(named, components(edges), k, num, den, group_sets))
+    n_of = of_doc.groupBy("doc_id").agg(F.max("n").alias("n"))
+    links = cut(_verified(named, components(edges).join(n_of, F.col("node") == F.col("doc_id")).drop("doc_id"), k, num, den, group_tokens))
 
     # Classes of equal sets, and repeated ids with different sets, are links as well.
     repeated = of_doc.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
@@ -334,10 +347,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return sets.join(of_rep, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _verified(docs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, group_sets: int) -> DataFrame:
+def _verified(docs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
     """Links (a, b) that make each class within the coarse groups connected."""
-    sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
-    placed = coarse.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("coarse"), F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / group_sets)).alias("part"), (F.col("sets") > group_sets).alias("split"))
+    coarse = cut(coarse)
+    sizes = coarse.groupBy("component").agg(F.sum("n").alias("tokens"))
+    placed = coarse.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("coarse"), F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / group_tokens)).alias("part"), (F.col("tokens") > group_tokens).alias("split"))
     placed = cut(placed)
     text = docs.join(placed, "doc_id").select("doc_id", "text", "coarse", "part")
     tokens = text.mapInArrow(_token_rows(k), "coarse long, part long, node long, tokens binary")
@@ -348,7 +362,7 @@ def _verified(docs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, gr
     large = cut(placed.where("split").select("coarse").distinct())
     if large.isEmpty():
         return links
-    return links.union(_across(tokens.join(large, "coarse"), cut(local.join(large, "coarse")), num, den, group_sets))
+    return links.union(_across(tokens.join(large, "coarse"), cut(local.join(large, "coarse")), num, den, group_tokens))
 
 
 def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -356,12 +370,12 @@ def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(_local_groups(num, den), "coarse long, node long, root long, hub boolean")
 
 
-def _across(tokens: DataFrame, local: DataFrame, num: int, den: int, group_sets: int) -> DataFrame:
+def _across(tokens: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
     """Links between the parts of coarse groups that one task can't hold."""
     # First the groups' hubs meet, which joins most parts of a class.
     hubs = tokens.join(local.where("hub").select("node", "root"), "node")
-    counted = hubs.groupBy("coarse").agg(F.count(F.lit(1)).alias("hubs"))
-    met = hubs.join(counted, "coarse").select("coarse", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("hubs") / group_sets)).alias("part"), "node", "tokens")
+    counted = hubs.groupBy("coarse").agg(F.sum(F.octet_length("tokens") / 8).alias("n"))
+    met = hubs.join(counted, "coarse").select("coarse", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / group_tokens)).alias("part"), "node", "tokens")
     near = cut(_grouped(met, num, den).where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = near.union(local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
     labels = components(links)
