@@ -125,7 +125,7 @@ def ranges(doc: np.ndarray, tid: np.ndarray, start: np.ndarray, width: int) -> p
     if len(doc):
         new[1:] = (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1]) | (start[1:] > start[:-1] + width)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tid[first]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + width).astype(np.int32))], ["doc_id", "tid", "low", "high"])
 
 
