@@ -4,9 +4,9 @@ Documents are sets of word shingles. Two link when their Jaccard similarity is a
 (sets hold 64-bit hashes) and returns classes of linked documents, not pairs.
 
 1. *Groups of similar documents.* Sets of similar size are cut into ranges of the hash space, so many that linked sets
-   agree on some whole range (pigeonhole: one more range than tokens in which they can differ). Sets that agree on a
-   range fall into one coarse group; a link never leaves its coarse group. Documents that only share a passage
-   disagree in nearly every range, so a common passage alone joins few.
+   agree on ``SPARE + 1`` whole ranges or more (pigeonhole: so many more ranges than tokens in which they can differ).
+   Sets that agree on as many fall into one coarse group; a link never leaves its coarse group. Documents that only
+   share a passage disagree in nearly every range, so a common passage alone joins few.
 2. *Token-group matrix.* Inside a coarse group, sets join finer groups one after the other. A matrix of tokens by
    groups holds each group's token union. A query's overlap with the union bounds its overlap with every member, so
    only groups whose union covers enough of the query are opened; inside, members are compared.
@@ -28,13 +28,15 @@ from .components import components
 from .shared import cut, documents, only
 from .textnum import AS_IS, LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
 
-#: Ranges beyond the pigeonhole bound; sets with more empty ranges than this match on empty ranges too.
-SPARE = 4
+#: Linked sets agree on one more range than this; sets with more empty ranges than this match on empty ranges too.
+SPARE = 8
+#: Sets that agree on a range beyond which it is common: its pairs are not counted, see ``coarse_links``.
+COMMON = 64
 #: Tokens of a coarse group's sets that one task compares at once.
 GROUP_TOKENS = 1 << 18
-#: Rows of signatures gathered before repeats among them are contracted.
-CONTRACT_ROWS = 1 << 19
-_SET_A, _SET_B, _RANGE, _PAIR = (U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+#: Rows of signatures in one Arrow batch.
+BATCH_ROWS = 1 << 18
+_SET_A, _SET_B, _RANGE = (U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
 def size_classes(largest: int, num: int, den: int) -> list[tuple[int, int, int]]:
@@ -99,9 +101,9 @@ def _set_rows(k: int):
     return run
 
 
-def signatures(values: np.ndarray, classes: list[tuple[int, int, int]], own: int) -> list[np.ndarray]:
-    """A set's signatures in its own size class and in the one below, if it can link with a set of that one."""
-    out, n = [], len(values)
+def signatures(values: np.ndarray, classes: list[tuple[int, int, int]], own: int) -> tuple[np.ndarray, int]:
+    """A set's signatures in its own size class and in the one below, if it can link with a set of that one; and how many at least it shares with a set it links with."""
+    out, need, n = [np.zeros(0, dtype=np.uint64)], SPARE + 1, len(values)
     for c in (own, own - 1):
         if c < 0 or n > classes[c][1] or not (ranges := classes[c][2]):
             continue
@@ -109,36 +111,27 @@ def signatures(values: np.ndarray, classes: list[tuple[int, int, int]], own: int
         at = np.concatenate([[0], np.searchsorted(values, edges), [n]])
         names = mix(np.arange(ranges, dtype=np.uint64) * _RANGE + U(c * 2 + 1))
         found, empty = mix(sums(mix(values ^ _SET_B), at) + names), np.diff(at) == 0
-        out.append(found if empty.sum() > SPARE else found[~empty])
-    return out
-
-
-def contract(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each signature, and for each pair of nodes that share one a private signature instead of all the shared ones."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    start = np.ones(len(sig), dtype=bool)
-    start[1:] = sig[1:] != sig[:-1]
-    first = node[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
-    more = ~start & (first != node)
-    pairs = np.unique(np.stack([first[more], node[more]], axis=1), axis=0)
-    private = mix(mix(pairs[:, 0].view(np.uint64) ^ _PAIR) + pairs[:, 1].view(np.uint64))
-    return np.concatenate([sig[start], private, private]), np.concatenate([node[start], pairs[:, 0], pairs[:, 1]])
+        if (n_empty := int(empty.sum())) > SPARE:
+            need = 1
+        else:
+            found, need = found[~empty], min(need, SPARE + 1 - n_empty)
+        out.append(found)
+    return np.concatenate(out), need
 
 
 def _signature_rows(k: int, num: int, den: int):
-    """Rows (sig, node) of batches (doc_id, text); a set that the task has met already gives none."""
+    """Rows (sig, node, need) of batches (doc_id, text); a set that the task has met already gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, lows = size_classes(1 << 12, num, den), None
         met: set[bytes] = set()
-        sigs: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        held = 0
+        held: list[tuple[np.ndarray, int, int]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            s, v = contract(np.concatenate(sigs), np.concatenate(nodes))
-            return pa.RecordBatch.from_arrays([_long(s), pa.array(v)], ["sig", "node"])
+            sizes = [len(s) for s, _, _ in held]
+            node, need = (np.repeat(np.array([h[i] for h in held], dtype=t), sizes) for i, t in ((1, np.int64), (2, np.int32)))
+            return pa.RecordBatch.from_arrays([_long(np.concatenate([h[0] for h in held])), pa.array(node), pa.array(need)], ["sig", "node", "need"])
 
         for batch in batches:
             for block in blocks(batch.column(1), NOT_SPACE, LOWER):
@@ -154,21 +147,46 @@ def _signature_rows(k: int, num: int, den: int):
                     if (name := same[d].tobytes()) in met:
                         continue
                     met.add(name)
-                    for s in signatures(values[at[d] : at[d + 1]], classes, int(own[d])):
-                        sigs.append(s)
-                        nodes.append(np.full(len(s), ids[d], dtype=np.int64))
-                        held += len(s)
+                    found, need = signatures(values[at[d] : at[d + 1]], classes, int(own[d]))
+                    if len(found):
+                        held.append((found, int(ids[d]), need))
+                        size += len(found)
                 if len(met) > 1 << 20:
                     met.clear()
-                if held > CONTRACT_ROWS:
+                if size > BATCH_ROWS:
                     yield out()
-                    sigs, nodes, held = [], [], 0
+                    held, size = [], 0
         if held:
             yield out()
 
     return run
 
 
+def coarse_links(rows: DataFrame, to_rep: DataFrame, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b) such that linked sets are connected through them, from (sig, node, need).
+
+    Two linked sets share ``need`` signatures of either. A signature of more than ``common`` sets would give too many
+    pairs. A set with h such common signatures shares at least need - h others with a set it links with; so pairs
+    are counted over the others alone. Only sets with h >= need could link by common signatures alone: of those, the
+    holders of each common signature are chained.
+    """
+    w = Window.partitionBy("sig").orderBy("node")
+    shared = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)}).where("before <> node OR after <> node").select("sig", "node", "need")
+    # A set stands under its first document from here on.
+    shared = cut(shared).join(to_rep, F.col("node") == F.col("doc_id"), "left").groupBy("sig", F.coalesce("rep", "node").alias("node")).agg(F.min("need").alias("need"))
+    shared = cut(shared)
+    counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("sig", (F.col("sets") > common).alias("common"))
+    shared = cut(shared.join(counts, "sig"))
+    hot = shared.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("h"))
+    shared = shared.join(hot, "node", "left").select("sig", "common", "node", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need"))
+    shared = cut(shared)
+    few = shared.where("NOT common").select("sig", "node", "need")
+    pairs = few.select("sig", F.col("node").alias("a"), F.col("need").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("need").alias("nb")), "sig").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b")
+    chain = shared.where("common AND need <= 0").withColumn("before", F.lag("node").over(w)).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"))
+    return pairs.union(chain)
+
+
 def _token_rows(k: int):
     """Rows (coarse, part, node, tokens) of batches (node, text, coarse, part)."""
 
@@ -329,12 +347,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     of_doc = sets.where("n > 0").join(classes.where("copies > 1"), ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     of_doc = cut(of_doc)
 
-    rows = named.mapInArrow(_signature_rows(k, num, den), "sig long, node long")
-    before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
-    shared = cut(rows.withColumn("before", before).where("before <> node").select("before", "node").distinct())
-    to_rep = of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct()
-    edges = shared.join(to_rep.select(F.col("doc_id").alias("before"), F.col("rep").alias("ra")), "before", "left").join(to_rep.select(F.col("doc_id").alias("node"), F.col("rep").alias("rb")), "node", "left")
-    edges = edges.select(F.coalesce("ra", "before").alias("a"), F.coalesce("rb", "node").alias("b"))
+    rows = named.mapInArrow(_signature_rows(k, num, den), "sig long, node long, need int")
+    edges = coarse_links(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct())
     n_of = of_doc.groupBy("doc_id").agg(F.max("n").alias("n"))
     links = cut(_verified(named, components(edges).join(n_of, F.col("node") == F.col("doc_id")).drop("doc_id"), k, num, den, group_tokens))
 
