@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .jaccard_join import OP3_SQL, op3_jaccard_join
+from .license_scan import op2_license_scan
+from .quality_classifier import op8_quality_classifier
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_decontaminate": op9_decontaminate,
 }
 
