@@ -8,6 +8,7 @@ from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .license_scan import op2_license_scan
 from .mixing import op1_mix_sources
 from .quality_classifier import op8_quality_classifier
+from .quality_rules import OP10_SQL, op10_quality_rules
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
@@ -28,4 +30,5 @@ SQL = {
     "op6_substring_dedup": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
