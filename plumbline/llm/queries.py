@@ -7,6 +7,7 @@ from .decontaminate import OP9_SQL, op9_decontaminate
 from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .license_scan import op2_license_scan
 from .mixing import op1_mix_sources
+from .pii import op4_pii
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .substring_dedup import OP6_SQL, op6_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_license_scan": op2_license_scan,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_pii": op4_pii,
     "op5_chat_format": op5_chat_format,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
