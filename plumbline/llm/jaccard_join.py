@@ -33,7 +33,7 @@ SPARE = 8
 #: Sets that agree on a range beyond which it is common: its pairs are not counted, see ``coarse_links``.
 COMMON = 64
 #: Tokens of a coarse group's sets that one task compares at once.
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 20
 #: Rows of signatures in one Arrow batch.
 BATCH_ROWS = 1 << 18
 _SET_A, _SET_B, _RANGE = (U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -163,12 +163,12 @@ def _signature_rows(k: int, num: int, den: int):
 
 
 def coarse_links(rows: DataFrame, to_rep: DataFrame, common: int = COMMON) -> DataFrame:
-    """Pairs (a, b) such that linked sets are connected through them, from (sig, node, need).
+    """Pairs (a, b, chain) such that linked sets are connected through them, from (sig, node, need).
 
     Two linked sets share ``need`` signatures of either. A signature of more than ``common`` sets would give too many
     pairs. A set with h such common signatures shares at least need - h others with a set it links with; so pairs
     are counted over the others alone. Only sets with h >= need could link by common signatures alone: of those, the
-    holders of each common signature are chained.
+    holders of each common signature are chained. So every link is a pair without ``chain``, or one of two chained sets.
     """
     w = Window.partitionBy("sig").orderBy("node")
     shared = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)}).where("before <> node OR after <> node").select("sig", "node", "need")
@@ -182,8 +182,8 @@ def coarse_links(rows: DataFrame, to_rep: DataFrame, common: int = COMMON) -> Da
     shared = cut(shared)
     few = shared.where("NOT common").select("sig", "node", "need")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("need").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("need").alias("nb")), "sig").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b")
-    chain = shared.where("common AND need <= 0").withColumn("before", F.lag("node").over(w)).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b", F.lit(False).alias("chain"))
+    chain = shared.where("common AND need <= 0").withColumn("before", F.lag("node").over(w)).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"), F.lit(True).alias("chain")).distinct()
     return pairs.union(chain)
 
 
@@ -202,78 +202,96 @@ def _token_rows(k: int):
 
 
 class TokenGroupMatrix:
-    """Groups of linked sets with their token unions; a set that comes opens only the groups that may hold a link."""
+    """Tokens by groups of sets, over the vocabulary of a part: a set opens only the groups whose token union covers enough of it.
 
-    def __init__(self, num: int, den: int) -> None:
+    A token of one group has its number in ``owner``; a token of several has a row of bits.
+    """
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int) -> None:
         self.num, self.den = num, den
-        self.columns: dict[int, int | tuple[int, ...]] = {}
-        self.parent: list[int] = []
+        self.vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+        n = len(self.vocabulary)
+        self.owner, self.row = np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        self.bits, self.n_rows = np.zeros((64, 8), dtype=np.uint8), 0
+        self.asked = np.zeros(n, dtype=bool)
+        self.parent = np.zeros(0, dtype=np.int64)
         self.members: dict[int, list[tuple[int, np.ndarray]]] = {}
 
-    def find(self, g: int) -> int:
-        while self.parent[g] != g:
-            self.parent[g] = g = self.parent[self.parent[g]]
+    def codes(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens that the part has."""
+        if not len(self.vocabulary):
+            return np.zeros(0, dtype=np.int64)
+        at = np.searchsorted(self.vocabulary, tokens)
+        at[at == len(self.vocabulary)] = 0
+        return at[self.vocabulary[at] == tokens]
+
+    def group(self) -> int:
+        self.parent = np.append(self.parent, len(self.parent))
+        g = len(self.parent) - 1
+        if g >= 8 * self.bits.shape[1]:
+            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)], axis=1)
+        self.members[g] = []
         return g
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        small, large = (a, b) if len(a) <= len(b) else (b, a)
-        if len(small) * self.den < self.num * len(large):
-            return False
-        at = np.searchsorted(large, small)
-        at[at == len(large)] = 0
-        both = int((large[at] == small).sum())
-        return self.den * both >= self.num * (len(a) + len(b) - both)
-
-    def qualifying(self, tokens: np.ndarray) -> list[int]:
-        """Groups whose token union covers enough of the query: an intersection with a member is no larger."""
-        counts: dict[int, int] = {}
-        for held in map(self.columns.get, tokens.tolist()):
-            if held is None:
-                continue
-            for g in (self.find(held),) if isinstance(held, int) else {self.find(g) for g in held}:
-                counts[g] = counts.get(g, 0) + 1
-        need = self.num * len(tokens)
-        return [g for g, c in counts.items() if self.den * c >= need]
-
-    def mark(self, g: int, tokens: np.ndarray) -> None:
-        """Put tokens into a group's column; a token's entry is a group, or a tuple of them."""
-        columns = self.columns
-        for t in tokens.tolist():
-            held = columns.get(t)
-            if held is None:
-                columns[t] = g
-            elif isinstance(held, int):
-                if held != g:
-                    columns[t] = (held, g)
-            elif g not in held:
-                columns[t] = (*held, g)
-
-    def links(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
-        """A (group, member) for each group that holds a link with the query; the first members, which met most others, come first."""
-        for g in self.qualifying(tokens):
+    def merge(self, g: int, other: int) -> None:
+        self.parent[self.parent == other] = g
+        self.members[g] += self.members.pop(other)
+
+    def put(self, g: int, node: int, codes: np.ndarray) -> None:
+        self.members[g].append((node, codes))
+        own = self.owner[codes]
+        self.owner[codes[own == -1]] = g
+        second = codes[(own >= 0) & (own != g)]
+        if len(second):
+            while self.n_rows + len(second) > len(self.bits):
+                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+            self.row[second] = np.arange(self.n_rows, self.n_rows + len(second))
+            self.n_rows += len(second)
+            before = self.owner[second]
+            self.bits[self.row[second], before >> 3] |= (1 << (before & 7)).astype(np.uint8)
+            self.owner[second] = -2
+        many = codes[self.owner[codes] == -2]
+        self.bits[self.row[many], g >> 3] |= np.uint8(1 << (g & 7))
+
+    def qualifying(self, codes: np.ndarray, size: int) -> list[int]:
+        """Groups whose token union covers enough of a set of ``size`` tokens: its intersection with a member is no larger."""
+        n = len(self.parent)
+        if not n:
+            return []
+        own = self.owner[codes]
+        counts = np.bincount(self.parent[own[own >= 0]], minlength=n)
+        many = self.row[codes[own == -2]]
+        if len(many):
+            total = np.zeros(8 * self.bits.shape[1], dtype=np.int64)
+            for i in range(0, len(many), 4096):
+                total += np.unpackbits(self.bits[many[i : i + 4096]], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            counts = counts + np.bincount(self.parent, weights=total[:n], minlength=n).astype(np.int64)
+        return np.flatnonzero(self.den * counts >= self.num * size).tolist()
+
+    def link(self, g: int, codes: np.ndarray, size: int) -> int | None:
+        """A member of the group that a set links with; the first members, which met most others, come first."""
+        self.asked[codes] = True
+        try:
             for node, other in self.members[g]:
-                if self.linked(tokens, other):
-                    yield g, node
-                    break
-
-    def add(self, node: int, tokens: np.ndarray) -> list[int]:
-        """Put a set into the group it links with, merging groups if several; the member linked with in each."""
-        found = list(self.links(tokens))
-        if found:
-            g, *rest = sorted((g for g, _ in found), key=lambda g: -len(self.members[g]))
-            for other in rest:
-                self.parent[other] = g
-                self.members[g] += self.members.pop(other)
-        else:
-            g = len(self.parent)
-            self.parent.append(g)
-            self.members[g] = []
-        self.members[g].append((node, tokens))
-        self.mark(g, tokens)
-        return [m for _, m in found]
-
-    def groups(self) -> Iterator[list[tuple[int, np.ndarray]]]:
-        yield from self.members.values()
+                small, large = sorted((size, len(other)))
+                if self.den * small < self.num * large:
+                    continue
+                both = int(np.count_nonzero(self.asked[other]))
+                if self.den * both >= self.num * (size + len(other) - both):
+                    return node
+        finally:
+            self.asked[codes] = False
+        return None
+
+    def add(self, node: int, tokens: np.ndarray) -> None:
+        """Put a set of the part into the group it links with, merging groups if several."""
+        codes = self.codes(tokens)
+        found = [g for g in self.qualifying(codes, len(codes)) if self.link(g, codes, len(codes)) is not None]
+        found.sort(key=lambda g: -len(self.members[g]))
+        g = found[0] if found else self.group()
+        for other in found[1:]:
+            self.merge(g, other)
+        self.put(g, node, codes)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -290,14 +308,15 @@ def _parts(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tupl
 
 
 def _local_groups(num: int, den: int):
-    """Rows (coarse, node, root, hub, tokens): the group of each set within its part; tokens of hubs, where parts remain to meet."""
+    """Rows (coarse, node, root, hub): the group of each set within its part, and whether it is the group's first set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches, 2):
-            matrix = TokenGroupMatrix(num, den)
-            for _, _, node, tokens in rows:
-                matrix.add(node, np.frombuffer(tokens, dtype=np.uint64))
-            out = [(rows[0][0], node, root, i == 0) for g in matrix.groups() for root in [min(m[0] for m in g)] for i, (node, _) in enumerate(g)]
+            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+            matrix = TokenGroupMatrix(sets, num, den)
+            for r, tokens in zip(rows, sets, strict=True):
+                matrix.add(r[2], tokens)
+            out = [(rows[0][0], node, root, i == 0) for g in matrix.members.values() for root in [min(m[0] for m in g)] for i, (node, _) in enumerate(g)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["coarse", "node", "root", "hub"])
 
     return run
@@ -308,24 +327,25 @@ def _query_parts(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches, 2):
-            by_class: dict[int, TokenGroupMatrix] = {}
+            sets = [(r[3], r[4], np.frombuffer(r[5], dtype=np.uint64)) for r in rows if not r[2]]
+            matrix = TokenGroupMatrix([t for _, _, t in sets], num, den)
+            labels: dict[int, int] = {}
+            for node, label, tokens in sets:
+                if label not in labels:
+                    labels[label] = matrix.group()
+                matrix.put(labels[label], node, matrix.codes(tokens))
+            of_group = {g: label for label, g in labels.items()}
             found: list[tuple[int, int]] = []
             known: set[tuple[int, int]] = set()
             for _, _, is_query, node, label, tokens in rows:
-                values = np.frombuffer(tokens, dtype=np.uint64)
                 if not is_query:
-                    matrix = by_class.setdefault(label, TokenGroupMatrix(num, den))
-                    if not matrix.parent:
-                        matrix.parent, matrix.members = [0], {0: []}
-                    matrix.members[0].append((node, values))
-                    matrix.mark(0, values)
                     continue
-                for other, matrix in by_class.items():
-                    if other == label or (min(other, label), max(other, label)) in known:
-                        continue
-                    for _, member in matrix.links(values):
+                size, codes = len(tokens) // 8, matrix.codes(np.frombuffer(tokens, dtype=np.uint64))
+                for g in matrix.qualifying(codes, size):
+                    pair = (min(of_group[g], label), max(of_group[g], label))
+                    if of_group[g] != label and pair not in known and (member := matrix.link(g, codes, size)) is not None:
                         found.append((node, member))
-                        known.add((min(other, label), max(other, label)))
+                        known.add(pair)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
@@ -348,9 +368,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     of_doc = cut(of_doc)
 
     rows = named.mapInArrow(_signature_rows(k, num, den), "sig long, node long, need int")
-    edges = coarse_links(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct())
+    pairs = coarse_links(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct())
+    pairs = cut(pairs)
     n_of = of_doc.groupBy("doc_id").agg(F.max("n").alias("n"))
-    links = cut(_verified(named, components(edges).join(n_of, F.col("node") == F.col("doc_id")).drop("doc_id"), k, num, den, group_tokens))
+    links = cut(_verified(named, pairs, components(pairs.select("a", "b")).join(n_of, F.col("node") == F.col("doc_id")).drop("doc_id"), k, num, den, group_tokens))
 
     # Classes of equal sets, and repeated ids with different sets, are links as well.
     repeated = of_doc.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
@@ -361,7 +382,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return sets.join(of_rep, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _verified(docs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
     """Links (a, b) that make each class within the coarse groups connected."""
     coarse = cut(coarse)
     sizes = coarse.groupBy("component").agg(F.sum("n").alias("tokens"))
@@ -376,7 +397,7 @@ def _verified(docs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, gr
     large = cut(placed.where("split").select("coarse").distinct())
     if large.isEmpty():
         return links
-    return links.union(_across(tokens.join(large, "coarse"), cut(local.join(large, "coarse")), num, den, group_tokens))
+    return links.union(_across(tokens.join(large, "coarse"), pairs, cut(local.join(large, "coarse")), num, den, group_tokens))
 
 
 def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -384,7 +405,7 @@ def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(_local_groups(num, den), "coarse long, node long, root long, hub boolean")
 
 
-def _across(tokens: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
+def _across(tokens: DataFrame, pairs: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
     """Links between the parts of coarse groups that one task can't hold."""
     # First the groups' hubs meet, which joins most parts of a class.
     hubs = tokens.join(local.where("hub").select("node", "root"), "node")
@@ -394,12 +415,16 @@ def _across(tokens: DataFrame, local: DataFrame, num: int, den: int, group_token
     links = near.union(local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
     labels = components(links)
     labelled = cut(tokens.join(labels, "node", "left").select("coarse", "part", "node", F.coalesce("component", "node").alias("label"), "tokens"))
-    # Then each set outside a coarse group's largest class queries all parts, whose other classes hold all that it may still link with.
-    counts = labelled.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("sets"))
-    largest = counts.groupBy("coarse").agg(F.max(F.struct("sets", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("coarse", F.col("top.label").alias("top"))
-    parts = labelled.select("coarse", "part").distinct()
-    queries = labelled.join(largest, "coarse").where("label <> top").select("coarse", "node", "label", "tokens").join(parts, "coarse").select("coarse", "part", F.lit(True).alias("is_query"), "node", "label", "tokens")
-    members = labelled.join(largest.select("coarse"), "coarse").select("coarse", "part", F.lit(False).alias("is_query"), "node", "label", "tokens")
+    # Then sets of different classes meet, by the pairs that may link: one goes to the part of the other. A chained set
+    # may link with any other chained one: those outside their coarse group's largest class go to all its parts.
+    at = labelled.select("coarse", "part", "node", "label")
+    by_pair = pairs.where("NOT chain").join(at.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(at.select(F.col("node").alias("b"), F.col("label").alias("lb"), "coarse", "part"), "b").where("la <> lb").select("coarse", "part", F.col("a").alias("node"))
+    chained = pairs.where("chain").select("a").union(pairs.where("chain").select("b")).distinct().join(at, F.col("a") == F.col("node")).drop("a", "part")
+    largest = at.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("sets")).groupBy("coarse").agg(F.max(F.struct("sets", "label")).alias("top")).select("coarse", F.col("top.label").alias("top"))
+    to_all = chained.join(largest, "coarse").where("label <> top").select("coarse", "node").join(at.select("coarse", "part").distinct(), "coarse").select("coarse", "part", "node")
+    visits = cut(by_pair.union(to_all).distinct())
+    queries = visits.join(labelled.select("node", "label", "tokens"), "node").select("coarse", "part", F.lit(True).alias("is_query"), "node", "label", "tokens")
+    members = labelled.join(visits.select("coarse", "part").distinct(), ["coarse", "part"]).select("coarse", "part", F.lit(False).alias("is_query"), "node", "label", "tokens")
     dealt = members.union(queries).repartition("coarse", "part").sortWithinPartitions("coarse", "part", "is_query", "node")
     far = dealt.mapInArrow(_query_parts(num, den), "a long, b long")
     return near.union(far)
