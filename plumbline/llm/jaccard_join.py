@@ -31,7 +31,7 @@ from .textnum import AS_IS, LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams
 #: Linked sets agree on one more range than this; sets with more empty ranges than this match on empty ranges too.
 SPARE = 8
 #: Sets that agree on a range beyond which it is common: its pairs are not counted, see ``coarse_links``.
-COMMON = 64
+COMMON = 8
 #: Tokens of a coarse group's sets that one task compares at once.
 GROUP_TOKENS = 1 << 20
 #: Rows of signatures in one Arrow batch.
@@ -173,13 +173,11 @@ def coarse_links(rows: DataFrame, to_rep: DataFrame, common: int = COMMON) -> Da
     w = Window.partitionBy("sig").orderBy("node")
     shared = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)}).where("before <> node OR after <> node").select("sig", "node", "need")
     # A set stands under its first document from here on.
-    shared = cut(shared).join(to_rep, F.col("node") == F.col("doc_id"), "left").groupBy("sig", F.coalesce("rep", "node").alias("node")).agg(F.min("need").alias("need"))
-    shared = cut(shared)
-    counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("sig", (F.col("sets") > common).alias("common"))
-    shared = cut(shared.join(counts, "sig"))
+    shared = shared.join(to_rep, F.col("node") == F.col("doc_id"), "left").groupBy("sig", F.coalesce("rep", "node").alias("node")).agg(F.min("need").alias("need"))
+    sets = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    shared = cut(shared.withColumn("sets", sets).where("sets > 1").select("sig", "node", "need", (F.col("sets") > common).alias("common")))
     hot = shared.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("h"))
     shared = shared.join(hot, "node", "left").select("sig", "common", "node", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need"))
-    shared = cut(shared)
     few = shared.where("NOT common").select("sig", "node", "need")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("need").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("need").alias("nb")), "sig").where("a < b")
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b", F.lit(False).alias("chain"))
