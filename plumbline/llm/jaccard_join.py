@@ -5,8 +5,9 @@ Documents are sets of word shingles. Two link when their Jaccard similarity is a
 
 1. *Groups of similar documents.* Sets of similar size are cut into ranges of the hash space, so many that linked sets
    agree on ``SPARE + 1`` whole ranges or more (pigeonhole: so many more ranges than tokens in which they can differ).
-   Sets that agree on as many fall into one coarse group; a link never leaves its coarse group. Documents that only
-   share a passage disagree in nearly every range, so a common passage alone joins few.
+   Sets that agree on a range and have the same smallest token are compared at once; those that link go on as one.
+   Groups of them that agree on enough ranges fall into one coarse group; a link never leaves its coarse group. Documents
+   that only share a passage disagree in nearly every range, so a common passage alone joins few.
 2. *Token-group matrix.* Inside a coarse group, sets join finer groups one after the other. A matrix of tokens by
    groups holds each group's token union. A query's overlap with the union bounds its overlap with every member, so
    only groups whose union covers enough of the query are opened; inside, members are compared.
@@ -31,7 +32,7 @@ from .textnum import AS_IS, LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams
 #: Linked sets agree on one more range than this; sets with more empty ranges than this match on empty ranges too.
 SPARE = 8
 #: Sets that agree on a range beyond which it is common: its pairs are not counted, see ``coarse_links``.
-COMMON = 8
+COMMON = 64
 #: Tokens of a coarse group's sets that one task compares at once.
 GROUP_TOKENS = 1 << 20
 #: Rows of signatures in one Arrow batch.
@@ -88,7 +89,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _set_rows(k: int):
-    """Rows (doc_id, n, h1, h2) of batches (doc_id, text)."""
+    """Rows (doc_id, n, h1, h2, low) of batches (doc_id, text); low is the smallest shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +97,8 @@ def _set_rows(k: int):
                 values, at = shingle_sets(block, k)
                 h1, h2 = (mix(sums(mix(values ^ c), at)) for c in (_SET_A, _SET_B))
                 ids = batch.column(0)[block.rows.start : block.rows.stop]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), _long(h1), _long(h2)], ["doc_id", "n", "h1", "h2"])
+                low = np.append(values, U(0))[np.minimum(at[:-1], len(values))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), _long(h1), _long(h2), _long(low)], ["doc_id", "n", "h1", "h2", "low"])
 
     return run
 
@@ -162,18 +164,22 @@ def _signature_rows(k: int, num: int, den: int):
     return run
 
 
-def coarse_links(rows: DataFrame, to_rep: DataFrame, common: int = COMMON) -> DataFrame:
-    """Pairs (a, b, chain) such that linked sets are connected through them, from (sig, node, need).
-
-    Two linked sets share ``need`` signatures of either. A signature of more than ``common`` sets would give too many
-    pairs. A set with h such common signatures shares at least need - h others with a set it links with; so pairs
-    are counted over the others alone. Only sets with h >= need could link by common signatures alone: of those, the
-    holders of each common signature are chained. So every link is a pair without ``chain``, or one of two chained sets.
-    """
+def shared_ranges(rows: DataFrame, to_rep: DataFrame) -> DataFrame:
+    """The rows (sig, node, need) whose signature several sets have; a set stands under its first document."""
     w = Window.partitionBy("sig").orderBy("node")
     shared = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)}).where("before <> node OR after <> node").select("sig", "node", "need")
-    # A set stands under its first document from here on.
-    shared = shared.join(to_rep, F.col("node") == F.col("doc_id"), "left").groupBy("sig", F.coalesce("rep", "node").alias("node")).agg(F.min("need").alias("need"))
+    return shared.join(to_rep, F.col("node") == F.col("doc_id"), "left").groupBy("sig", F.coalesce("rep", "node").alias("node")).agg(F.min("need").alias("need"))
+
+
+def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b, chain) of groups such that groups with a link are connected through them, from (sig, node, need) of groups.
+
+    Two linked sets share ``need`` signatures of either, and so do the groups that hold them. A signature of more than
+    ``common`` groups would give too many pairs. A group with h such common signatures shares at least need - h others with
+    a group it links with; so pairs are counted over the others alone. Only groups with h >= need could link by common
+    signatures alone: of those, the holders of each common signature are chained. So every link is within a group, or is of
+    a pair without ``chain``, or of two chained groups.
+    """
     sets = F.count(F.lit(1)).over(Window.partitionBy("sig"))
     shared = cut(shared.withColumn("sets", sets).where("sets > 1").select("sig", "node", "need", (F.col("sets") > common).alias("common")))
     hot = shared.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("h"))
@@ -181,20 +187,20 @@ def coarse_links(rows: DataFrame, to_rep: DataFrame, common: int = COMMON) -> Da
     few = shared.where("NOT common").select("sig", "node", "need")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("need").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("need").alias("nb")), "sig").where("a < b")
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b", F.lit(False).alias("chain"))
-    chain = shared.where("common AND need <= 0").withColumn("before", F.lag("node").over(w)).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"), F.lit(True).alias("chain")).distinct()
+    before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
+    chain = shared.where("common AND need <= 0").withColumn("before", before).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"), F.lit(True).alias("chain")).distinct()
     return pairs.union(chain)
 
 
 def _token_rows(k: int):
-    """Rows (coarse, part, node, tokens) of batches (node, text, coarse, part)."""
+    """Rows (node, tokens) of batches (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1), NOT_SPACE, LOWER):
                 values, at = shingle_sets(block, k)
-                own = batch.slice(block.rows.start, block.rows.stop - block.rows.start)
                 tokens = [values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column(2), own.column(3), own.column(0), pa.array(tokens, type=pa.binary())], ["coarse", "part", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[block.rows.start : block.rows.stop], pa.array(tokens, type=pa.binary())], ["node", "tokens"])
 
     return run
 
@@ -360,16 +366,28 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     docs = only(docs, doc_id="long", text="string")
     named = docs.where("doc_id IS NOT NULL")
-    sets = cut(docs.mapInArrow(_set_rows(k), "doc_id long, n long, h1 long, h2 long"))
+    sets = cut(docs.mapInArrow(_set_rows(k), "doc_id long, n long, h1 long, h2 long, low long"))
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     of_doc = sets.where("n > 0").join(classes.where("copies > 1"), ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     of_doc = cut(of_doc)
 
     rows = named.mapInArrow(_signature_rows(k, num, den), "sig long, node long, need int")
-    pairs = coarse_links(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct())
-    pairs = cut(pairs)
-    n_of = of_doc.groupBy("doc_id").agg(F.max("n").alias("n"))
-    links = cut(_verified(named, pairs, components(pairs.select("a", "b")).join(n_of, F.col("node") == F.col("doc_id")).drop("doc_id"), k, num, den, group_tokens))
+    shared = cut(shared_ranges(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct()))
+    of_node = sets.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.min("low").alias("low"))
+    nodes = cut(shared.select("node").distinct().join(of_node, "node"))
+    # A repeated id brings several sets under one node; each is compared, and the classes meet again by the id.
+    text = named.join(nodes.select("node"), F.col("doc_id") == F.col("node")).select("node", "text")
+    tokens = cut(text.mapInArrow(_token_rows(k), "node long, tokens binary"))
+
+    # Sets with the same smallest token first: linked ones mostly have it, and go on as one group.
+    near = _parted(nodes.select("node", "n", F.col("low").alias("coarse")), group_tokens)
+    near = near.join(near.groupBy("coarse", "part").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("coarse", "part"), ["coarse", "part"])
+    first = cut(_grouped(tokens.join(near, "node"), num, den).groupBy("node").agg(F.min("root").alias("root")))
+    groups = nodes.select("node", "n").join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
+    groups = cut(groups)
+    pairs = cut(coarse_links(shared.join(groups.select("node", "group"), "node").groupBy("sig", F.col("group").alias("node")).agg(F.min("need").alias("need"))))
+    links = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = cut(links.union(_verified(tokens, groups, pairs, num, den, group_tokens)))
 
     # Classes of equal sets, and repeated ids with different sets, are links as well.
     repeated = of_doc.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
@@ -380,50 +398,54 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return sets.join(of_rep, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, coarse: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
+def _parted(nodes: DataFrame, group_tokens: int) -> DataFrame:
+    """(coarse, part, node) of (coarse, node, n): so many parts that each has some ``group_tokens`` tokens at most."""
+    sizes = nodes.groupBy("coarse").agg(F.sum("n").alias("tokens"))
+    return nodes.join(sizes, "coarse").select("coarse", F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / group_tokens)).alias("part"), "node")
+
+
+def _verified(tokens: DataFrame, groups: DataFrame, pairs: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
     """Links (a, b) that make each class within the coarse groups connected."""
-    coarse = cut(coarse)
-    sizes = coarse.groupBy("component").agg(F.sum("n").alias("tokens"))
-    placed = coarse.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("coarse"), F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / group_tokens)).alias("part"), (F.col("tokens") > group_tokens).alias("split"))
-    placed = cut(placed)
-    text = docs.join(placed, "doc_id").select("doc_id", "text", "coarse", "part")
-    tokens = text.mapInArrow(_token_rows(k), "coarse long, part long, node long, tokens binary")
-    # A repeated id brings several sets under one node; each is compared, and the classes meet again by the id.
-    tokens = cut(tokens)
-    local = _grouped(tokens, num, den)
+    coarse = components(pairs.select("a", "b")).select(F.col("node").alias("group"), F.col("component").alias("coarse"))
+    placed = cut(_parted(groups.join(coarse, "group").select("coarse", "node", "n"), group_tokens))
+    local = cut(_grouped(tokens.join(placed, "node"), num, den))
     links = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    large = cut(placed.where("split").select("coarse").distinct())
+    large = placed.where("part > 0").select("coarse").distinct()
+    large = cut(large)
     if large.isEmpty():
         return links
-    return links.union(_across(tokens.join(large, "coarse"), pairs, cut(local.join(large, "coarse")), num, den, group_tokens))
+    placed = placed.join(large, "coarse").join(groups.select("node", "group"), "node")
+    return links.union(_across(tokens, cut(placed), pairs, cut(local.join(large, "coarse")), num, den, group_tokens))
 
 
 def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
-    dealt = tokens.repartition("coarse", "part").sortWithinPartitions("coarse", "part", "node")
+    dealt = tokens.select("coarse", "part", "node", "tokens").repartition("coarse", "part").sortWithinPartitions("coarse", "part", "node")
     return dealt.mapInArrow(_local_groups(num, den), "coarse long, node long, root long, hub boolean")
 
 
-def _across(tokens: DataFrame, pairs: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
-    """Links between the parts of coarse groups that one task can't hold."""
-    # First the groups' hubs meet, which joins most parts of a class.
-    hubs = tokens.join(local.where("hub").select("node", "root"), "node")
-    counted = hubs.groupBy("coarse").agg(F.sum(F.octet_length("tokens") / 8).alias("n"))
-    met = hubs.join(counted, "coarse").select("coarse", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / group_tokens)).alias("part"), "node", "tokens")
-    near = cut(_grouped(met, num, den).where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = near.union(local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    labels = components(links)
-    labelled = cut(tokens.join(labels, "node", "left").select("coarse", "part", "node", F.coalesce("component", "node").alias("label"), "tokens"))
-    # Then sets of different classes meet, by the pairs that may link: one goes to the part of the other. A chained set
-    # may link with any other chained one: those outside their coarse group's largest class go to all its parts.
-    at = labelled.select("coarse", "part", "node", "label")
-    by_pair = pairs.where("NOT chain").join(at.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(at.select(F.col("node").alias("b"), F.col("label").alias("lb"), "coarse", "part"), "b").where("la <> lb").select("coarse", "part", F.col("a").alias("node"))
-    chained = pairs.where("chain").select("a").union(pairs.where("chain").select("b")).distinct().join(at, F.col("a") == F.col("node")).drop("a", "part")
-    largest = at.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("sets")).groupBy("coarse").agg(F.max(F.struct("sets", "label")).alias("top")).select("coarse", F.col("top.label").alias("top"))
-    to_all = chained.join(largest, "coarse").where("label <> top").select("coarse", "node").join(at.select("coarse", "part").distinct(), "coarse").select("coarse", "part", "node")
+def _across(tokens: DataFrame, placed: DataFrame, pairs: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
+    """Links between the parts of coarse groups that one task can't hold; ``placed`` is (coarse, part, node, group) and ``local`` what each part has found."""
+    known = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).union(placed.where("node <> group").select("node", "group"))
+    labels = cut(components(known))
+    # First one set of each class found so far meets the others', which joins most parts of a class.
+    labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    hubs = labelled.where("node = label").join(tokens.select("node", (F.octet_length("tokens") / 8).alias("n")), "node").select("coarse", "node", "n")
+    near = cut(_grouped(tokens.join(_parted(hubs, group_tokens), "node"), num, den).where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    labels = components(known.union(near))
+    labelled = cut(placed.join(labels, "node", "left").select("coarse", "part", "node", "group", F.coalesce("component", "node").alias("label")))
+    # Then groups of different classes meet, by the pairs that may link: one's sets go to the parts of the other. A chained
+    # group may link with any other chained one: those outside their coarse group's largest class go to all its parts.
+    of_group = labelled.select("group", "label").distinct()
+    apart = pairs.where("NOT chain").join(of_group.select(F.col("group").alias("a"), F.col("label").alias("la")), "a").join(of_group.select(F.col("group").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b").distinct()
+    where = labelled.select(F.col("group").alias("b"), "coarse", "part").distinct()
+    by_pair = apart.join(where, "b").join(labelled.select(F.col("group").alias("a"), "node"), "a").select("coarse", "part", "node")
+    chained = pairs.where("chain").select("a").union(pairs.where("chain").select("b")).distinct().join(labelled, F.col("a") == F.col("group")).select("coarse", "node", "label")
+    largest = labelled.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("sets")).groupBy("coarse").agg(F.max(F.struct("sets", "label")).alias("top")).select("coarse", F.col("top.label").alias("top"))
+    to_all = chained.join(largest, "coarse").where("label <> top").select("coarse", "node").join(labelled.select("coarse", "part").distinct(), "coarse").select("coarse", "part", "node")
     visits = cut(by_pair.union(to_all).distinct())
-    queries = visits.join(labelled.select("node", "label", "tokens"), "node").select("coarse", "part", F.lit(True).alias("is_query"), "node", "label", "tokens")
-    members = labelled.join(visits.select("coarse", "part").distinct(), ["coarse", "part"]).select("coarse", "part", F.lit(False).alias("is_query"), "node", "label", "tokens")
-    dealt = members.union(queries).repartition("coarse", "part").sortWithinPartitions("coarse", "part", "is_query", "node")
+    roles = visits.join(labelled.select("node", "label"), "node").select("coarse", "part", F.lit(True).alias("is_query"), "node", "label")
+    roles = roles.union(labelled.join(visits.select("coarse", "part").distinct(), ["coarse", "part"]).select("coarse", "part", F.lit(False).alias("is_query"), "node", "label"))
+    dealt = roles.join(tokens, "node").select("coarse", "part", "is_query", "node", "label", "tokens").repartition("coarse", "part").sortWithinPartitions("coarse", "part", "is_query", "node")
     far = dealt.mapInArrow(_query_parts(num, den), "a long, b long")
     return near.union(far)
 
