@@ -4,7 +4,7 @@ Documents are sets of word shingles. Two link when their Jaccard similarity is a
 (sets hold 64-bit hashes) and returns classes of linked documents, not pairs.
 
 1. *Groups of similar documents.* Sets of similar size are cut into ranges of the hash space, so many that linked sets
-   agree on ``SPARE + 1`` whole ranges or more (pigeonhole: so many more ranges than tokens in which they can differ).
+   agree on a number of whole ranges, see ``SPARE``, (pigeonhole: so many more ranges than tokens in which they can differ).
    Sets that agree on a range and have the same smallest token are compared at once; those that link go on as one.
    Groups of them that agree on enough ranges fall into one coarse group; a link never leaves its coarse group. Documents
    that only share a passage disagree in nearly every range, so a common passage alone joins few.
@@ -26,22 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import cut, documents, only
+from .shared import cut, documents, only, small_batches
 from .textnum import AS_IS, LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
 
-#: Linked sets agree on one more range than this; sets with more empty ranges than this match on empty ranges too.
+#: Linked sets agree on one more range than this and a quarter of the tokens in which they may differ: sets that share less
+#: than some three quarters of their tokens hardly ever do. Sets with more empty ranges than that match on empty ranges too.
 SPARE = 8
 #: Sets that agree on a range beyond which it is common: its pairs are not counted, see ``coarse_links``.
 COMMON = 64
 #: Tokens of a coarse group's sets that one task compares at once.
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 19
 #: Rows of signatures in one Arrow batch.
 BATCH_ROWS = 1 << 18
 _SET_A, _SET_B, _RANGE = (U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
-def size_classes(largest: int, num: int, den: int) -> list[tuple[int, int, int]]:
-    """Classes of set sizes as (smallest own size, largest size that may link with one of the class, number of ranges).
+def size_classes(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """Classes of set sizes as (smallest own size, largest size that may link with one of the class, ranges, ranges of them to spare).
 
     A set of size n links with sizes up to n * den / num only. A class of which linked sets must be equal has 0 ranges.
     """
@@ -50,7 +51,8 @@ def size_classes(largest: int, num: int, den: int) -> list[tuple[int, int, int]]
         high = low * den // num
         reach = high * den // num
         differ = (den - num) * (high + reach) // (den + num)
-        out.append((low, reach, differ + 1 + SPARE if differ else 0))
+        spare = SPARE + differ // 4
+        out.append((low, reach, differ + 1 + spare if differ else 0, spare))
         low = high + 1
     return out
 
@@ -103,20 +105,21 @@ def _set_rows(k: int):
     return run
 
 
-def signatures(values: np.ndarray, classes: list[tuple[int, int, int]], own: int) -> tuple[np.ndarray, int]:
+def signatures(values: np.ndarray, classes: list[tuple[int, int, int, int]], own: int) -> tuple[np.ndarray, int]:
     """A set's signatures in its own size class and in the one below, if it can link with a set of that one; and how many at least it shares with a set it links with."""
-    out, need, n = [np.zeros(0, dtype=np.uint64)], SPARE + 1, len(values)
+    out, need, n = [np.zeros(0, dtype=np.uint64)], 1 << 30, len(values)
     for c in (own, own - 1):
         if c < 0 or n > classes[c][1] or not (ranges := classes[c][2]):
             continue
+        spare = classes[c][3]
         edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(values, edges), [n]])
         names = mix(np.arange(ranges, dtype=np.uint64) * _RANGE + U(c * 2 + 1))
         found, empty = mix(sums(mix(values ^ _SET_B), at) + names), np.diff(at) == 0
-        if (n_empty := int(empty.sum())) > SPARE:
+        if (n_empty := int(empty.sum())) > spare:
             need = 1
         else:
-            found, need = found[~empty], min(need, SPARE + 1 - n_empty)
+            found, need = found[~empty], min(need, spare + 1 - n_empty)
         out.append(found)
     return np.concatenate(out), need
 
@@ -364,6 +367,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     blank texts have no shingles and stay alone. Rows that repeat a doc_id are one node of the link graph and each gives a
     row. A row without doc_id gets a null component. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
     named = docs.where("doc_id IS NOT NULL")
     sets = cut(docs.mapInArrow(_set_rows(k), "doc_id long, n long, h1 long, h2 long, low long"))

@@ -37,6 +37,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch of texts; with Spark's own 10,000 some batches of long texts take much of a worker's memory.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names and nothing else, so that no other column can clash: ``only(df, a="long")``."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
@@ -44,6 +55,7 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 def append(docs: DataFrame, make, fields: str, text: str = "text") -> DataFrame:
     """``docs`` with columns that ``make(texts)`` gives for an Arrow column of texts; they replace columns of the same name."""
+    small_batches(docs.sparkSession)
     new = T.StructType.fromDDL(fields)
     drop = {n.lower() for n in new.names}
     kept = [i for i, n in enumerate(docs.columns) if n.lower() not in drop]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, documents, only
+from .shared import cut, documents, only, small_batches
 from .textnum import AS_IS, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
 
 #: Documents that share a minimiser beyond which it counts as hot.
@@ -234,6 +234,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, run: int = RUN, hot: int =
     lose nothing. Rows that share a doc_id don't count as earlier than each other; equal ones lose the same words. Rows
     without doc_id lose nothing and take nothing. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string").withColumn("tid", F.xxhash64("text"))
     found = repeated_stretches(docs.select("doc_id", "tid", "text"), width, run, hot)
     by_doc = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("low", "high")).alias("stretches"))
