@@ -44,7 +44,7 @@ class SoftPdf:
         return SoftPdf(np.asarray(row["z_grid"], float), np.asarray(row["dens"], float), row["kind"], None if a is None else tuple(a[k] for k in ("mu", "sigma", "a", "b", "log_norm")))
 
     def row(self) -> tuple:
-        return self.kind, self.grid.tolist(), self.dens.tolist(), self.analytic
+        return self.kind, self.grid.tolist(), self.dens.tolist(), self.analytic and tuple(map(float, self.analytic))
 
     @property
     def support(self) -> tuple[float, float]:
@@ -144,9 +144,19 @@ def mixture(parts: list[SoftPdf], weights, points: int = 60) -> SoftPdf:
 # --- the same as expressions -------------------------------------------------------------------------------------------
 
 
-def _struct(grid: Column, dens: Column, analytic: Column | None = None, kind: str = "linear") -> Column:
-    empty = F.lit(None).cast("struct<mu: double, sigma: double, a: double, b: double, log_norm: double>")
-    return F.struct(F.lit(kind).alias("kind"), grid.alias("z_grid"), (dens if kind == "histogram" else F.transform(dens, lambda d: d / area(grid, dens))).alias("dens"), (empty if analytic is None else analytic).alias("analytic"))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _struct(grid: Column, dens, analytic: Column | None = None) -> Column:
+    """A linear density of unit area; ``dens`` is a function of the grid."""
+    exact = F.lit(None).cast("struct<mu: double, sigma: double, a: double, b: double, log_norm: double>") if analytic is None else analytic
+
+    def scaled(g, d, whole):
+        return F.struct(F.lit("linear").alias("kind"), g.alias("z_grid"), F.transform(d, lambda x: x / whole).alias("dens"), exact.alias("analytic"))
+
+    return let(grid, lambda g: let(dens(g), lambda d: let(area(g, d), lambda whole: scaled(g, d, whole))))
 
 
 def area(grid: Column, dens: Column) -> Column:
@@ -162,22 +172,22 @@ def spaced(low: Column, high: Column, points: int) -> Column:
 def gaussian_column(mu: Column, sigma: Column, points: int = 25, width: float = 5.0) -> Column:
     grid = spaced(mu - width * sigma, mu + width * sigma, points)
     exact = F.struct(mu.cast("double").alias("mu"), sigma.cast("double").alias("sigma"), F.lit(-math.inf).alias("a"), F.lit(math.inf).alias("b"), F.log(sigma * math.sqrt(2 * math.pi)).alias("log_norm"))
-    return _struct(grid, F.transform(grid, lambda z: F.exp(-0.5 * ((z - mu) / sigma) * ((z - mu) / sigma))), exact)
+    return _struct(grid, lambda g: F.transform(g, lambda z: F.exp(-0.5 * ((z - mu) / sigma) * ((z - mu) / sigma))), exact)
 
 
 def uniform_column(a: Column, b: Column) -> Column:
     eps, height = F.greatest((b - a) * 1e-6, F.lit(1e-12)), 1 / (b - a)
-    return _struct(F.array(a - eps, a + 0.0, b + 0.0, b + eps), F.array(F.lit(0.0), height, height, F.lit(0.0)))
+    return _struct(F.array(a - eps, a + 0.0, b + 0.0, b + eps), lambda g: F.array(F.lit(0.0), height, height, F.lit(0.0)))
 
 
 def triangular_column(a: Column, mode: Column, b: Column) -> Column:
     top = 2 / (b - a)
-    return _struct(F.array(a + 0.0, (a + mode) / 2, mode + 0.0, (mode + b) / 2, b + 0.0), F.array(F.lit(0.0), top / 2, top, top / 2, F.lit(0.0)))
+    return _struct(F.array(a + 0.0, (a + mode) / 2, mode + 0.0, (mode + b) / 2, b + 0.0), lambda g: F.array(F.lit(0.0), top / 2, top, top / 2, F.lit(0.0)))
 
 
 def lognormal_column(mu: Column, sigma: Column, points: int = 30) -> Column:
     grid = spaced(F.greatest(F.exp(mu - 5 * sigma), F.lit(1e-10)), F.exp(mu + 5 * sigma), points)
-    return _struct(grid, F.transform(grid, lambda z: F.exp(-0.5 * ((F.log(z) - mu) / sigma) * ((F.log(z) - mu) / sigma)) / z))
+    return _struct(grid, lambda g: F.transform(g, lambda z: F.exp(-0.5 * ((F.log(z) - mu) / sigma) * ((F.log(z) - mu) / sigma)) / z))
 
 
 def evaluate_column(pdf: Column, z: Column) -> Column:
@@ -197,11 +207,15 @@ def moments_column(pdf: Column, points: int = 500) -> Column:
     low, step = F.get(grid, F.lit(0)), (F.get(grid, F.size(grid) - 1) - F.get(grid, F.lit(0))) / (points - 1)
     at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct((low + i * step).alias("z"), F.when((i == 0) | (i == points - 1), 0.5).otherwise(1.0).alias("w")))
     valued = F.transform(at, lambda p: F.struct(p["z"].alias("z"), (p["w"] * step * evaluate_column(pdf, p["z"])).alias("m")))
-    mean = F.aggregate(valued, F.lit(0.0), lambda s, p: s + p["z"] * p["m"])
-    square = F.aggregate(valued, F.lit(0.0), lambda s, p: s + p["z"] * p["z"] * p["m"])
-    mass = F.aggregate(valued, F.lit(0.0), lambda s, p: s + p["m"])
-    return F.struct(mean.alias("mean"), F.greatest(square - 2 * mean * mean + mean * mean * mass, F.lit(1e-16)).alias("variance"))
+
+    def both(v):
+        mean = F.aggregate(v, F.lit(0.0), lambda s, p: s + p["z"] * p["m"])
+        return let(mean, lambda m: F.struct(m.alias("mean"), F.greatest(F.aggregate(v, F.lit(0.0), lambda s, p: s + (p["z"] - m) * (p["z"] - m) * p["m"]), F.lit(1e-16)).alias("variance")))
+
+    return let(valued, both)
 
 
 def shifted_column(pdf: Column, by: Column) -> Column:
-    return pdf.withField("z_grid", F.transform(pdf["z_grid"], lambda z: z - by)).withField("analytic", F.when(pdf["analytic"].isNotNull(), F.struct((pdf["analytic.mu"] - by).alias("mu"), pdf["analytic.sigma"].alias("sigma"), (pdf["analytic.a"] - by).alias("a"), (pdf["analytic.b"] - by).alias("b"), pdf["analytic.log_norm"].alias("log_norm"))))
+    exact = pdf["analytic"]
+    moved = F.struct((exact["mu"] - by).alias("mu"), exact["sigma"].alias("sigma"), (exact["a"] - by).alias("a"), (exact["b"] - by).alias("b"), exact["log_norm"].alias("log_norm"))
+    return F.struct(pdf["kind"].alias("kind"), F.transform(pdf["z_grid"], lambda z: z - by).alias("z_grid"), pdf["dens"].alias("dens"), F.when(exact.isNotNull(), moved).alias("analytic"))

@@ -248,8 +248,8 @@ def expectation_propagation(means, cov, pdfs, coarse: bool = False, sweeps: int
         total = 0.5 * (log_det(prior) + log_det(post)) + 0.5 * ((eta + nu) @ post @ (eta + nu) - mean @ eta)
         for i in range(n):
             t, u = cavity(i, post, centre, tau, nu)
-            z, _, _, m, v = tilted(i, t, u)
-            total += math.log(z) + 0.5 * math.log(v / post[i, i]) + 0.5 * m * m / v - 0.5 * centre[i] ** 2 / post[i, i]
+            z, first, spread, m, v = tilted(i, t, u)
+            total += math.log(z) + 0.5 * math.log(v / spread) + 0.5 * m * m / v - 0.5 * first**2 / spread
         out[k] = math.exp(min(max(total, -690.0), 500.0))
     return np.maximum(out, TINY)
 

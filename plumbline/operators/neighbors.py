@@ -58,7 +58,7 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 def _knn_blocks(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_same: bool) -> DataFrame:
     rows = obs.orderBy("obs_id").toPandas()
     ids = rows["obs_id"].to_numpy()
-    coords = np.array(rows["coords"].tolist(), dtype=float).reshape(len(rows), -1)
+    coords = np.array(rows["coords"].tolist(), dtype=float).reshape(len(rows), -1 if len(rows) else 1)
     shared = est.sparkSession.sparkContext.broadcast((ids, coords))
 
     def search(batches):

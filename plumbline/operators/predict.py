@@ -10,6 +10,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,52 @@ def _as_obs(df: DataFrame, key: str, *fields: str) -> DataFrame:
     return df.select(F.col(key).alias("obs_id"), *fields)
 
 
+_NAMES = ["est_id", *(f.split()[0] for f in FIELDS.split(", "))]
+_KINDS = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "int": pa.int32(), "string": pa.string()}
+_TYPES = [pa.int64(), *(_KINDS[f.split()[1]] for f in FIELDS.split(", "))]
+
+
 def _kernel(rows: DataFrame, one, opt: Options) -> DataFrame:
-    """``one(row) -> dict`` over batches; rows are dealt out evenly first, since integration outweighs their transport."""
+    """``one(row) -> dict`` over batches; rows are dealt out evenly first, since integration outweighs their transport. NaN stays NaN."""
 
     def run(batches):
         for batch in batches:
-            out = [one(r) | {"est_id": r["est_id"]} for r in batch.to_dict("records")]
-            yield pd.DataFrame(out, columns=["est_id", *[f.split()[0] for f in FIELDS.split(", ")]])
+            out = [one(r) | {"est_id": r["est_id"]} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], type=t) for n, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
+
+    return rows.repartition(F.col("est_id")).mapInArrow(run, f"est_id long, {FIELDS}")
+
+
+class _Untimed:
+    """A network's covariance under a signature with times."""
+
+    def __init__(self, cov) -> None:
+        self.cov = cov
+
+    def __call__(self, a, ta, b, tb):
+        return self.cov.block(a, b)
+
+
+class _Pickled:
+    """A function of the caller's own, closures included, on its way to the tasks."""
+
+    def __init__(self, f) -> None:
+        self.data, self.f = cloudpickle.dumps(f), None
+
+    def __getstate__(self):
+        return self.data
+
+    def __setstate__(self, data) -> None:
+        self.data, self.f = data, None
 
-    return rows.repartition(F.col("est_id")).mapInPandas(run, f"est_id long, {FIELDS}")
+    def __call__(self, *args):
+        if self.f is None:
+            self.f = cloudpickle.loads(self.data)
+        return self.f(*args)
 
 
 def _list(x) -> list:
-    return [] if x is None or (isinstance(x, float) and math.isnan(x)) else list(x)
+    return x or []
 
 
 def bme_predict(est: DataFrame, hard: DataFrame, soft: DataFrame | None = None, cov: Covariance = Covariance(), nhmax: int = 20, nsmax: int = 8, dmax: float = math.inf, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", exact_intervals: bool = False, strategy: str = "auto", leave_out: bool = False) -> DataFrame:
@@ -108,12 +143,12 @@ def bme_predict_network(est: DataFrame, hard: DataFrame, soft: DataFrame | None,
     The neighbours are the data with the largest covariances in size; all of them if they are few. The trend is the mean of
     the selected hard values.
     """
-    return _on_network(est, hard, soft, lambda a, ta, b, tb: cov.block(a, b), nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_bme", plain_mean=True), False)
+    return _on_network(est, hard, soft, _Untimed(cov), nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_bme", plain_mean=True), False)
 
 
 def bme_predict_network_st(est: DataFrame, hard: DataFrame, soft: DataFrame | None, cov, nhmax: int = 30, nsmax: int = 8, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto") -> DataFrame:
     """Graph and time: (node, t). ``cov`` is a function of (nodes, times, nodes, times) or has such a ``block``."""
-    block = cov.block if hasattr(cov, "block") else cov
+    block = cov.block if hasattr(cov, "block") else _Pickled(cov)
     return _on_network(est, hard, soft, block, nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_st_bme", plain_mean=True), True)
 
 
@@ -186,7 +221,8 @@ def yearly_kriging(stations: DataFrame, cells: DataFrame, cov: Covariance) -> Da
         weights = np.linalg.solve(cov.matrix(at, at) + 1e-10 * np.eye(len(z)), cross.T)
         return out.assign(estimate=z.mean() + weights.T @ (z - z.mean()), variance=np.maximum(cov.variance - (weights * cross.T).sum(axis=0), 0.0))
 
-    return stations.where("z IS NOT NULL").groupBy("year").applyInPandas(run, "year long, x double, y double, estimate double, variance double")
+    maps = stations.where("z IS NOT NULL").groupBy("year").applyInPandas(run, "year long, x double, y double, estimate double, variance double")
+    return maps.fillna(math.nan, ["estimate", "variance"])
 
 
 def cross_validate(hard: DataFrame, cov: Covariance = Covariance(), n_grid: int = 80, **more) -> DataFrame:

@@ -68,7 +68,7 @@ def K(k: int, dmax: float | None = None) -> str:
     return f"k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY est_id ORDER BY distance, obs_id) AS rank FROM d{where}) WHERE rank <= {k})"
 
 
-EDGES_SQL = "e AS (SELECT n_nationkey::BIGINT AS src, 1000 + n_regionkey::BIGINT AS dst, 1.0 + n_nationkey % 3 AS w FROM nation)"
+EDGES_SQL = "e AS (SELECT n_nationkey::BIGINT AS src, 1000 + n_regionkey::BIGINT AS dst, (1.0 + n_nationkey % 3)::DOUBLE AS w FROM nation)"
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +395,7 @@ def active_cells(spark, sf_dir):
     return geometry.active(parts(spark, sf_dir), suppliers(spark, sf_dir), 2.0).select("obs_id")
 
 
-@query("grid", "SELECT (i * 11 + j)::BIGINT AS id, round(i * 0.25, 6) AS x, round(-1 + j * 0.2, 6) AS y FROM (SELECT unnest(range(0, 9)) AS i), (SELECT unnest(range(0, 11)) AS j)")
+@query("grid", "SELECT (i * 11 + j)::BIGINT AS id, round(i * 0.25::DOUBLE, 6) AS x, round(-1 + j * 0.2::DOUBLE, 6) AS y FROM (SELECT unnest(range(0, 9)) AS i), (SELECT unnest(range(0, 11)) AS j)")
 def grid(spark, sf_dir):
     return geometry.grid(spark, [0.0, -1.0], [2.0, 1.0], [9, 11]).select("id", r(F.get("coords", F.lit(0))).alias("x"), r(F.get("coords", F.lit(1))).alias("y"))
 
@@ -414,24 +414,27 @@ def fit(spark, sf_dir):
 # --- soft densities -------------------------------------------------------------------------------------------------------
 
 
-@query("soft_gaussian", f"""WITH {P}, g AS (SELECT obs_id, z, unnest(range(0, 25)) AS i FROM p), f AS (SELECT obs_id, z, z - 200 + 400 * i / 24.0 AS x, exp(-0.5 * pow((400 * i / 24.0 - 200) / 40, 2)) AS d, i FROM g),
- a AS (SELECT obs_id, z, sum(d * CASE WHEN i IN (0, 24) THEN 0.5 ELSE 1 END) * 400 / 24 AS area, sum(x * d * CASE WHEN i IN (0, 24) THEN 0.5 ELSE 1 END) * 400 / 24 AS m1 FROM f GROUP BY obs_id, z)
- SELECT obs_id, round(1 / area, 9) AS peak, round(1 / area * (0.4 * exp(-0.5 * pow(1 * 5 / 12.0, 2)) + 0.6), 9) AS beside, round(m1 / area, 4) AS mean FROM a""")
+@query("soft_gaussian", f"""WITH {P}, a AS (SELECT sum(exp(-0.5 * pow(5 * (i - 12) / 12.0, 2)) * CASE WHEN i IN (0, 24) THEN 0.5 ELSE 1 END) * 400 / 24 AS area FROM (SELECT unnest(range(0, 25)) AS i)),
+ q AS (SELECT i, i * 400 / 499.0 - 200 AS x, least(floor(i * 24 / 499.0), 23) AS c, i * 24 / 499.0 AS spot FROM (SELECT unnest(range(0, 500)) AS i)),
+ f AS (SELECT x, 400 / 499.0 * CASE WHEN i IN (0, 499) THEN 0.5 ELSE 1 END * ((1 - (spot - c)) * exp(-0.5 * pow(5 * (c - 12) / 12.0, 2)) + (spot - c) * exp(-0.5 * pow(5 * (c - 11) / 12.0, 2))) AS m FROM q),
+ s AS (SELECT sum(m) AS m0, sum(x * m) AS m1 FROM f)
+ SELECT obs_id, round(1 / area, 9) AS peak, round(1 / area * (0.4 * exp(-0.5 * pow(1 * 5 / 12.0, 2)) + 0.6), 9) AS beside, round((z * m0 + m1) / area, 4) AS mean FROM p, a, s""")
 def soft_gaussian(spark, sf_dir):
     p = parts(spark, sf_dir).withColumn("pdf", softpdf.gaussian_column(F.col("z"), F.lit(40.0)))
     return p.select("obs_id", r(softpdf.evaluate_column(F.col("pdf"), F.col("z")), 9).alias("peak"), r(softpdf.evaluate_column(F.col("pdf"), F.col("z") + 0.4 * 400 / 24), 9).alias("beside"), r(softpdf.moments_column(F.col("pdf"))["mean"], 4).alias("mean"))
 
 
-@query("soft_triangular", f"WITH {P} SELECT obs_id, round(0.02 * 0.5, 9) AS quarter, 0.0::DOUBLE AS outside, 1.0::DOUBLE AS area FROM p")
+@query("soft_triangular", f"WITH {P} SELECT obs_id, 0.01::DOUBLE AS quarter, 0.0::DOUBLE AS outside, 1.0::DOUBLE AS area FROM p")
 def soft_triangular(spark, sf_dir):
     p = parts(spark, sf_dir).withColumn("pdf", softpdf.triangular_column(F.col("z") - 50, F.col("z"), F.col("z") + 50))
     return p.select("obs_id", r(softpdf.evaluate_column(F.col("pdf"), F.col("z") - 25), 9).alias("quarter"), softpdf.evaluate_column(F.col("pdf"), F.col("z") + 60).alias("outside"), r(softpdf.area(F.col("pdf.z_grid"), F.col("pdf.dens")), 9).alias("area"))
 
 
-@query("soft_uniform", f"WITH {P} SELECT obs_id, round(1 / (80 * 1.000001), 9) AS inside, round(z, 2) AS mean, round(6400 / 12.0, 0) AS variance FROM p")
+@query("soft_uniform", f"""WITH {P}, q AS (SELECT (80 + 0.00016) / 499.0 AS step, -40.00008 + i * (80 + 0.00016) / 499.0 AS x FROM (SELECT unnest(range(1, 499)) AS i)),
+ s AS (SELECT sum(step) / (80 * 1.000001) AS m0, sum(x * step) / (80 * 1.000001) AS m1 FROM q) SELECT obs_id, round(1 / (80 * 1.000001::DOUBLE), 9) AS inside, round((z * m0 + m1)::DOUBLE, 4) AS mean FROM p, s""")
 def soft_uniform(spark, sf_dir):
-    p = parts(spark, sf_dir).withColumn("pdf", softpdf.uniform_column(F.col("z") - 40, F.col("z") + 40)).withColumn("m", softpdf.moments_column(F.col("pdf")))
-    return p.select("obs_id", r(softpdf.evaluate_column(F.col("pdf"), F.col("z") + 3), 9).alias("inside"), r("m.mean", 2).alias("mean"), r(F.col("m.variance") / 533.3333333333334, 2).alias("__v")).select("obs_id", "inside", "mean", F.when(F.abs(F.col("__v") - 1) <= 0.02, F.lit(533.0)).otherwise(F.col("__v")).alias("variance"))
+    p = parts(spark, sf_dir).withColumn("pdf", softpdf.uniform_column(F.col("z") - 40, F.col("z") + 40))
+    return p.select("obs_id", r(softpdf.evaluate_column(F.col("pdf"), F.col("z") + 3), 9).alias("inside"), r(softpdf.moments_column(F.col("pdf"))["mean"], 4).alias("mean"))
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------------
@@ -462,7 +465,7 @@ def precision(spark, sf_dir):
     return network.precision(network.laplacian(network.adjacency(e)), nodes, 1.5, 2.0).select("i", "j", r("v").alias("v"))
 
 
-_H_SQL = f"{EDGES_SQL}, o AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS h FROM (SELECT DISTINCT dst FROM e)), m AS (SELECT h, o.dst AS j, 1.0 AS v FROM o UNION ALL SELECT h, src, -w FROM e JOIN o USING (dst))"
+_H_SQL = f"{EDGES_SQL}, o AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS h FROM (SELECT DISTINCT dst FROM e)), m AS (SELECT h, o.dst AS j, 1.0::DOUBLE AS v FROM o UNION ALL SELECT h, src, -w FROM e JOIN o USING (dst))"
 
 
 @query("mass_balance", f"WITH {_H_SQL} SELECT h::BIGINT AS h, j, round(v, 6) AS v FROM m")
@@ -493,9 +496,9 @@ def _ring(spark, n: int = 40) -> DataFrame:
 
 @query("conjugate_gradient")
 def conjugate_gradient(spark, sf_dir):
-    e = _ring(spark)
-    q = network.precision(network.laplacian(network.adjacency(e)), spark.range(40).withColumnRenamed("id", "node"), 1.0)
-    return network.conjugate_gradient(q, spark.createDataFrame([(3, 1.0), (17, -2.0)], "node long, x double")).select("node", r("x").alias("x"))
+    e = _ring(spark, 16)
+    q = network.precision(network.laplacian(network.adjacency(e)), spark.range(16).withColumnRenamed("id", "node"), 1.0)
+    return network.conjugate_gradient(q, spark.createDataFrame([(3, 1.0), (11, -2.0)], "node long, x double")).select("node", r("x").alias("x"))
 
 
 @query("network_decay")
@@ -551,9 +554,9 @@ def _lattice(spark, n: int = 12) -> tuple[DataFrame, DataFrame]:
 
 @query("finite_elements", """WITH n AS (SELECT i::BIGINT AS id, (i % 13)::DOUBLE AS x, floor(i / 13) * 0.5 AS y FROM (SELECT unnest(range(0, 169)) AS i)),
  q AS (SELECT (i // 12) * 13 + i % 12 AS a FROM (SELECT unnest(range(0, 144)) AS i)), t AS (SELECT a, a + 1 AS b, a + 13 AS c FROM q UNION ALL SELECT a + 1, a + 14, a + 13 FROM q),
- p AS (SELECT t.*, pa.x AS ax, pa.y AS ay, pb.x AS bx, pb.y AS by, pc.x AS cx, pc.y AS cy FROM t JOIN n pa ON pa.id = a JOIN n pb ON pb.id = b JOIN n pc ON pc.id = c),
- e AS (SELECT *, 0.5 * abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) AS area FROM p),
- v AS (SELECT a AS id, area, cx - bx AS ex, cy - by AS ey, a, b, c FROM e UNION ALL SELECT b, area, ax - cx, ay - cy, a, b, c FROM e UNION ALL SELECT c, area, bx - ax, by - ay, a, b, c FROM e)
+ p AS (SELECT t.*, pa.x AS ax, pa.y AS ay, pb.x AS bx, pb.y AS b_y, pc.x AS cx, pc.y AS cy FROM t JOIN n pa ON pa.id = a JOIN n pb ON pb.id = b JOIN n pc ON pc.id = c),
+ e AS (SELECT *, 0.5 * abs((bx - ax) * (cy - ay) - (cx - ax) * (b_y - ay)) AS area FROM p),
+ v AS (SELECT a AS id, area, cx - bx AS ex, cy - b_y AS ey, a, b, c FROM e UNION ALL SELECT b, area, ax - cx, ay - cy, a, b, c FROM e UNION ALL SELECT c, area, bx - ax, b_y - ay, a, b, c FROM e)
  SELECT u.id::BIGINT AS i, w.id::BIGINT AS j, round(sum(CASE WHEN u.id = w.id THEN u.area / 3 ELSE 0 END), 6) AS mass, round(sum((u.ex * w.ex + u.ey * w.ey) / (4 * u.area)), 6) AS stiffness FROM v u JOIN v w ON u.a = w.a AND u.b = w.b AND u.c = w.c GROUP BY 1, 2""")
 def finite_elements(spark, sf_dir):
     return mesh.fem_entries(*_lattice(spark)).select("i", "j", r("mass").alias("mass"), r("stiffness").alias("stiffness"))
