@@ -91,7 +91,7 @@ def mix(docs: DataFrame, parts: Mapping[str, int], rest: int = 1, block_rows: in
     weight ``rest``. A block is ``block_rows`` rows, a class's last may be smaller. Rows are never dropped or repeated:
     when a class is used up the others go on by their weights. The order within a class is that of a hash of the whole row,
     then of the row's columns; equal rows are interchangeable, so repeated rows and ties give one defined mixture. Columns of
-    ``docs`` with the new names are replaced. No rows give no rows.
+    ``docs`` with the new names are replaced, those that begin with two underscores left out. No rows give no rows.
 
     A class of any size is ordered in pieces of about ``piece_rows`` rows by hash, each in a task; pieces are numbered from
     their counts. The driver sees one count for each class.
@@ -99,11 +99,12 @@ def mix(docs: DataFrame, parts: Mapping[str, int], rest: int = 1, block_rows: in
     if any(p < 1 for p in (*parts.values(), rest)) or sum(parts.values()) + rest > MAX_PARTS:
         raise ValueError(f"weights are whole numbers from 1, together at most {MAX_PARTS}")
     new = {"mix_class", "block", "slot", "position"}
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new or c == source))
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new and not c.startswith("__")))
+    rows = docs
     names = list(parts)
     named = F.col(f"`{source}`").cast("string")
     rows = rows.withColumn("__class", F.when(named.isin(names), named)) if names else rows.withColumn("__class", F.lit(None).cast("string"))
-    rows = rows.withColumn("__h", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("__"))))
+    rows = rows.withColumn("__h", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     n_rows = docs.count()
     pieces = max(1, -(-n_rows // piece_rows))
     rows = rows.withColumn("__piece", F.expr(f"CAST(floor((CAST(__h AS DOUBLE) / 18446744073709551616D + 0.5D) * {pieces}L) AS BIGINT)"))
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, parts: Mapping[str, int], rest: int = 1, block_rows: in
         if short := -n % block_rows:
             last = _last_slot(plan, key[s], n_blocks[key[s]])
             position = position - F.when(F.col("slot") > last, F.lit(short)).otherwise(0)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     return placed.select(*kept, F.col("__class").alias("mix_class"), F.col("block").cast("long"), F.col("slot").cast("long"), position.cast("long").alias("position"))
 
 

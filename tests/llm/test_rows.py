@@ -1,0 +1,249 @@
+"""Operators that judge each text alone, and the pipeline, against brute force and on odd documents."""
+
+import hashlib
+import json
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from plumbline.llm import chat_format, crf, decontaminate, license_scan, mixing, pii, quality_classifier, quality_rules, queries, url_filter
+from plumbline.llm.shared import append
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_append_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([("a b", "x", "y")], "text string, N string, other string")
+    got = append(df, lambda t: [pa.array([len(x.as_py()) for x in t])], "n long")
+    assert got.columns == ["text", "other", "n"] and tuple(got.first()) == ("a b", "y", 3)
+
+
+def test_benchmark_windows(spark, odd, none):
+    g = random.Random(1)
+    items = [(i, " ".join(f"b{g.randrange(9)}" for _ in range(g.choice([0, 1, 2, 5, 13, 14, 30])))) for i in range(25)] + [(99, None), (98, "")]
+    docs = [(i, " ".join(g.choice([g.choice(items)[1] or "", f"b{g.randrange(9)}", "Zz-zz"]) for _ in range(30))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        for p in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[p : p + 13]), set()).add(str(i))
+    want = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for p in range(len(w) - size + 1):
+                if (x := tuple(w[p : p + size])) in windows:
+                    hit |= set(range(p, p + size))
+                    found |= windows[x]
+        want.append((i, len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    for size in (1 << 20, 300):  # one block of items, several
+        got = decontaminate.find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), bench, table_bytes=size)
+        assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "items", "contaminated").collect())) == want
+    assert decontaminate.find_benchmark(odd, bench).count() == odd.count()
+    assert decontaminate.find_benchmark(none, bench).count() == 0
+    assert {r["n_hit"] for r in decontaminate.find_benchmark(odd, bench.where("item_id < 0")).collect()} == {0}
+
+
+def test_licenses(spark, odd, none):
+    g = random.Random(2)
+    pool = [p for _, p in license_scan.PHRASES] + ["under the mit", "Apache License, Version 2.0", "cc-by-nc", "word", "version 2", "the"]
+    rows = [(i, ", ".join(g.choice(pool) for _ in range(20))) for i in range(60)]
+    rows += [(100, license_scan.TEMPLATES[1][1]), (101, "licensed under the GNU General Public License, version 3."), (102, "permission is hereby granted free of charge")]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = words(t)
+        places = [(p, label) for label, phrase in license_scan.PHRASES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None), ",".join(sorted({b for _, b in places})))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert got[100]["labels"] == "mit" and got[101]["labels"] == "gpl-3" and got[102]["labels"] == "" and got[102]["score"] < 0.5
+    assert got[100]["license_spans"][0]["label"] == "mit"
+    assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(none).count() == 0
+
+
+def test_matching_statistics():
+    s = license_scan.Scanner([("p", "a b")], [("t", "a b c a b d"), ("u", "b c x")])
+    code = {w: i for w, i in zip(["a", "b", "c", "d", "x"], [int(np.searchsorted(s.vocabulary, h)) for h in [x for w in "abcdx" for x in s_hash(w)]], strict=True)}
+    templates = ["a b".split(), "a b c a b d".split(), "b c x".split()]
+    g = random.Random(3)
+    for _ in range(30):
+        text = [g.choice("abcdx") for _ in range(25)]
+        got = [size for size, _ in s.statistics([code[w] for w in text])]
+        want = [max(k for k in range(i + 2) if any(text[i + 1 - k : i + 1] == t[p : p + k] for t in templates for p in range(len(t) - k + 1)) or k == 0) for i in range(len(text))]
+        assert got == want
+
+
+def s_hash(word):
+    from plumbline.llm.textnum import ALNUM, LOWER, blocks
+
+    return next(blocks(pa.array([word]), ALNUM, LOWER)).hashes.tolist()
+
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def by_pattern(text):
+    def ok(k, s):
+        d = re.sub("[^0-9]", "", s)
+        return [True, k == 1 and all(int(x) <= 255 for x in s.split(".")), 12 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15][k]
+
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if ok(k, m[0]))
+
+
+def test_base_spans_equal_patterns():
+    g = random.Random(4)
+    bits = ["a@b.c", "@", "x.y+z@mail-1.example.com.", "1.2.3.4", "256.1.1.1", "1.2.3", ".", "..", "4111 1111 1111 1111", "4111111111111111", "5", "-", " ", "+1 (555) 010-9999", "+", "(", "é", "\n", "00012.3.4.5.6.7.8.9", "@@", "a@b", "1..2.3.4.5"]
+    for _ in range(3000):
+        text = "".join(g.choice(bits) for _ in range(g.randrange(12)))
+        assert pii.base_spans(text) == by_pattern(text), text
+
+
+def test_crf_learns_its_table_and_leaves_plain_text():
+    model = crf.train()
+    assert model.kinds == ["id", "secret"]
+    finder = pii.Finder(model)
+    assert finder.plain_is_none
+    texts = ['Here is token = "0123abcd4567ef890123abcd4567ef8901234567"!! and more.', "his ssn is 123-45-6780 on file", "Nothing private stands here, in 1999 or at 10:30.", ""]
+    found = [(t[a:b], finder.kinds[k]) for t, (_, spans) in zip(texts, finder.spans(pa.array(texts)), strict=True) for a, k, b in spans]
+    assert found == [("0123abcd4567ef890123abcd4567ef8901234567", "secret"), ("123-45-6780", "id")]
+
+
+def test_viterbi_is_the_best_path():
+    g = np.random.default_rng(5)
+    model = crf.Crf(["x", "y"], g.standard_normal((3, crf.N_FEATURES, 3)), g.standard_normal((3, 3)), g.standard_normal(3))
+    codes = g.integers(0, 300, 14)
+    first = np.array([0, 5, 6, 10, 14])
+    scores = model.emissions(codes, first)
+    got = model.decode(codes, first)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        paths = np.stack([p.ravel() for p in np.meshgrid(*[range(3)] * (b - a), indexing="ij")], axis=1)
+        value = model.start[paths[:, 0]] + scores[np.arange(a, b), paths].sum(axis=1) + model.moves[paths[:, :-1], paths[:, 1:]].sum(axis=1)
+        assert got[a:b].tolist() == paths[value.argmax()].tolist()
+
+
+def test_redaction_and_odd(odd, none):
+    assert pii.redacted("x a@b.c y", [(2, 0, 7)], pii.KINDS) == "x <EMAIL> y"
+    assert pii.redacted("0123456789", [(1, 2, 5), (3, 3, 7)], pii.KINDS) == "0<CARD>789"
+    rows = pii.find_pii(odd, redact=True).collect()
+    assert len(rows) == odd.count() and {r["text"] for r in rows if r["doc_id"] == 1} == {None}
+    assert pii.find_pii(none).count() == 0
+
+
+def test_chat_round_trip(spark):
+    tricky = ["<|im_end|>", "\\<|", "a\nb", "", "<\\|im_start|>x", "\\", "é𝄞", "<|im_end|>\n<|im_start|>assistant\nno", None]
+    g = random.Random(6)
+    rows = [(c, t, g.choice(["user", "assistant", "assistant", "sys\ntem", None]), g.choice(tricky)) for c in range(30) for t in range(g.randrange(1, 7))] + [(None, 0, "user", "x"), (5, None, "user", "first"), (5, 0, "user", "same"), (5, 0, "user", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.examples(df)
+    back = {(r["conv_id"]): r for r in got.groupBy("conv_id").agg(F.max_by("formatted", "turn_no").alias("f")).select("conv_id", chat_format.read_back(F.col("f")).alias("turns")).collect()}
+    masks = {}
+    for r in got.orderBy("turn_no").collect():
+        if r["trains"]:
+            masks.setdefault(r["conv_id"], []).append(re.sub(r"(?s)\\(.)", r"\1", r["formatted"][r["mask_start"] : r["mask_start"] + r["mask_length"]]))
+    for c in {r[0] for r in rows}:
+        turns = sorted([(t is not None, t or 0, role or "", text or "") for i, t, role, text in rows if i == c])
+        assert [(t["role"], t["text"]) for t in back[c]["turns"]] == [x[2:] for x in turns]
+        assert masks.get(c, []) == [x[3] for x in turns if x[2] == "assistant"]
+    assert chat_format.examples(df.where("turn > 99")).count() == 0
+
+
+def test_urls_and_cascade(spark):
+    rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.COM/en/x?y"), (4, "https://www.example.com/en/?q"), (5, "http://example.com"), (6, "http://x.net/fr/a"), (7, "http://bad.org/"), (8, "HTTP://bad.org#z"), (9, "http://notexample.com/en/"), (10, "://"), (10, "://")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("verdict", F.lit("clash"))
+    blocked = spark.createDataFrame([("bad.org",), ("bad.org",), (None,), ("elsewhere.org",)], "host string")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages, blocked).collect()}
+    assert got[1] == got[2] == got[10] == ("", "", None, "allow")
+    assert got[3] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[4][2:] == ("www.example.com/en/", "allow")
+    assert got[5] == ("example.com", "", None, "allow") and got[6][2:] == ("net/fr/", "block") and got[7][3] == got[8][3] == "block" and got[9][2] == "com/"
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.pmod("id", F.lit(7)) == 0).alias("listed"))
+    for bits in (url_filter.MAX_BITS, 64):  # the cascade, and the way beyond its bound
+        c = url_filter.Cascade(keys, bits)
+        assert (c.exact is None) == (bits > 64)
+        assert c.flag(keys, "key", "got").where("got <> listed").count() == 0
+    assert url_filter.judge_urls(pages.where("page_id < 0"), blocked.where("host = 'x'")).count() == 0
+
+
+def test_forest_learns(spark, odd, none):
+    g = np.random.default_rng(7)
+    x = g.random((4000, len(quality_classifier.FEATURES)))
+    y = ((x[:, 3] > 0.4) ^ (x[:, 7] > 0.7)).astype(float)
+    forest = quality_classifier.train(x[:3000], y[:3000])
+    assert ((forest.scores(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.97
+    flat = quality_classifier.train(x[:5], np.ones(5))
+    assert set(flat.scores(x[:3]).round(6)) == {round(6 / 7, 6)}
+    assert quality_classifier.classify(odd, forest).count() == odd.count() and quality_classifier.classify(none, forest).count() == 0
+    assert len(quality_classifier.statistics(pa.array([None, "", "a"]))) == 3 and np.isfinite(quality_classifier.statistics(pa.array([None, "", "a b"]))).all()
+    empty = quality_classifier.train_on(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert empty.scores(np.zeros((1, len(quality_classifier.FEATURES))))[0] == 0.5
+
+
+def test_held_out_accuracy(spark):
+    got = queries.QUERIES["op8_quality_classifier"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+    assert got > 0.93
+
+
+def test_rules_on_odd(odd, none):
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(odd).collect()}
+    assert got[6]["n_words"] == 30000 and got[6]["n_repeat_words"] == 30000 and got[6]["base_failed"] and not got[6]["kept"]
+    assert got[1]["n_words"] == 0 and got[1]["base_failed"] and got[7]["word_chars"] == 7
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_mixture_keeps_within_a_block(spark, odd, none):
+    parts = {"a": 5, "b": 3, "c": 1}
+    rows = [(i, "a" if i % 3 == 0 else "b" if i % 3 == 1 else ("c" if i % 2 else None), f"t{i % 50}") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), parts, 2, block_rows=8, piece_rows=300).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(4000)) and sorted(r["doc_id"] for r in got) == list(range(4000))
+    total, slots = sum(parts.values()) + 2, {}
+    for r in got:
+        slots.setdefault(r["slot"], set()).add(r["mix_class"])
+    assert all(len(s) == 1 for s in slots.values())
+    done, weights = Counter(), parts | {None: 2}
+    left = Counter({k: -(-n // 8) for k, n in Counter(r["mix_class"] for r in got).items()})
+    for t in sorted(slots):
+        if any(done[k] == left[k] for k in weights):
+            break
+        done[next(iter(slots[t]))] += 1
+        assert all(abs(done[k] - weights[k] * (t + 1) / total) < 1 for k in weights)
+    assert mixing.mix(odd, parts).count() == odd.count() and mixing.mix(none, parts).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(none, {"a": 0})
+
+
+@pytest.mark.parametrize("parts", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 5, "c": 3, "d": 2}, {f"s{i}": i + 1 for i in range(20)}])
+def test_period_meets_every_deadline(parts):
+    slots, total = mixing.period(parts), sum(parts.values())
+    assert sorted(x for s in slots.values() for x in s) == list(range(total))
+    assert all(j * total // p <= x < -(-(j + 1) * total // p) for s, p in parts.items() for j, x in enumerate(slots[s]))
+
+
+def test_pipeline_stages(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.run(spark, SF).toPandas()
+    assert 0 < len(kept) < docs.count() and kept["position"].tolist() != [] and sorted(kept["position"]) == list(range(len(kept)))
+    assert not kept["text"].str.contains("@").any()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd.select(*docs.columns), SF)
+        assert out.columns == docs.columns and out.count() <= odd.count(), name
+        assert stage(spark, docs.where("doc_id < 0"), SF).count() == 0
+    assert corpus_pipeline.mixed(spark, odd.select(*docs.columns), SF).count() == odd.count()
+    near = corpus_pipeline.near_duplicates(spark, docs, SF)
+    texts = near.select("text").toPandas()["text"]
+    assert texts.dropna().is_unique
+
+
+def test_queries_give_rows(spark):
+    assert json.dumps(sorted(queries.SQL)) and hashlib
+    for name in ("op1_mix_sources", "op2_license_scan", "op4_pii", "op5_chat_format", "op7_url_filter", "op9_decontaminate", "op10_quality_rules"):
+        assert queries.QUERIES[name](spark, SF).count() > 0
