@@ -16,10 +16,28 @@ def _lowest(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)``: the smallest node of each node's component; nodes without edges are absent.
 
+    First every node goes with its smallest neighbour, which leaves as many edges as nodes; what these join is one node from
+    there on, and only edges between such nodes are left for another turn.
+    """
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    nearest = both.groupBy("u").agg(F.min("v").alias("v"))
+    labels = cut(_stars(nearest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), max_rounds))
+    left = edges.join(labels.select(F.col("node").alias("u"), F.col("component").alias("a")), "u").join(labels.select(F.col("node").alias("v"), F.col("component").alias("b")), "v").where("a <> b")
+    left = cut(left.select("a", "b").distinct())
+    if left.isEmpty():
+        return labels
+    more = components(left, max_rounds).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return labels.join(more, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Components of edges (u, v), u > v.
+
     Alternates large-star and small-star rounds (Kiveris et al., 2014) until the edges no longer change; each round is
     written to the shared folder. Hubs meet no window or collected list: a round is an aggregate and a join on the node.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = cut(edges)
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

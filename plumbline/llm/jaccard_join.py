@@ -27,7 +27,8 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .shared import cut, documents, only, small_batches
-from .textnum import AS_IS, LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
+from .textnum import LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
+from .url_filter import BITS_PER_KEY, MAX_BITS, Level
 
 #: Linked sets agree on one more range than this and a quarter of the tokens in which they may differ: sets that share less
 #: than some three quarters of their tokens hardly ever do. Sets with more empty ranges than that match on empty ranges too.
@@ -195,15 +196,23 @@ def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
     return pairs.union(chain)
 
 
+def mostly(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows with a key among ``keys``, and few others, so that a join to come shuffles little; all rows if the filter would be over its bound."""
+    keys = keys.select(F.col(key).alias("key")).distinct()
+    n = keys.count()
+    return rows.where(Level(keys, 0, n).passes(F.col(key))) if n * BITS_PER_KEY <= MAX_BITS else rows
+
+
 def _token_rows(k: int):
-    """Rows (node, tokens) of batches (node, text)."""
+    """Rows (node, coarse, part, tokens) of batches (node, text, coarse, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1), NOT_SPACE, LOWER):
                 values, at = shingle_sets(block, k)
                 tokens = [values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[block.rows.start : block.rows.stop], pa.array(tokens, type=pa.binary())], ["node", "tokens"])
+                own = batch.slice(block.rows.start, block.rows.stop - block.rows.start)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), pa.array(tokens, type=pa.binary())], ["node", "coarse", "part", "tokens"])
 
     return run
 
@@ -379,14 +388,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shared = cut(shared_ranges(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct()))
     of_node = sets.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.min("low").alias("low"))
     nodes = cut(shared.select("node").distinct().join(of_node, "node"))
-    # A repeated id brings several sets under one node; each is compared, and the classes meet again by the id.
-    text = named.join(nodes.select("node"), F.col("doc_id") == F.col("node")).select("node", "text")
-    tokens = cut(text.mapInArrow(_token_rows(k), "node long, tokens binary"))
-
-    # Sets with the same smallest token first: linked ones mostly have it, and go on as one group.
+    # Sets with the same smallest token meet first: linked ones mostly have it, and go on as one group.
     near = _parted(nodes.select("node", "n", F.col("low").alias("coarse")), group_tokens)
-    near = near.join(near.groupBy("coarse", "part").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("coarse", "part"), ["coarse", "part"])
-    first = cut(_grouped(tokens.join(near, "node"), num, den).groupBy("node").agg(F.min("root").alias("root")))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("coarse", "part")) == 1
+    near = cut(near.select("node", F.when(~alone, F.col("coarse")).alias("coarse"), "part"))
+    # A repeated id brings several sets under one node; each is compared, and the classes meet again by the id.
+    text = mostly(named.withColumnRenamed("doc_id", "node"), "node", near).join(near, "node").select("node", "text", "coarse", "part")
+    tokens = cut(text.mapInArrow(_token_rows(k), "node long, coarse long, part long, tokens binary"))
+    first = cut(_grouped(tokens.where("coarse IS NOT NULL"), num, den).groupBy("node").agg(F.min("root").alias("root")))
+    tokens = tokens.select("node", "tokens")
     groups = nodes.select("node", "n").join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
     groups = cut(groups)
     pairs = cut(coarse_links(shared.join(groups.select("node", "group"), "node").groupBy("sig", F.col("group").alias("node")).agg(F.min("need").alias("need"))))
@@ -412,6 +422,7 @@ def _verified(tokens: DataFrame, groups: DataFrame, pairs: DataFrame, num: int,
     """Links (a, b) that make each class within the coarse groups connected."""
     coarse = components(pairs.select("a", "b")).select(F.col("node").alias("group"), F.col("component").alias("coarse"))
     placed = cut(_parted(groups.join(coarse, "group").select("coarse", "node", "n"), group_tokens))
+    tokens = mostly(tokens, "node", placed)
     local = cut(_grouped(tokens.join(placed, "node"), num, den))
     links = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
     large = placed.where("part > 0").select("coarse").distinct()
