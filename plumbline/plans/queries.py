@@ -138,12 +138,12 @@ def embedding_neighbours(spark, sf_dir):
 @query("nearest_in_time", """WITH s AS (SELECT user_id, epoch_us(ts) / 1e6 AS ts, max(value) AS value FROM events GROUP BY user_id, epoch_us(ts)),
  g AS (SELECT DISTINCT user_id, floor(epoch_us(ts) / 21600e6) * 21600 AS ts FROM events),
  c AS (SELECT g.user_id, g.ts, s.value, abs(g.ts - s.ts) AS gap, row_number() OVER (PARTITION BY g.user_id, g.ts ORDER BY abs(g.ts - s.ts), s.ts) AS i FROM g JOIN s ON g.user_id = s.user_id AND abs(g.ts - s.ts) <= 900)
- SELECT g.user_id::BIGINT AS user_id, g.ts::BIGINT AS at, c.value, round(c.gap, 3) AS gap FROM g LEFT JOIN c ON g.user_id = c.user_id AND g.ts = c.ts AND c.i = 1""")
+ SELECT g.user_id::BIGINT AS user_id, g.ts::BIGINT AS target_ts, c.value, round(c.gap, 3) AS gap FROM g LEFT JOIN c ON g.user_id = c.user_id AND g.ts = c.ts AND c.i = 1""")
 def nearest_in_time(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value")
     series = e.groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     targets = e.select("user_id", (F.floor(F.col("ts") / 21600) * 21600).cast("double").alias("ts")).distinct().withColumn("target_id", F.struct("user_id", "ts"))
-    return neighbors.nearest_in_time(targets, series, 900.0, ["user_id"]).select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("long").alias("at"), "value", r("gap", 3).alias("gap"))
+    return neighbors.nearest_in_time(targets, series, 900.0, ["user_id"]).select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("long").alias("target_ts"), "value", r("gap", 3).alias("gap"))
 
 
 # --- covariance ----------------------------------------------------------------------------------------------------------
@@ -351,9 +351,9 @@ def normal_scores(spark, sf_dir):
 
 
 @query("describe", f"""WITH {P}, m AS (SELECT count(*) AS n, avg(z) AS mean FROM p), c AS (SELECT m.n, m.mean, avg(pow(z - m.mean, 2)) AS v, avg(pow(z - m.mean, 3)) AS c3, avg(pow(z - m.mean, 4)) AS c4 FROM p, m GROUP BY m.n, m.mean)
- SELECT n::BIGINT AS n, round(mean, 4) AS mean, round(v, 3) AS variance, round(c3 / pow(v, 1.5), 6) AS skewness, round(c4 / (v * v) - 3, 6) AS kurtosis FROM c""")
+ SELECT n::BIGINT AS n, round(mean, 4) AS mean, round(v, 2) AS variance, round(c3 / pow(v, 1.5), 6) AS skewness, round(c4 / (v * v) - 3, 6) AS kurtosis FROM c""")
 def describe(spark, sf_dir):
-    return statistics.describe(parts(spark, sf_dir), "z").select("n", r("mean", 4).alias("mean"), r("variance", 3).alias("variance"), r("skewness").alias("skewness"), r("kurtosis").alias("kurtosis"))
+    return statistics.describe(parts(spark, sf_dir), "z").select("n", r("mean", 4).alias("mean"), r("variance", 2).alias("variance"), r("skewness").alias("skewness"), r("kurtosis").alias("kurtosis"))
 
 
 @query("density", f"""WITH {P}, h AS (SELECT count(*) AS n, stddev_samp(z) * pow(count(*), -0.2) AS h FROM p), g AS (SELECT unnest([900.0, 950.0, 1000.0, 1200.0, 1500.0])::DOUBLE AS x)
