@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.geometry import distance
+from plumbline.operators.network import checkpointed
 
 #: Values (coordinates and ids) that may be collected and sent to every task.
 BROADCAST_VALUES = 4_000_000
@@ -133,7 +134,7 @@ def _knn_rounds(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_sam
         last = size >= widest or size >= dmax
         found = _top(_cell_pairs(left, obs, size, exclude_same).where(F.col("distance") <= (dmax if last else size)), k)
         enough = found if last else found.join(found.groupBy("est_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).select("est_id"), "est_id", "left_semi")
-        enough = enough.checkpoint() if est.sparkSession.sparkContext.getCheckpointDir() else enough
+        enough = checkpointed(enough)
         done = enough if done is None else done.unionByName(enough)
         if last:
             return done

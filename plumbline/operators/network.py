@@ -78,24 +78,24 @@ def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, steps: int
     diagonal = m.where("i = j").select(F.col("i").alias("node"), F.col("v").alias("d"))
     state = diagonal.join(b.select("node", F.col("x").alias("r")), "node", "left").select("node", "d", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"))
     state = state.withColumn("p", F.col("r") / F.col("d"))
-    state = _checkpoint(state)
+    state = checkpointed(state)
     rz, first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
     for _ in range(steps):
         if not first or rz is None:
             break
         q = matvec(m, state.select("node", F.col("p").alias("x"))).withColumnRenamed("x", "q")
-        now = _checkpoint(state.join(q, "node"))
+        now = checkpointed(state.join(q, "node"))
         alpha = rz / now.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         now = now.select("node", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
         new, size = now.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-        state = _checkpoint(now.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")))
+        state = checkpointed(now.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")))
         if size <= tol * tol * first:
             break
         rz = new
     return state.select("node", "x")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -110,7 +110,7 @@ def hops(edges: DataFrame, start: int, most: int = 100) -> DataFrame:
     seen = frontier = spark.createDataFrame([(start, 0)], "node long, hop long")
     for hop in range(1, most + 1):
         new = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long"))
-        new = _checkpoint(new)
+        new = checkpointed(new)
         if new.isEmpty():
             break
         seen, frontier = seen.union(new), new

@@ -213,11 +213,11 @@ def no_data(spark, sf_dir):
     return got.select("est_id", "mean", "variance", "info", "n_hard")
 
 
-@query("coincident", f"WITH {P} SELECT obs_id AS est_id, z AS mean, 0.0::DOUBLE AS variance, 'duplicate' AS info FROM p WHERE obs_id % 40 = 0")
+@query("coincident", f"WITH {P} SELECT obs_id AS est_id, z AS mean, 0.0::DOUBLE AS variance, 'duplicate' AS info FROM p")
 def coincident(spark, sf_dir):
-    """Points that lie on data: the query asks for the thinned lattice of parts."""
+    """Points that lie on data: each part is estimated from all parts."""
     p = parts(spark, sf_dir)
-    est = p.where("obs_id % 40 = 0").select(F.col("obs_id").alias("est_id"), "coords")
+    est = p.select(F.col("obs_id").alias("est_id"), "coords")
     return predict.bme_predict(est, p, None, Covariance("exponential", [40000, 12]), nhmax=4).select("est_id", "mean", "variance", "info")
 
 
@@ -407,8 +407,8 @@ def colour_cap(spark, sf_dir):
 
 @query("fit")
 def fit(spark, sf_dir):
-    """Three models fitted side by side to the parts of the first rows of the lattice, as many as one fit takes."""
-    return statistics.fit_covariance(parts(spark, sf_dir).orderBy("obs_id").limit(150), ["exponential", "gaussian", "spherical"])
+    """A fit for each column of the lattice, side by side."""
+    return statistics.fit_covariance(parts(spark, sf_dir), ["exponential"], by="x")
 
 
 # --- soft densities -------------------------------------------------------------------------------------------------------
@@ -514,11 +514,11 @@ def network_footprint(spark, sf_dir):
 
 @query("network_bme")
 def network_bme(spark, sf_dir):
-    """Nodes 0 to 39 of a ring; parts give data at some of them."""
-    cov = network.NetworkCovariance.of(_ring(spark), 40, 0.5, 40000.0)
-    hard = parts(spark, sf_dir).groupBy(F.pmod("obs_id", F.lit(40)).alias("node")).agg(F.avg("z").alias("z")).where("node % 3 = 0").select(F.col("node").alias("obs_id"), "node", "z")
-    soft = spark.range(40).where("id % 3 = 1").select(F.col("id").alias("soft_id"), F.col("id").alias("node"), softpdf.gaussian_column(F.lit(950.0) + F.col("id"), F.lit(30.0)).alias("pdf"))
-    return predict.bme_predict_network(spark.range(40).select(F.col("id").alias("est_id"), F.col("id").alias("node")), hard, soft, cov, nsmax=2, n_grid=60).drop("z_grid", "pdf")
+    """A ring of 60 nodes: the parts give data at the first 40, and every other one of the rest has a density."""
+    cov = network.NetworkCovariance.of(_ring(spark, 60), 60, 0.5, 40000.0)
+    hard = parts(spark, sf_dir).groupBy(F.pmod("obs_id", F.lit(40)).alias("node")).agg(F.avg("z").alias("z")).select(F.col("node").alias("obs_id"), "node", "z")
+    soft = spark.range(40, 60, 2).select(F.col("id").alias("soft_id"), F.col("id").alias("node"), softpdf.gaussian_column(F.lit(950.0) + F.col("id"), F.lit(30.0)).alias("pdf"))
+    return predict.bme_predict_network(spark.range(60).select(F.col("id").alias("est_id"), F.col("id").alias("node")), hard, soft, cov, nsmax=2, n_grid=60).drop("z_grid", "pdf")
 
 
 @query("routed_network_bme")
@@ -569,12 +569,13 @@ def mesh_precision(spark, sf_dir):
 
 @query("mesh_kriging")
 def mesh_kriging(spark, sf_dir):
-    """Parts of the lattice's first rows on their own mesh, estimated at the suppliers."""
-    obs = parts(spark, sf_dir).where("obs_id < 97 * 3 AND obs_id % 4 = 0").select("x", "y", "z").toPandas().to_numpy(float)
-    est = suppliers(spark, sf_dir).where("y < 3").select("est_id", "x", "y").toPandas()
-    m = mesh.Mesh.from_points(obs[:, :2], max_edge=4.0)
-    mean, variance = mesh.spde_kriging(m, obs[:, :2], obs[:, 2] - obs[:, 2].mean(), est[["x", "y"]].to_numpy(float), 40000.0, 12.0)
-    return spark.createDataFrame(est.assign(mean=mean + obs[:, 2].mean(), variance=variance)[["est_id", "mean", "variance"]])
+    """The suppliers' balances on a mesh of their own, estimated at all parts."""
+    s = suppliers(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("est_id"), F.col("s_acctbal").cast("double").alias("z")), "est_id")
+    obs = s.orderBy("est_id").select("x", "y", "z").toPandas().to_numpy(float)
+    est = parts(spark, sf_dir).orderBy("obs_id").select("obs_id", "x", "y").toPandas()
+    m = mesh.Mesh.from_points(obs[:, :2], max_edge=6.0)
+    mean, variance = mesh.spde_kriging(m, obs[:, :2], obs[:, 2] - obs[:, 2].mean(), est[["x", "y"]].to_numpy(float), 9e6, 12.0)
+    return spark.createDataFrame(est.assign(mean=mean + obs[:, 2].mean(), variance=variance)[["obs_id", "mean", "variance"]])
 
 
 # --- time series ------------------------------------------------------------------------------------------------------------
