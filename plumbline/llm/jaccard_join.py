@@ -168,11 +168,21 @@ def _signature_rows(k: int, num: int, den: int):
     return run
 
 
-def shared_ranges(rows: DataFrame, to_rep: DataFrame) -> DataFrame:
-    """The rows (sig, node, need) whose signature several sets have; a set stands under its first document."""
+def shared_ranges(rows: DataFrame) -> DataFrame:
+    """The rows (sig, node, need) whose signature another node has too."""
     w = Window.partitionBy("sig").orderBy("node")
-    shared = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)}).where("before <> node OR after <> node").select("sig", "node", "need")
-    return shared.join(to_rep, F.col("node") == F.col("doc_id"), "left").groupBy("sig", F.coalesce("rep", "node").alias("node")).agg(F.min("need").alias("need"))
+    return rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)}).where("before <> node OR after <> node").select("sig", "node", "need")
+
+
+def renamed(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows with each node as ``names`` (node, group) has it, once for each signature; of nodes it hasn't, as they are.
+
+    Rows of nodes that surely keep their name don't take part in the join.
+    """
+    known = maybe(shared, "node", names)
+    moved = shared.where(known).join(names.hint("merge"), "node", "left").select("sig", F.coalesce("group", "node").alias("node"), "need")
+    kept = shared.where(~known).select("sig", "node", "need")
+    return moved.union(kept).repartition("sig").groupBy("sig", "node").agg(F.min("need").alias("need"))
 
 
 def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
@@ -196,11 +206,16 @@ def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
     return pairs.union(chain)
 
 
-def mostly(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows with a key among ``keys``, and few others, so that a join to come shuffles little; all rows if the filter would be over its bound."""
+def maybe(rows: DataFrame, key: str, keys: DataFrame):
+    """A condition that holds for rows with a key among ``keys`` and for few others; for all rows if the filter would be over its bound."""
     keys = keys.select(F.col(key).alias("key")).distinct()
     n = keys.count()
-    return rows.where(Level(keys, 0, n).passes(F.col(key))) if n * BITS_PER_KEY <= MAX_BITS else rows
+    return Level(keys, 0, n).passes(F.col(key)) if n * BITS_PER_KEY <= MAX_BITS else F.lit(True)
+
+
+def matched(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """An inner join that shuffles, at any size, those of ``rows`` (texts or tokens) that may match."""
+    return rows.where(maybe(rows, key, other)).join(other.hint("merge"), key)
 
 
 def _token_rows(k: int):
@@ -385,21 +400,25 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     of_doc = cut(of_doc)
 
     rows = named.mapInArrow(_signature_rows(k, num, den), "sig long, node long, need int")
-    shared = cut(shared_ranges(rows, of_doc.where("rep <> doc_id").select("doc_id", "rep").distinct()))
+    shared = cut(shared_ranges(rows))
+    # A set stands under its first document.
+    to_rep = of_doc.where("rep <> doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("rep").alias("rep"))
+    held = cut(shared.select("node").distinct().join(to_rep, "node", "left").select("node", F.coalesce("rep", "node").alias("rep")))
     of_node = sets.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.min("low").alias("low"))
-    nodes = cut(shared.select("node").distinct().join(of_node, "node"))
+    nodes = cut(held.select(F.col("rep").alias("node")).distinct().join(of_node, "node"))
     # Sets with the same smallest token meet first: linked ones mostly have it, and go on as one group.
     near = _parted(nodes.select("node", "n", F.col("low").alias("coarse")), group_tokens)
     alone = F.count(F.lit(1)).over(Window.partitionBy("coarse", "part")) == 1
     near = cut(near.select("node", F.when(~alone, F.col("coarse")).alias("coarse"), "part"))
     # A repeated id brings several sets under one node; each is compared, and the classes meet again by the id.
-    text = mostly(named.withColumnRenamed("doc_id", "node"), "node", near).join(near, "node").select("node", "text", "coarse", "part")
+    text = matched(named.withColumnRenamed("doc_id", "node"), "node", near).select("node", "text", "coarse", "part")
     tokens = cut(text.mapInArrow(_token_rows(k), "node long, coarse long, part long, tokens binary"))
     first = cut(_grouped(tokens.where("coarse IS NOT NULL"), num, den).groupBy("node").agg(F.min("root").alias("root")))
     tokens = tokens.select("node", "tokens")
     groups = nodes.select("node", "n").join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
     groups = cut(groups)
-    pairs = cut(coarse_links(shared.join(groups.select("node", "group"), "node").groupBy("sig", F.col("group").alias("node")).agg(F.min("need").alias("need"))))
+    names = cut(held.join(groups.select(F.col("node").alias("rep"), "group"), "rep").where("node <> group").select("node", "group"))
+    pairs = cut(coarse_links(renamed(shared, names)))
     links = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = cut(links.union(_verified(tokens, groups, pairs, num, den, group_tokens)))
 
@@ -422,8 +441,7 @@ def _verified(tokens: DataFrame, groups: DataFrame, pairs: DataFrame, num: int,
     """Links (a, b) that make each class within the coarse groups connected."""
     coarse = components(pairs.select("a", "b")).select(F.col("node").alias("group"), F.col("component").alias("coarse"))
     placed = cut(_parted(groups.join(coarse, "group").select("coarse", "node", "n"), group_tokens))
-    tokens = mostly(tokens, "node", placed)
-    local = cut(_grouped(tokens.join(placed, "node"), num, den))
+    local = cut(_grouped(matched(tokens, "node", placed), num, den))
     links = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
     large = placed.where("part > 0").select("coarse").distinct()
     large = cut(large)
