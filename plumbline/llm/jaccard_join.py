@@ -188,8 +188,9 @@ def renamed(shared: DataFrame, names: DataFrame) -> DataFrame:
 def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
     """Pairs (a, b, chain) of groups such that groups with a link are connected through them, from (sig, node, need) of groups.
 
-    Two linked sets share ``need`` signatures of either, and so do the groups that hold them. A signature of more than
-    ``common`` groups would give too many pairs. A group with h such common signatures shares at least need - h others with
+    Two linked sets share ``need`` signatures of either. Their groups share at least those, and maybe others that only less
+    similar members hold, with a larger need; on a signature of the linked sets neither group's need is over theirs, so the
+    smallest need on any shared signature is the bar. A signature of more than ``common`` groups would give too many pairs. A group with h such common signatures shares at least need - h others with
     a group it links with; so pairs are counted over the others alone. Only groups with h >= need could link by common
     signatures alone: of those, the holders of each common signature are chained. So every link is within a group, or is of
     a pair without ``chain``, or of two chained groups.
@@ -200,7 +201,7 @@ def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
     shared = shared.join(hot, "node", "left").select("sig", "common", "node", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need"))
     few = shared.where("NOT common").select("sig", "node", "need")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("need").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("need").alias("nb")), "sig").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b", F.lit(False).alias("chain"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b", F.lit(False).alias("chain"))
     before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
     chain = shared.where("common AND need <= 0").withColumn("before", before).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"), F.lit(True).alias("chain")).distinct()
     return pairs.union(chain)

@@ -92,6 +92,19 @@ def test_linked_sets_share_what_they_must():
                 assert len(np.intersect1d(found[0][0], found[1][0])) >= max(found[0][1], found[1][1])
 
 
+def test_a_less_similar_member_keeps_no_link_out(spark):
+    rows = [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 1, 5), (1, 2, 3), (2, 2, 3), (3, 2, 3), (4, 2, 3)]  # signature 4 of a member of group 1 that isn't the linked one
+    links = jj.coarse_links(spark.createDataFrame(rows, "sig long, node long, need int")).collect()
+    assert [tuple(r) for r in links] == [(1, 2, False)]
+
+
+def test_three_sets_of_which_two_meet_first(spark):
+    base = "t141142 t574751 t956165 t756184 t947488 t177202 t682955 t517719 t155172 t20218 t812514 t611441 t35384 t502424 t153388 t197764 t794164 t823852"
+    rows = [(1, base), (2, base + " x976616 x451409 x255378"), (3, base + " x976616 x475295 x685332")]
+    got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()
+    assert sorted(map(tuple, got), key=str) == classes(rows, 1, 85, 100) and {r["component_id"] for r in got} == {1}
+
+
 def without_repeats(rows, width):
     first = {}
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
