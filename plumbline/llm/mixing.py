@@ -6,17 +6,20 @@ each source has had less than one block more or less than its weight's share.
 
 Weights are whole numbers of parts, so the schedule repeats after as many slots as there are parts: one period is
 computed and its table serves any number of blocks. When a source has no block left, the others share the slots by
-their weights from there on: a phase. There are no more phases than sources, so what is sent to the tasks depends on the
-weights alone.
+their weights from there on: a phase. There are no more phases than classes, so what is sent to the tasks depends on the
+weights and the number of classes alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,7 +57,7 @@ class Phase:
     start: int
     total: int
     first: dict[str, int]
-    slots: dict[str, list[int]]
+    slots: dict[str, array]
 
 
 def phases(parts: Mapping[str, int], blocks: Mapping[str, int]) -> list[Phase]:
@@ -64,84 +67,87 @@ def phases(parts: Mapping[str, int], blocks: Mapping[str, int]) -> list[Phase]:
     while active := {s: parts[s] for s in blocks if blocks[s] > done[s]}:
         slots, total = period(active), sum(active.values())
         length = min((left - 1) // p * total + slots[s][(left - 1) % p] + 1 for s, p in active.items() for left in [blocks[s] - done[s]])
-        out.append(Phase(start, total, {s: done[s] for s in active}, slots))
+        out.append(Phase(start, total, {s: done[s] for s in active}, {s: array("H", x) for s, x in slots.items()}))
         for s, p in active.items():
             done[s] += length // total * p + sum(x < length % total for x in slots[s])
         start += length
     return out
 
 
-def _slot(plan: list[Phase], source: str):
-    """The slot of block ``block`` of a source, as an expression."""
-    out = F.lit(None).cast("long")
-    for ph in plan:
-        if source in ph.slots:
-            p = len(ph.slots[source])
-            nth = F.col("block") - ph.first[source]
-            table = F.array(*(F.lit(x) for x in ph.slots[source]))
-            here = F.lit(ph.start) + F.expr(f"(block - {ph.first[source]}L) DIV {p}") * ph.total + F.element_at(table, (F.pmod(nth, F.lit(p)) + 1).cast("int"))
-            out = F.when(nth >= 0, here).otherwise(out)
-    return out
+def _table(spark: SparkSession, plan: list[Phase], short: Mapping[str, int]) -> DataFrame:
+    """A row for each class, with its phases in arrays; ``back`` are the rows that blocks of used-up classes lack before a phase."""
+    back, lacking = [], 0
+    for ph, after in zip(plan, [*plan[1:], None]):  # noqa: B905
+        back.append(lacking)
+        lacking += sum(short[s] for s in ph.slots if after is None or s not in after.slots)
+    rows = [(s, [(ph, b) for ph, b in zip(plan, back, strict=True) if s in ph.slots]) for s in (plan[0].slots if plan else ())]
+    longs, tables = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int16()))
+    columns = {
+        "__key": pa.array([s for s, _ in rows], pa.string()), "__first": pa.array([[ph.first[s] for ph, _ in x] for s, x in rows], longs), "__start": pa.array([[ph.start for ph, _ in x] for _, x in rows], longs),
+        "__total": pa.array([[ph.total for ph, _ in x] for _, x in rows], longs), "__back": pa.array([[b for _, b in x] for _, x in rows], longs), "__slots": pa.array([[ph.slots[s] for ph, _ in x] for s, x in rows], tables),
+    }
+    return spark.createDataFrame(pa.table(columns))
+
+
+def _classes(by_source: DataFrame, parts: Mapping[str, int], rest: int) -> tuple[dict[str, int], bool]:
+    """Weights of the sources (source, n) that have a class of their own, and whether others are left."""
+    present = {r[0]: parts[r[0]] for r in by_source.where(F.col("source").isin(list(parts))).select("source").collect()} if parts else {}
+    unit = math.gcd(rest, *present.values())
+    most = (MAX_PARTS * unit - sum(present.values()) - rest) // rest
+    others = by_source.where("source IS NOT NULL").where(~F.col("source").isin(list(present)) if present else F.lit(True))
+    found = [r[0] for r in others.orderBy(F.desc("n"), "source").limit(most + 1).select("source").collect()]
+    return present | dict.fromkeys(found[:most], rest), len(found) > most
 
 
 def mix(docs: DataFrame, parts: Mapping[str, int], rest: int = 1, block_rows: int = 32, source: str = "source", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """All rows of ``docs`` with ``mix_class``, ``block``, ``slot`` and ``position`` (from 0, dense) of the mixture.
 
-    ``parts`` are whole-number weights by source; sources that it doesn't name, null among them, form one class (null) of
-    weight ``rest``. A block is ``block_rows`` rows, a class's last may be smaller. Rows are never dropped or repeated:
-    when a class is used up the others go on by their weights. The order within a class is that of a hash of the whole row,
-    then of the row's columns; equal rows are interchangeable, so repeated rows and ties give one defined mixture. Columns of
-    ``docs`` with the new names are replaced, those that begin with two underscores left out. No rows give no rows.
+    ``parts`` are whole-number weights by source; each source present that it doesn't name is a class of its own of weight
+    ``rest``. Only rows without a source share a class (null) of that weight. Where the weights of all classes, over their
+    common divisor, would be more than ``MAX_PARTS``, the unnamed sources with the most rows (then the first by name) have
+    classes as far as that goes, and the others are in the null class. A block is ``block_rows`` rows, a class's last may be
+    smaller. Rows are never dropped or repeated: when a class is used up the others go on by their weights. The order within
+    a class is that of a hash of the whole row, then of the row's columns; equal rows are interchangeable, so repeated rows
+    and ties give one defined mixture. Columns of ``docs`` with the new names are replaced, those that begin with two
+    underscores left out. No rows give no rows.
 
     A class of any size is ordered in pieces of about ``piece_rows`` rows by hash, each in a task; pieces are numbered from
-    their counts. The driver sees one count for each class.
+    their counts. The driver sees one count for each class; the table of slots goes to the tasks.
     """
     if any(p < 1 for p in (*parts.values(), rest)) or sum(parts.values()) + rest > MAX_PARTS:
         raise ValueError(f"weights are whole numbers from 1, together at most {MAX_PARTS}")
     new = {"mix_class", "block", "slot", "position"}
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new and not c.startswith("__")))
-    rows = docs
-    names = list(parts)
     named = F.col(f"`{source}`").cast("string")
-    rows = rows.withColumn("__class", F.when(named.isin(names), named)) if names else rows.withColumn("__class", F.lit(None).cast("string"))
-    rows = rows.withColumn("__h", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    n_rows = docs.count()
+    by_source = cut(docs.groupBy(named.alias("source")).agg(F.count(F.lit(1)).alias("n")))
+    n_rows = by_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    weights, more = _classes(by_source, parts, rest)
+    rows = docs.withColumn("__class", F.when(named.isin(list(weights)), named) if more else named)
+    rows = rows.withColumns({"__key": F.coalesce(F.concat(F.lit("="), "__class"), F.lit("")), "__h": F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
     pieces = max(1, -(-n_rows // piece_rows))
     rows = rows.withColumn("__piece", F.expr(f"CAST(floor((CAST(__h AS DOUBLE) / 18446744073709551616D + 0.5D) * {pieces}L) AS BIGINT)"))
-    counts = cut(rows.groupBy("__class", "__piece").agg(F.count(F.lit(1)).alias("__n")))
-    before = F.sum("__n").over(Window.partitionBy("__class").orderBy("__piece")) - F.col("__n")
-    offsets = counts.withColumn("__before", before).select(F.coalesce("__class", F.lit("")).alias("__oc"), F.col("__class").isNull().alias("__on"), F.col("__piece").alias("__op"), "__before")
-    sizes = {r[0]: r[1] for r in counts.groupBy("__class").agg(F.sum("__n")).collect()}
-    weights = {"": rest} | {f"={s}": p for s, p in parts.items()}
-    key = {None: ""} | {s: f"={s}" for s in names}
-    n_blocks = {key[s]: -(-n // block_rows) for s, n in sizes.items()}
-    plan = phases({k: weights[k] for k in n_blocks}, n_blocks)
+    counts = cut(rows.groupBy("__key", "__piece").agg(F.count(F.lit(1)).alias("__n")))
+    before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__piece")) - F.col("__n")
+    offsets = counts.select("__key", "__piece", before.alias("__before"))
+    sizes = {r[0]: r[1] for r in counts.groupBy("__key").agg(F.sum("__n")).collect()}
+    weights = {"": rest} | {f"={s}": p for s, p in weights.items()}
+    unit = math.gcd(*(weights[k] for k in sizes))
+    plan = phases({k: weights[k] // unit for k in sizes}, {k: -(-n // block_rows) for k, n in sizes.items()})
+    table = _table(docs.sparkSession, plan, {k: -n % block_rows for k, n in sizes.items()})
 
     order = [F.col("__h"), *(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t)]
-    nth = F.row_number().over(Window.partitionBy("__oc", "__on", "__op").orderBy(*order))
-    rows = rows.withColumns({"__oc": F.coalesce("__class", F.lit("")), "__on": F.col("__class").isNull(), "__op": F.col("__piece")})
-    placed = rows.join(offsets, ["__oc", "__on", "__op"]).withColumn("__nth", nth + F.col("__before") - 1).withColumn("block", F.expr(f"__nth DIV {block_rows}L"))
-    slot = F.lit(None).cast("long")
-    for s in sizes:
-        slot = F.when(F.col("__class").eqNullSafe(F.lit(s)), _slot(plan, key[s])).otherwise(slot)
-    placed = placed.withColumn("slot", slot)
+    nth = F.row_number().over(Window.partitionBy("__key", "__piece").orderBy(*order))
+    placed = rows.join(offsets, ["__key", "__piece"]).withColumn("__nth", nth + F.col("__before") - 1).withColumn("block", F.expr(f"__nth DIV {block_rows}L"))
+    placed = placed.join(F.broadcast(table), "__key").withColumn("__at", F.expr("size(filter(__first, x -> x <= block)) - 1"))
+    placed = placed.withColumns({"__of": F.expr("__slots[__at]"), "__in": F.expr("block - __first[__at]")})
+    placed = placed.withColumn("slot", F.expr("__start[__at] + __in DIV size(__of) * __total[__at] + __of[CAST(__in % size(__of) AS INT)]"))
     # A class's last block may be short by some rows: what comes later stands so much further to the front.
-    position = F.col("slot") * block_rows + F.pmod(F.col("__nth"), F.lit(block_rows))
-    for s, n in sizes.items():
-        if short := -n % block_rows:
-            last = _last_slot(plan, key[s], n_blocks[key[s]])
-            position = position - F.when(F.col("slot") > last, F.lit(short)).otherwise(0)
+    position = F.col("slot") * block_rows + F.pmod(F.col("__nth"), F.lit(block_rows)) - F.expr("__back[__at]")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return placed.select(*kept, F.col("__class").alias("mix_class"), F.col("block").cast("long"), F.col("slot").cast("long"), position.cast("long").alias("position"))
 
 
-def _last_slot(plan: list[Phase], source: str, n_blocks: int) -> int:
-    ph = [p for p in plan if source in p.slots][-1]
-    nth, p = n_blocks - 1 - ph.first[source], len(ph.slots[source])
-    return ph.start + nth // p * ph.total + ph.slots[source][nth % p]
-
-
-# Weights of the queries: the largest source a quarter, the next ones in falling parts, others together the rest.
+# Weights of the queries: the largest source 25 parts, the next ones fewer, each other source QUERY_REST.
 QUERY_PARTS = {"src0": 25, "src1": 15, "src2": 12, "src3": 10, "src4": 8, "src5": 6, "src6": 5, "src7": 4, "src8": 3, "src9": 2}
 QUERY_REST = 10
 

@@ -221,6 +221,25 @@ def test_mixture_keeps_within_a_block(spark, odd, none):
         mixing.mix(none, {"a": 0})
 
 
+def test_unnamed_sources_are_scheduled_each(spark, monkeypatch):
+    rows = [(i, f"s{i % 7}" if i % 8 else None) for i in range(3001)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, {"s0": 4, "absent": 3}, 2, block_rows=8, piece_rows=300).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(3001)) and sorted((r["doc_id"], r["source"]) for r in got) == rows
+    assert all(r["mix_class"] == r["source"] for r in got)
+    weights, done = {"s0": 4, None: 2} | {f"s{i}": 2 for i in range(1, 7)}, Counter()
+    left = Counter({k: -(-n // 8) for k, n in Counter(r["mix_class"] for r in got).items()})
+    for t, s in sorted({r["slot"]: r["mix_class"] for r in got}.items()):
+        if any(done[k] == left[k] for k in weights):
+            break
+        done[s] += 1
+        assert all(abs(done[k] - weights[k] * (t + 1) / 18) < 1 for k in weights)
+    assert t > 100
+    monkeypatch.setattr(mixing, "MAX_PARTS", 4)  # s0 has 2 parts, the null class and one source 1 each
+    few = mixing.mix(docs, {"s0": 2}, 1, block_rows=8, piece_rows=300).collect()
+    assert sorted(r["position"] for r in few) == list(range(3001)) and len({r["mix_class"] for r in few}) == 3
+
+
 @pytest.mark.parametrize("parts", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 5, "c": 3, "d": 2}, {f"s{i}": i + 1 for i in range(20)}])
 def test_period_meets_every_deadline(parts):
     slots, total = mixing.period(parts), sum(parts.values())
