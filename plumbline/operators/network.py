@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql.window import Window
 from plumbline.functions.covariance import Covariance
 
 DENSE_NODES = 5000
+#: Rounds after which a table that grows by a union each round is written anew, so that its plan stays short.
+COMPACT = 16
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -73,16 +76,20 @@ def matvec(m: DataFrame, x: DataFrame) -> DataFrame:
     return m.join(x.select(F.col("node").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x")).withColumnRenamed("i", "node")
 
 
-def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, steps: int = 200) -> DataFrame:
-    """Solves m x = b on entry tables, with the diagonal as preconditioner: any number of nodes; state is written each step."""
+def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, steps: int | None = None) -> DataFrame:
+    """Solves m x = b on entry tables, with the diagonal as preconditioner: any number of nodes; state is written each step.
+
+    Raises if the residual isn't within ``tol`` of the first after ``steps`` (200, or ten for each node if that is more).
+    """
     diagonal = m.where("i = j").select(F.col("i").alias("node"), F.col("v").alias("d"))
     state = diagonal.join(b.select("node", F.col("x").alias("r")), "node", "left").select("node", "d", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"))
     state = state.withColumn("p", F.col("r") / F.col("d"))
     state = checkpointed(state)
-    rz, first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
+    rz, first, n = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r")), F.count(F.lit(1))).first()
+    if not first or rz is None:
+        return state.select("node", "x")
+    steps = max(200, 10 * n) if steps is None else steps
     for _ in range(steps):
-        if not first or rz is None:
-            break
         q = matvec(m, state.select("node", F.col("p").alias("x"))).withColumnRenamed("x", "q")
         now = checkpointed(state.join(q, "node"))
         alpha = rz / now.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
@@ -92,6 +99,8 @@ def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, steps: int
         if size <= tol * tol * first:
             break
         rz = new
+    else:
+        raise RuntimeError(f"residual not settled in {steps} steps")
     return state.select("node", "x")
 
 
@@ -103,17 +112,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hops(edges: DataFrame, start: int, most: int = 100) -> DataFrame:
-    """(node, hop) by breadth-first rounds of joins, each written."""
+def hops(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
+    """(node, hop) by breadth-first rounds of joins, each written, until no node is left; raises if some are beyond ``most`` hops."""
     spark = edges.sparkSession
     step = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     seen = frontier = spark.createDataFrame([(start, 0)], "node long, hop long")
-    for hop in range(1, most + 1):
+    for hop in count(1):
         new = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long"))
         new = checkpointed(new)
         if new.isEmpty():
             break
+        if most is not None and hop > most:
+            raise RuntimeError(f"nodes beyond {most} hops")
         seen, frontier = seen.union(new), new
+        if hop % COMPACT == 0:
+            seen = checkpointed(seen)
     return seen
 
 

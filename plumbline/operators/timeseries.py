@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.network import COMPACT, checkpointed
+
 # Dry-weather multipliers by hour of day and by day of week.
 HOURLY = [0.69, 0.65, 0.62, 0.60, 0.63, 0.75, 0.91, 1.06, 1.17, 1.15, 1.09, 1.02, 0.98, 0.99, 1.03, 1.10, 1.20, 1.28, 1.24, 1.14, 1.03, 0.93, 0.83, 0.75]
 DAILY = [1.00, 1.02, 1.04, 1.03, 1.06, 0.93, 0.88]
@@ -78,25 +80,33 @@ def delayed(series: DataFrame, by: list[str], delay: float, dt: float, value: st
     return series.withColumn("delayed", F.coalesce(blend, F.lit(0.0)))
 
 
-def routed(local: DataFrame, links: DataFrame, dt: float, velocity: float, loss: float, levels: int = 12) -> DataFrame:
+def routed(local: DataFrame, links: DataFrame, dt: float, velocity: float, loss: float, levels: int | None = None) -> DataFrame:
     """Flow (node, step, v) of local inflows (node, step, v) and all that arrives from upstream, delayed and weakened.
 
-    Rounds from the sources down: each adds what the nodes of one level pass on, for as many levels as the longest path has.
+    Rounds from the sources down, each written: each adds what the nodes of one level pass on, for as many levels as the
+    longest path has. Flow that is left after ``levels`` rounds (the number of nodes with a link to them, where it isn't
+    given: only a cycle has a longer path) raises.
     """
     link = links.select("src", "dst", (F.col("length") / max(velocity, 1e-12) / 3600.0 / dt).alias("steps"), F.exp(-loss * F.col("length") / 1000.0).alias("keep"))
     link = link.select("src", "dst", "keep", F.floor("steps").alias("whole"), (F.col("steps") - F.floor("steps")).alias("part"))
     last = local.agg(F.max("step")).first()[0]
+    most = link.select("dst").distinct().count() if levels is None else levels
     total, wave = local, local
-    for _ in range(levels):
+    for level in range(most + 1):
         parts = wave.withColumnRenamed("node", "src").join(link, "src")
         # The wave at t - delay lies between two steps; before the first step there is none.
         here = F.struct(F.col("whole").alias("n"), (1 - F.col("part")).alias("w"), (F.col("part") > 0).alias("low"))
         after = F.struct((F.col("whole") + 1).alias("n"), F.col("part").alias("w"), F.lit(False).alias("low"))
         moved = parts.select("dst", "step", "v", "keep", F.explode(F.array(here, after)).alias("m")).where("NOT (step = 0 AND m.low)")
         wave = moved.groupBy(F.col("dst").alias("node"), (F.col("step") + F.col("m.n")).alias("step")).agg(F.sum(F.col("v") * F.col("keep") * F.col("m.w")).alias("v")).where(F.col("step") <= last)
+        wave = checkpointed(wave)
         if wave.isEmpty():
             break
+        if level == most:
+            raise RuntimeError(f"flow not settled in {most} levels")
         total = total.unionByName(wave)
+        if level % COMPACT == COMPACT - 1:
+            total = checkpointed(total)
     return total.groupBy("node", "step").agg(F.greatest(F.sum("v"), F.lit(0.0)).alias("v"))
 
 

@@ -73,6 +73,17 @@ def test_precision_kriging_and_gradients(spark):
     assert network.hops(line, 0).agg(F.max("hop")).first()[0] == 9
 
 
+def test_hops_and_gradients_go_to_the_end(spark):
+    line = edges(spark, [(i, i + 1) for i in range(104)])
+    assert network.hops(line, 0).agg(F.max("hop"), F.count("node")).first()[:] == (104, 105)
+    with pytest.raises(RuntimeError):
+        network.hops(line, 100, most=3).count()
+    assert network.hops(line.where("dst < 4"), 0, most=3).count() == 4
+    q = network.precision(network.laplacian(network.adjacency(line.where("dst < 10"))), spark.range(10).withColumnRenamed("id", "node"), 0.8)
+    with pytest.raises(RuntimeError):
+        network.conjugate_gradient(q, spark.createDataFrame([(4, 1.0)], "node long, x double"), steps=2)
+
+
 def test_mesh(spark):
     points = np.stack([g.ravel() for g in np.meshgrid(np.linspace(0, 10, 10), np.linspace(0, 10, 10))], axis=1)
     tri = mesh.delaunay(points)
@@ -170,6 +181,15 @@ def test_routing_equals_direct_sum(spark):
         assert got[name].to_numpy() == pytest.approx(flow[name], abs=1e-9)
 
 
+def test_routing_goes_down_the_longest_path(spark):
+    local = spark.createDataFrame([("n00", t, 1.0) for t in range(3)], "node string, step long, v double")
+    links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 0.0) for i in range(20)], "src string, dst string, length double")
+    got = timeseries.routed(local, links, 0.25, 0.5, 0.003).collect()
+    assert len(got) == 21 * 3 and {r["v"] for r in got} == {1.0}
+    with pytest.raises(RuntimeError):
+        timeseries.routed(local, links.union(spark.createDataFrame([("n02", "n01", 0.0)], links.schema)), 0.25, 0.5, 0.003, levels=5)
+
+
 INP = """[TITLE]
 ;; a comment
 [junctions]
