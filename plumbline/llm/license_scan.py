@@ -131,13 +131,18 @@ class Scanner:
         return out
 
     def matches(self, words: list[int], at: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-        """Places (start, phrase) and maximal matches (template, place in it, place in the text, words) of a run of known words that begins at ``at``."""
+        """Places (start, phrase) and matches (template, place in it, place in the text, words) of a run of known words that begins at ``at``.
+
+        Matches are the longest where they stop growing, and all templates that stand whole in the run, inside longer ones too.
+        """
         places, long = [], []
         stats = self.statistics(words)
         for i, (size, state) in enumerate(stats):
             for t in self.automaton.complete[state]:
-                if t < self.n_phrases and self.sizes[t] <= size:
-                    places.append((at + i + 1 - self.sizes[t], t))
+                if self.sizes[t] <= size:
+                    long.append((t, 0, at + i + 1 - self.sizes[t], self.sizes[t]))
+                    if t < self.n_phrases:
+                        places.append((at + i + 1 - self.sizes[t], t))
             grows = i + 1 < len(stats) and stats[i + 1][0] == size + 1
             if not grows and size >= min(self.long_match, self.shortest):
                 for t, end in self.automaton.ends[state]:

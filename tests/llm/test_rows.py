@@ -72,6 +72,14 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(none).count() == 0
 
 
+def test_a_template_inside_a_longer_match_counts(spark):
+    nested = "licensed under the apache license version 2 0 the license"
+    r = license_scan.scan_licenses(spark.createDataFrame([(nested,)], "text string")).first()
+    assert r["score"] == 1 and (0, 8, "apache-2") in [tuple(x) for x in r["license_spans"]]
+    own = license_scan.Scanner([("p", "yy zz")], [("long", "a b c d e f g h i j k l"), ("short", "c d e f")])
+    assert own.scan(pa.array(["a b c d e f g", "c d e g"]))[0][5] == "short" and own.scan(pa.array(["c d e g"]))[0][5] == ""
+
+
 def test_matching_statistics():
     s = license_scan.Scanner([("p", "a b")], [("t", "a b c a b d"), ("u", "b c x")])
     code = {w: i for w, i in zip(["a", "b", "c", "d", "x"], [int(np.searchsorted(s.vocabulary, h)) for h in [x for w in "abcdx" for x in s_hash(w)]], strict=True)}
