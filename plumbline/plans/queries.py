@@ -407,8 +407,9 @@ def colour_cap(spark, sf_dir):
 
 @query("fit")
 def fit(spark, sf_dir):
-    """A fit for each column of the lattice, side by side."""
-    return statistics.fit_covariance(parts(spark, sf_dir), ["exponential"], by="x")
+    """A fit of each model to each square of 20 by 20 of the plane, side by side; a square has at most 400 points at any size."""
+    tile = F.concat_ws(" ", *(F.floor(F.col(c) / 20).cast("string") for c in ("x", "y")))
+    return statistics.fit_covariance(parts(spark, sf_dir).withColumn("tile", tile), ["exponential", "gaussian", "spherical"], by="tile")
 
 
 # --- soft densities -------------------------------------------------------------------------------------------------------

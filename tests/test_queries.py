@@ -34,3 +34,8 @@ def test_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fit_is_of_the_plane_with_all_models(spark):
+    got = queries.QUERIES["fit"](spark, SF).collect()
+    assert sorted((r["group"], r["model"]) for r in got) == [(f"{x} 0", m) for x in range(5) for m in ("exponential", "gaussian", "spherical")]
