@@ -138,14 +138,14 @@ def covered(stretches: list[tuple[int, int]]) -> int:
 _FOUND = "n_words long, n_hit long, n_items long, items array<string>"
 
 
-def _columns(rows: list[tuple[int, int, list[str]]]) -> list[pa.Array]:
+def _columns(rows: list[tuple[int, int, set[str | None]]]) -> list[pa.Array]:
     n, hit, items = zip(*rows, strict=True) if rows else ((), (), ())
-    return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string()))]
+    return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string()))]
 
 
 def _passes(benchmark: DataFrame, table_bytes: int) -> Iterator[list]:
     """Items in blocks of bounded size; a block alone is ever on the driver."""
-    rows = only(benchmark, item_id="string", text="string").where("text IS NOT NULL AND item_id IS NOT NULL")
+    rows = only(benchmark, item_id="string", text="string").where("text IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // table_bytes) or 1
     for i in range(n):
@@ -157,8 +157,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, table
 
     Words are runs of letters a-z, digits and non-ASCII characters with A-Z lower-cased. A test string is a window of
     ``width`` words of an item (a shorter, not wordless item is one). A word inside any occurrence counts as hit; items are
-    those with an occurrence, as strings in order. A text is contaminated if a twentieth of its words or more is hit. Null,
-    empty and blank texts have no words; items without words, text or id are no test strings. Rows, repeated or not, are
+    those with an occurrence, as strings in order; those without id count in n_items as one and aren't listed. A text is contaminated if a twentieth of its words or more is hit. Null,
+    empty and blank texts have no words; items without words or text are no test strings. Rows, repeated or not, are
     judged alone, in the scan's own tasks: nothing is shuffled. Columns of ``docs`` with the new names are replaced.
     """
     spark = docs.sparkSession
@@ -176,7 +176,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, table
                     total[row][1].extend(s)
                     total[row][2].update(names[i] for i in x.tolist())
                     row += 1
-        return _columns([(n, covered(s), sorted(x)) for n, s, x in total])
+        return _columns([(n, covered(s), x) for n, s, x in total])
 
     found = append(docs, make, _FOUND)
     return found.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))

@@ -72,6 +72,15 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(none).count() == 0
 
 
+def test_items_without_id_count(spark):
+    passage = " ".join(f"q{i}" for i in range(13))
+    bench = spark.createDataFrame([(None, passage), (None, passage + " q13"), (4, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, f"other words {passage}"), (3, "x")], "doc_id long, text string")
+    for size in (1 << 20, 40):
+        got = decontaminate.find_benchmark(docs, bench, table_bytes=size).orderBy("doc_id").select("n_hit", "n_items", "items", "contaminated").collect()
+        assert [tuple(r) for r in got] == [(13, 1, [], True), (15, 2, ["4"], True), (0, 0, [], False)]
+
+
 def test_a_template_inside_a_longer_match_counts(spark):
     nested = "licensed under the apache license version 2 0 the license"
     r = license_scan.scan_licenses(spark.createDataFrame([(nested,)], "text string")).first()
