@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm import decontaminate, jaccard_join, mixing, pii, quality_classifier
 from plumbline.llm.shared import cut, documents
@@ -22,9 +23,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of documents linked by 5-word shingles at 0.8 or more."""
+    """One document, that of the smallest id, of each class of documents linked by 5-word shingles at 0.8 or more.
+
+    Of rows that repeat a kept id the first by the other columns, in their order and nulls first, stays. Rows without id belong
+    to no class: they are compared with nothing, and all stay.
+    """
     classes = jaccard_join.jaccard_classes(docs, k=5, num=80, den=100)
-    return docs.join(classes.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(classes.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    # Rows of ids that surely stand once aren't sorted.
+    again = F.coalesce(jaccard_join.maybe(kept, "doc_id", repeated), F.lit(False)) & F.col("doc_id").isNotNull()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id")))
+    return kept.where(~again).union(kept.where(again).withColumn("__first", first).where("__first = 1").drop("__first"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,6 +279,14 @@ def test_pipeline_stages(spark, odd):
     assert texts.dropna().is_unique
 
 
+def test_near_duplicates_keep_one_row_of_an_id(spark):
+    text = " ".join(f"z{i}" for i in range(60))
+    rows = [(1, text, "en", "b", 9), (1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text, "en", "a", 9), (3, "other", None, "a", 5), (4, "alone here", "en", "a", 5), (None, text, "en", "a", 9), (None, text, "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[1], rows[4], rows[5], rows[6], rows[7]], key=str)
+
+
 def test_queries_give_rows(spark):
     assert json.dumps(sorted(queries.SQL)) and hashlib
     for name in ("op1_mix_sources", "op2_license_scan", "op4_pii", "op5_chat_format", "op7_url_filter", "op9_decontaminate", "op10_quality_rules"):
