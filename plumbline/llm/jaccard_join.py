@@ -18,6 +18,7 @@ Documents are sets of word shingles. Two link when their Jaccard similarity is a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .shared import cut, documents, only, small_batches
 from .textnum import LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
 from .url_filter import BITS_PER_KEY, MAX_BITS, Level
 
-#: Linked sets agree on one more range than this and a quarter of the tokens in which they may differ: sets that share less
-#: than some three quarters of their tokens hardly ever do. Sets with more empty ranges than that match on empty ranges too.
+#: Linked sets agree on one more range than this, and more by an eighth of the tokens in which they may differ: sets that share
+#: less than some three quarters of their tokens hardly ever do. Sets with more empty ranges than that match on empty ranges too.
 SPARE = 8
 #: Sets that agree on a range beyond which it is common: its pairs are not counted, see ``coarse_links``.
 COMMON = 64
@@ -42,20 +43,29 @@ BATCH_ROWS = 1 << 18
 _SET_A, _SET_B, _RANGE = (U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
-def size_classes(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
-    """Classes of set sizes as (smallest own size, largest size that may link with one of the class, ranges, ranges of them to spare).
+def differing(size, partner, num: int, den: int):
+    """Tokens at most that only one of two linked sets of these sizes has."""
+    return (den - num) * (size + partner) // (den + num)
 
-    A set of size n links with sizes up to n * den / num only. A class of which linked sets must be equal has 0 ranges.
-    """
-    out, low = [], 1
-    while low <= largest:
-        high = low * den // num
-        reach = high * den // num
-        differ = (den - num) * (high + reach) // (den + num)
-        spare = SPARE + differ // 4
-        out.append((low, reach, differ + 1 + spare if differ else 0, spare))
-        low = high + 1
-    return out
+
+def ranges_of(size, num: int, den: int) -> np.ndarray:
+    """Ranges by set size, a power of two that grows with the size; 0 where linked sets must be equal. Two linked sets meet in the ranges of the smaller one's size."""
+    size = np.asarray(size, dtype=np.int64)
+    differ = differing(size, size * den // num, num, den)
+    least = differ + 1 + SPARE + differ // 8
+    return np.where(differ > 0, 1 << np.ceil(np.log2(least)).astype(np.int64), 0)
+
+
+@lru_cache(maxsize=256)
+def largest_of(ranges: int, num: int, den: int) -> int:
+    """The largest set size with so many ranges or fewer."""
+    low, high = 0, 2
+    while ranges_of(high, num, den) <= ranges:
+        high *= 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if ranges_of(middle, num, den) <= ranges else (low, middle)
+    return low
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,64 +116,68 @@ def _set_rows(k: int):
     return run
 
 
-def signatures(values: np.ndarray, classes: list[tuple[int, int, int, int]], own: int) -> tuple[np.ndarray, int]:
-    """A set's signatures in its own size class and in the one below, if it can link with a set of that one; and how many at least it shares with a set it links with."""
-    out, need, n = [np.zeros(0, dtype=np.uint64)], 1 << 30, len(values)
-    for c in (own, own - 1):
-        if c < 0 or n > classes[c][1] or not (ranges := classes[c][2]):
-            continue
-        spare = classes[c][3]
-        edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(values, edges), [n]])
-        names = mix(np.arange(ranges, dtype=np.uint64) * _RANGE + U(c * 2 + 1))
-        found, empty = mix(sums(mix(values ^ _SET_B), at) + names), np.diff(at) == 0
-        if (n_empty := int(empty.sum())) > spare:
-            need = 1
-        else:
-            found, need = found[~empty], min(need, spare + 1 - n_empty)
-        out.append(found)
-    return np.concatenate(out), need
+def signatures(values: np.ndarray, at: np.ndarray, docs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets ``docs`` (places in ``at``, not empty): the set, the signature, and how many of the same ranges at least the set shares with one that it links with there.
+
+    A set has those of its own size's ranges, and those of the smaller sizes with which it may link.
+    """
+    sizes = np.diff(at)[docs]
+    own, low = ranges_of(sizes, num, den), ranges_of(-(-sizes * num // den), num, den)
+    mixed = mix(values ^ _SET_B)
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))]
+    for ranges in (1 << i for i in range((SPARE + 1).bit_length(), int(own.max(initial=0)).bit_length())):
+        some = np.flatnonzero((own >= ranges) & (low <= ranges))
+        if len(some):
+            partner = np.where(own[some] == ranges, sizes[some] * den // num, largest_of(ranges, num, den))
+            out.append(_in_ranges(values, mixed, at, docs[some], ranges, ranges - 1 - differing(sizes[some], partner, num, den)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _in_ranges(values: np.ndarray, mixed: np.ndarray, at: np.ndarray, docs: np.ndarray, ranges: int, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of ``signatures`` in so many ranges; ``spare`` by set: ranges, less one, that it shares with any set that it links with."""
+    sizes = np.diff(at)[docs]
+    take = np.repeat(at[:-1][docs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    nth = values[take] >> U(65 - ranges.bit_length())
+    new = np.ones(len(take), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (nth[1:] != nth[:-1])
+    first = np.flatnonzero(new)
+    owner, names = owner[first], mix(np.arange(ranges, dtype=np.uint64) * _RANGE + U(2 * ranges + 1))
+    nth = nth[first].astype(np.int64)
+    found = mix(np.add.reduceat(mixed[take], first) + names[nth])
+    empty = ranges - np.bincount(owner, minlength=len(docs))
+    need = np.where(empty > spare, 1, spare + 1 - empty).astype(np.int32)
+    owners, signs = [owner], [found]
+    for i in np.flatnonzero(empty > spare).tolist():
+        lacking = np.ones(ranges, dtype=bool)
+        lacking[nth[np.searchsorted(owner, i) : np.searchsorted(owner, i, side="right")]] = False
+        signs.append(mix(names[lacking]))
+        owners.append(np.full(len(signs[-1]), i))
+    owner = np.concatenate(owners)
+    return docs[owner], np.concatenate(signs), need[owner]
 
 
 def _signature_rows(k: int, num: int, den: int):
     """Rows (sig, node, need) of batches (doc_id, text); a set that the task has met already gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, lows = size_classes(1 << 12, num, den), None
         met: set[bytes] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            sizes = [len(s) for s, _, _ in held]
-            node, need = (np.repeat(np.array([h[i] for h in held], dtype=t), sizes) for i, t in ((1, np.int64), (2, np.int32)))
-            return pa.RecordBatch.from_arrays([_long(np.concatenate([h[0] for h in held])), pa.array(node), pa.array(need)], ["sig", "node", "need"])
-
         for batch in batches:
             for block in blocks(batch.column(1), NOT_SPACE, LOWER):
                 ids = batch.column(0)[block.rows.start : block.rows.stop].to_numpy(zero_copy_only=False)
                 values, at = shingle_sets(block, k)
-                sizes = np.diff(at)
-                if lows is None or sizes.max(initial=0) > classes[-1][0]:
-                    classes = size_classes(max(2 * int(sizes.max(initial=1)), 1 << 12), num, den)
-                    lows = np.array([c[0] for c in classes])
-                own = np.searchsorted(lows, sizes, side="right") - 1
                 same = np.stack([sums(mix(values ^ c), at) for c in (_SET_A, _SET_B)], axis=1)
-                for d in np.flatnonzero(sizes).tolist():
-                    if (name := same[d].tobytes()) in met:
-                        continue
-                    met.add(name)
-                    found, need = signatures(values[at[d] : at[d + 1]], classes, int(own[d]))
-                    if len(found):
-                        held.append((found, int(ids[d]), need))
-                        size += len(found)
+                new = []
+                for d in np.flatnonzero(np.diff(at)).tolist():
+                    if (name := same[d].tobytes()) not in met:
+                        met.add(name)
+                        new.append(d)
                 if len(met) > 1 << 20:
                     met.clear()
-                if size > BATCH_ROWS:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+                doc, found, need = signatures(values, at, np.array(new, dtype=np.int64), num, den)
+                for i in range(0, len(doc), BATCH_ROWS):
+                    part = slice(i, i + BATCH_ROWS)
+                    yield pa.RecordBatch.from_arrays([_long(found[part]), pa.array(ids[doc[part]].astype(np.int64)), pa.array(need[part])], ["sig", "node", "need"])
 
     return run
 

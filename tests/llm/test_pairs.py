@@ -71,25 +71,42 @@ def test_odd_documents(odd, none):
     assert jj.jaccard_classes(none).count() == 0
 
 
-def test_linked_sets_share_what_they_must():
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
+def test_linked_sets_share_what_they_must(num, den):
+    """Linked sets, changed as much as they may be, larger ones included, agree on as many signatures of some one number of ranges as either needs there."""
     g = np.random.default_rng(3)
-    sizes = jj.size_classes(4096, 85, 100)
-    lows = np.array([c[0] for c in sizes])
-    for n in (6, 7, 20, 90, 400, 2000):
-        for _ in range(10):
-            a = np.unique(g.integers(0, 2**63, n, dtype=np.uint64))
-            b = a.copy()
+
+    def random(n):
+        return np.unique(g.integers(0, 2**64, n, dtype=np.uint64))
+
+    def linked(a, b):
+        both = len(np.intersect1d(a, b))
+        return den * both >= num * (len(a) + len(b) - both)
+
+    for n in (5, 6, 7, 20, 41, 45, 46, 90, 118, 120, 400, 2000):
+        for kind in ("swap", "add", "drop") * 4:
+            a = b = random(n)
             while True:
-                c = b.copy()
-                c[g.integers(len(c))] = g.integers(0, 2**63)
-                c = np.unique(c)
-                both = len(np.intersect1d(a, c))
-                if 100 * both < 85 * (len(a) + len(c) - both):
+                c = b if kind == "add" else np.delete(b, g.integers(len(b)))
+                c = np.union1d(c, random(1)) if kind != "drop" else c
+                if not len(c) or not linked(a, c):
                     break
                 b = c
-            found = [jj.signatures(x, sizes, int(np.searchsorted(lows, len(x), side="right")) - 1) for x in (a, b)]
-            if len(np.intersect1d(a, b)) < len(a):
-                assert len(np.intersect1d(found[0][0], found[1][0])) >= max(found[0][1], found[1][1])
+            if len(np.intersect1d(a, b)) == len(a) == len(b):
+                continue
+            values, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            doc, found, need = jj.signatures(values, at, np.arange(2), num, den)
+            of = [dict(zip(found[doc == d].tolist(), need[doc == d].tolist(), strict=True)) for d in (0, 1)]
+            shared = of[0].keys() & of[1].keys()
+            assert shared and len(shared) >= min(max(of[0][x], of[1][x]) for x in shared)
+
+
+def test_ranges_by_size():
+    sizes = np.arange(1, 5000)
+    found = jj.ranges_of(sizes, 85, 100)
+    assert (np.diff(found) >= 0).all() and (found[:5] == 0).all()
+    for ranges in np.unique(found[found > 0]).tolist()[:-1]:
+        assert jj.largest_of(ranges, 85, 100) == sizes[found <= ranges].max()
 
 
 def test_a_less_similar_member_keeps_no_link_out(spark):
