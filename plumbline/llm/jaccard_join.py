@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import cut, documents, only, small_batches
+from .shared import cut, discard, documents, only, small_batches
 from .textnum import LOWER, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
 from .url_filter import BITS_PER_KEY, MAX_BITS, Level
 
@@ -200,7 +200,7 @@ def renamed(shared: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
-    """Pairs (a, b, chain) of groups such that groups with a link are connected through them, from (sig, node, need) of groups.
+    """A table of pairs (a, b, chain) of groups such that groups with a link are connected through them, from (sig, node, need) of groups.
 
     Two linked sets share ``need`` signatures of either. Their groups share at least those, and maybe others that only less
     similar members hold, with a larger need; on a signature of the linked sets neither group's need is over theirs, so the
@@ -210,15 +210,17 @@ def coarse_links(shared: DataFrame, common: int = COMMON) -> DataFrame:
     a pair without ``chain``, or of two chained groups.
     """
     sets = F.count(F.lit(1)).over(Window.partitionBy("sig"))
-    shared = cut(shared.withColumn("sets", sets).where("sets > 1").select("sig", "node", "need", (F.col("sets") > common).alias("common")))
-    hot = shared.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("h"))
-    shared = shared.join(hot, "node", "left").select("sig", "common", "node", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need"))
+    of_groups = cut(shared.withColumn("sets", sets).where("sets > 1").select("sig", "node", "need", (F.col("sets") > common).alias("common")))
+    hot = cut(of_groups.where("common").groupBy("node").agg(F.count(F.lit(1)).alias("h")))
+    shared = of_groups.join(hot.hint("merge"), "node", "left").select("sig", "common", "node", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need"))
     few = shared.where("NOT common").select("sig", "node", "need")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("need").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("need").alias("nb")), "sig").where("a < b")
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("na", "nb")).alias("least")).where("n >= least").select("a", "b", F.lit(False).alias("chain"))
     before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
     chain = shared.where("common AND need <= 0").withColumn("before", before).where("before <> node").select(F.col("before").alias("a"), F.col("node").alias("b"), F.lit(True).alias("chain")).distinct()
-    return pairs.union(chain)
+    out = cut(pairs.union(chain))
+    discard(of_groups, hot)
+    return out
 
 
 def maybe(rows: DataFrame, key: str, keys: DataFrame):
@@ -411,16 +413,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     named = docs.where("doc_id IS NOT NULL")
     sets = cut(docs.mapInArrow(_set_rows(k), "doc_id long, n long, h1 long, h2 long, low long"))
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    of_doc = sets.where("n > 0").join(classes.where("copies > 1"), ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    of_doc = cut(of_doc)
+    # Written first, so that the join's one large class can be split.
+    classes = cut(classes.where("copies > 1").select("h1", "h2", "rep"))
+    of_doc = cut(sets.where("n > 0").join(classes.hint("merge"), ["h1", "h2"], "left").select("doc_id", "n", "low", F.coalesce("rep", "doc_id").alias("rep")))
+    discard(classes)
 
     rows = named.mapInArrow(_signature_rows(k, num, den), "sig long, node long, need int")
     shared = cut(shared_ranges(rows))
     # A set stands under its first document.
     to_rep = of_doc.where("rep <> doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("rep").alias("rep"))
-    held = cut(shared.select("node").distinct().join(to_rep, "node", "left").select("node", F.coalesce("rep", "node").alias("rep")))
-    of_node = sets.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.min("low").alias("low"))
-    nodes = cut(held.select(F.col("rep").alias("node")).distinct().join(of_node, "node"))
+    held = cut(shared.select("node").distinct().join(to_rep.hint("merge"), "node", "left").select("node", F.coalesce("rep", "node").alias("rep")))
+    of_node = of_doc.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.min("low").alias("low"))
+    nodes = cut(held.select(F.col("rep").alias("node")).distinct().join(of_node.hint("merge"), "node"))
     # Sets with the same smallest token meet first: linked ones mostly have it, and go on as one group.
     near = _parted(nodes.select("node", "n", F.col("low").alias("coarse")), group_tokens)
     alone = F.count(F.lit(1)).over(Window.partitionBy("coarse", "part")) == 1
@@ -428,22 +432,26 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # A repeated id brings several sets under one node; each is compared, and the classes meet again by the id.
     text = matched(named.withColumnRenamed("doc_id", "node"), "node", near).select("node", "text", "coarse", "part")
     tokens = cut(text.mapInArrow(_token_rows(k), "node long, coarse long, part long, tokens binary"))
+    discard(near)
     first = cut(_grouped(tokens.where("coarse IS NOT NULL"), num, den).groupBy("node").agg(F.min("root").alias("root")))
-    tokens = tokens.select("node", "tokens")
-    groups = nodes.select("node", "n").join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
-    groups = cut(groups)
-    names = cut(held.join(groups.select(F.col("node").alias("rep"), "group"), "rep").where("node <> group").select("node", "group"))
-    pairs = cut(coarse_links(renamed(shared, names)))
-    links = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = cut(links.union(_verified(tokens, groups, pairs, num, den, group_tokens)))
+    groups = cut(nodes.select("node", "n").join(first.hint("merge"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("group")))
+    names = cut(held.join(groups.select(F.col("node").alias("rep"), "group").hint("merge"), "rep").where("node <> group").select("node", "group"))
+    discard(nodes, held)
+    pairs = coarse_links(renamed(shared, names))
+    discard(shared, names)
+    found = _verified(tokens.select("node", "tokens"), groups, pairs, num, den, group_tokens)
+    discard(tokens, groups, pairs)
+    links = found.union(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     # Classes of equal sets, and repeated ids with different sets, are links as well.
     repeated = of_doc.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     links = links.union(repeated.select("doc_id", "low")).union(repeated.select("doc_id", "high"))
-    labels = components(links).withColumnRenamed("node", "rep")
-    of_rep = of_doc.select("doc_id", "rep").where("doc_id IS NOT NULL").distinct().join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    of_rep = of_rep.groupBy("doc_id").agg(F.min("component").alias("component")).where("component <> doc_id")
-    return sets.join(of_rep, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    labels = components(links)
+    discard(found, first)
+    of_rep = of_doc.select("doc_id", "rep").where("doc_id IS NOT NULL").distinct().join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    of_rep = cut(of_rep.groupBy("doc_id").agg(F.min("component").alias("component")).where("component <> doc_id"))
+    discard(of_doc, labels)
+    return sets.join(of_rep.hint("merge"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _parted(nodes: DataFrame, group_tokens: int) -> DataFrame:
@@ -453,17 +461,22 @@ def _parted(nodes: DataFrame, group_tokens: int) -> DataFrame:
 
 
 def _verified(tokens: DataFrame, groups: DataFrame, pairs: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
-    """Links (a, b) that make each class within the coarse groups connected."""
-    coarse = components(pairs.select("a", "b")).select(F.col("node").alias("group"), F.col("component").alias("coarse"))
-    placed = cut(_parted(groups.join(coarse, "group").select("coarse", "node", "n"), group_tokens))
+    """A table of links (a, b) that make each class within the coarse groups connected."""
+    coarse = components(pairs.select("a", "b"))
+    of_group = coarse.select(F.col("node").alias("group"), F.col("component").alias("coarse"))
+    placed = cut(_parted(groups.join(of_group.hint("merge"), "group").select("coarse", "node", "n"), group_tokens))
+    discard(coarse)
     local = cut(_grouped(matched(tokens, "node", placed), num, den))
-    links = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    large = placed.where("part > 0").select("coarse").distinct()
-    large = cut(large)
-    if large.isEmpty():
-        return links
-    placed = placed.join(large, "coarse").join(groups.select("node", "group"), "node")
-    return links.union(_across(tokens, cut(placed), pairs, cut(local.join(large, "coarse")), num, den, group_tokens))
+    links = cut(local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    large = cut(placed.where("part > 0").select("coarse").distinct())
+    if not large.isEmpty():
+        of_large = cut(placed.join(large, "coarse").join(groups.select("node", "group"), "node"))
+        found = cut(local.join(large, "coarse"))
+        across, inside = _across(tokens, of_large, pairs, found, num, den, group_tokens), links
+        links = cut(inside.union(across))
+        discard(of_large, found, across, inside)
+    discard(placed, local, large)
+    return links
 
 
 def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -472,13 +485,14 @@ def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _across(tokens: DataFrame, placed: DataFrame, pairs: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
-    """Links between the parts of coarse groups that one task can't hold; ``placed`` is (coarse, part, node, group) and ``local`` what each part has found."""
+    """A table of links between the parts of coarse groups that one task can't hold; ``placed`` is (coarse, part, node, group) and ``local`` what each part has found."""
     known = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).union(placed.where("node <> group").select("node", "group"))
-    labels = cut(components(known))
+    labels = components(known)
     # First one set of each class found so far meets the others', which joins most parts of a class.
     labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     hubs = labelled.where("node = label").join(tokens.select("node", (F.octet_length("tokens") / 8).alias("n")), "node").select("coarse", "node", "n")
     near = cut(_grouped(tokens.join(_parted(hubs, group_tokens), "node"), num, den).where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    discard(labels)
     labels = components(known.union(near))
     labelled = cut(placed.join(labels, "node", "left").select("coarse", "part", "node", "group", F.coalesce("component", "node").alias("label")))
     # Then groups of different classes meet, by the pairs that may link: one's sets go to the parts of the other. A chained
@@ -495,7 +509,9 @@ def _across(tokens: DataFrame, placed: DataFrame, pairs: DataFrame, local: DataF
     roles = roles.union(labelled.join(visits.select("coarse", "part").distinct(), ["coarse", "part"]).select("coarse", "part", F.lit(False).alias("is_query"), "node", "label"))
     dealt = roles.join(tokens, "node").select("coarse", "part", "is_query", "node", "label", "tokens").repartition("coarse", "part").sortWithinPartitions("coarse", "part", "is_query", "node")
     far = dealt.mapInArrow(_query_parts(num, den), "a long, b long")
-    return near.union(far)
+    out = cut(near.union(far))
+    discard(near, labels, labelled, visits)
+    return out
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
