@@ -40,9 +40,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of which a twentieth or more are benchmark passages."""
+    """Without the documents that hold a whole window of the benchmark (13 words hit), or of which a twentieth or more is hit.
+
+    A long document with one passage goes too, though its share is small; a benchmark item of a few words alone removes a
+    document only by its share. Null and empty texts have no words and stay. Rows are judged alone, by their own text. No rows
+    give no rows.
+    """
     found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("NOT contaminated").select(*docs.columns)
+    return found.where(f"NOT contaminated AND n_hit < {decontaminate.WIDTH}").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

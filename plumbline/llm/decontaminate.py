@@ -22,6 +22,8 @@ from .textnum import ALNUM, LOWER, U, Block, blocks, grams
 
 #: Bytes of benchmark text in one set of tables; a larger benchmark is searched in several passes over the documents.
 TABLE_BYTES = 16 << 20
+#: Words of a test string.
+WIDTH = 13
 #: Words of text that one position walks through.
 STRETCH = 512
 
@@ -152,7 +154,7 @@ def _passes(benchmark: DataFrame, table_bytes: int) -> Iterator[list]:
         yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else rows.collect()
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``docs`` with the benchmark passages in each text: (n_words, n_hit, n_items, items, contaminated) beside its columns.
 
     Words are runs of letters a-z, digits and non-ASCII characters with A-Z lower-cased. A test string is a window of
