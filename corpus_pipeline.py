@@ -10,33 +10,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm import decontaminate, jaccard_join, mixing, pii, quality_classifier
-from plumbline.llm.shared import cut, documents
+from plumbline.llm.shared import beside, cut, discard, documents
 
 #: SQL can't express training and decoding of the models; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier, trained on the labelled rows that aren't held out, scores under 0.7."""
+    """Without the documents that the classifier, trained on the labelled rows that aren't held out, scores under 0.7.
+
+    Null and empty texts are scored like any other. Rows are judged alone: those that repeat an id, or have none, stay or go by
+    their own text. No rows give no rows.
+    """
     forest = quality_classifier.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.classify(docs, forest).where("predicted = 1").select(*docs.columns)
+    return beside(docs, lambda rows: quality_classifier.classify(rows, forest).where("predicted = 1"), "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of documents linked by 5-word shingles at 0.8 or more.
 
     Of rows that repeat a kept id the first by the other columns, in their order and nulls first, stays. Rows without id belong
-    to no class: they are compared with nothing, and all stay.
+    to no class: they are compared with nothing, and all stay. Null, empty and blank texts have no shingles: each is a class of
+    its own. No rows give no rows.
     """
     classes = jaccard_join.jaccard_classes(docs, k=5, num=80, den=100)
-    kept = docs.join(classes.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(classes.where("component_id <> doc_id").select("doc_id").distinct())
+    # Texts of ids that surely stay aren't shuffled.
+    asked = F.coalesce(jaccard_join.maybe(docs, "doc_id", gone), F.lit(False))
+    kept = docs.where(~asked).union(beside(docs.where(asked), lambda rows: rows.join(gone.hint("merge"), "doc_id", "left_anti"), "doc_id"))
     repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     # Rows of ids that surely stand once aren't sorted.
     again = F.coalesce(jaccard_join.maybe(kept, "doc_id", repeated), F.lit(False)) & F.col("doc_id").isNotNull()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id")))
-    return kept.where(~again).union(kept.where(again).withColumn("__first", first).where("__first = 1").drop("__first"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c in rows.columns if c != "doc_id")))
+        return rows.withColumn("__nth", nth).where("__nth = 1")
+
+    return kept.where(~again).union(beside(kept.where(again), first, "doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +58,29 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     document only by its share. Null and empty texts have no words and stay. Rows are judged alone, by their own text. No rows
     give no rows.
     """
-    found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(f"NOT contaminated AND n_hit < {decontaminate.WIDTH}").select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return beside(docs, lambda rows: decontaminate.find_benchmark(rows, benchmark).where(f"NOT contaminated AND n_hit < {decontaminate.WIDTH}"), "text")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars counts what is left."""
-    found = pii.find_pii(docs, redact=True)
-    return found.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    """Personal data replaced by its kind; n_chars counts what is left of a text that had some.
+
+    Null and empty texts stay as they are. Rows, repeated or without id, are read alone. No rows give no rows.
+    """
+
+    def redacted(rows: DataFrame) -> DataFrame:
+        found = pii.find_pii(rows, redact=True)
+        return found.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+    return beside(docs, redacted, "text", "n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their place in the mixture."""
+    """All documents with their place in the mixture.
+
+    Rows without a source are one class. Rows that repeat one another each have a place; null texts are rows like any other. No
+    rows give no rows.
+    """
     return mixing.mix(docs, mixing.QUERY_PARTS, mixing.QUERY_REST)
 
 
@@ -65,9 +88,11 @@ STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's table goes once the next is written. Odd rows: see the stages."""
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return made
+        before, docs = docs, cut(made)
+        discard(before)

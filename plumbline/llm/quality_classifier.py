@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import append, cut, documents, only
+from .shared import append, documents, only
 from .textnum import AS_IS, NOT_SPACE, blocks, grams, whole
 
 FEATURES = ["log_words", "log_bytes", "word_bytes", "word_spread", "upper", "digit", "not_ascii", "stop", "comma", "exclaim", "bar", "symbol", "line", "same_as_before", "distinct_words", "distinct_pairs", "blank_lines"]
@@ -136,17 +136,21 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with their ``stats``, an array in the order of FEATURES."""
+    """``docs`` with their ``stats``, an array in the order of FEATURES, all finite; of a null text those of an empty one. No rows give no rows."""
     return append(docs, lambda texts: [pa.array(list(statistics(texts)), pa.list_(pa.float64()))], "stats array<double>")
 
 
-def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Forest:
-    """From (doc_id, stats) and (doc_id, quality); held-out, null and other labels than 0 and 1 are left out."""
+def sample(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Some ``train_rows`` labels (doc_id, quality), those with the smallest hashes of their ids; held-out, null and other labels than 0 and 1 are left out. A label that stands twice counts twice."""
     known = only(labels, doc_id="long", quality="int").where("quality IN (0, 1)").where(~held_out())
     share = min(1.0, 1.1 * train_rows / max(1, known.count()))
     # Ids whose hash lies under the sample's share come first in the order of hashes anyway: no task sends more than its part.
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = stats.select("doc_id", "stats").join(known, "doc_id").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id", "quality").limit(train_rows).select("stats", "quality").toPandas()
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+
+def fit(stats: DataFrame, known: DataFrame, train_rows: int = TRAIN_ROWS) -> Forest:
+    """From (doc_id, stats) and a ``sample`` of labels, at most ``train_rows`` of their pairs."""
+    rows = stats.select("doc_id", "stats").join(known, "doc_id").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id", "quality", "stats").limit(train_rows).select("stats", "quality").toPandas()
     return train(np.array(rows["stats"].tolist(), dtype=float).reshape(-1, len(FEATURES)), rows["quality"].to_numpy(dtype=float))
 
 
@@ -166,19 +170,18 @@ def classify(docs: DataFrame, forest: Forest, cutoff: float = 0.7) -> DataFrame:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Forest:
-    """A forest from the documents that have labels."""
-    return fit(with_statistics(only(docs, doc_id="long", text="string")).select("doc_id", "stats"), labels, train_rows)
-
+    """A forest from the documents that have labels in the sample; other texts are not looked at.
 
-def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents; statistics are taken once, for training and scoring."""
-    stats = cut(with_statistics(only(documents(spark, sf_dir), doc_id="long", text="string")).select("doc_id", "stats"))
-    shared = spark.sparkContext.broadcast(fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    The ids of the sample, some ``train_rows`` whatever the size of the tables, go to every task. Repeated rows of a document
+    count each; a null or empty text is a text of no words; without labels the forest scores 0.5.
+    """
+    known = sample(labels, train_rows)
+    of_sample = only(docs, doc_id="long", text="string").join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    return fit(with_statistics(of_sample), known, train_rows)
 
-    def run(batches):
-        for batch in batches:
-            rows = np.array(batch.column(2).to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-            s = shared.value.scores(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return stats.select("doc_id", held_out().alias("held_out"), "stats").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a forest trained on the labels that aren't held out; null and empty texts are scored like any other."""
+    docs = only(documents(spark, sf_dir), doc_id="long", text="string")
+    scored = classify(docs, train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
