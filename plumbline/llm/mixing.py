@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut, documents
+from .shared import cut, discard, documents
 
 #: Parts of all weights together: bound of a period's table.
 MAX_PARTS = 4096
-#: Documents in a piece of a source that one task orders.
-PIECE_ROWS = 4096
+#: Documents, about, in a piece of a class that one task orders.
+PIECE_ROWS = 1024
 
 
 def period(parts: Mapping[str, int]) -> dict[str, list[int]]:
@@ -108,34 +108,43 @@ def mix(docs: DataFrame, parts: Mapping[str, int], rest: int = 1, block_rows: in
     classes as far as that goes, and the others are in the null class. A block is ``block_rows`` rows, a class's last may be
     smaller. Rows are never dropped or repeated: when a class is used up the others go on by their weights. The order within
     a class is that of a hash of the whole row, then of the row's columns; equal rows are interchangeable, so repeated rows
-    and ties give one defined mixture. Columns of ``docs`` with the new names are replaced, those that begin with two
-    underscores left out. No rows give no rows.
+    and ties give one defined mixture. Columns of ``docs`` with the new names are replaced, all others stay. No rows give no
+    rows.
 
     A class of any size is ordered in pieces of about ``piece_rows`` rows by hash, each in a task; pieces are numbered from
-    their counts. The driver sees one count for each class; the table of slots goes to the tasks.
+    their counts. The driver sees one count for each class (``MAX_PARTS`` of them at most); the table of slots goes to the tasks.
     """
     if any(p < 1 for p in (*parts.values(), rest)) or sum(parts.values()) + rest > MAX_PARTS:
         raise ValueError(f"weights are whole numbers from 1, together at most {MAX_PARTS}")
-    new = {"mix_class", "block", "slot", "position"}
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new and not c.startswith("__")))
-    named = F.col(f"`{source}`").cast("string")
+    names = [c for c in docs.columns if c.lower() not in ("mix_class", "block", "slot", "position")]
+    own = [f"c{i}" for i in range(len(names))]
+    named = F.col(own[[c.lower() for c in names].index(source.lower())]).cast("string")
+    docs = docs.select(*(F.col(f"`{c}`") for c in names)).toDF(*own)
     by_source = cut(docs.groupBy(named.alias("source")).agg(F.count(F.lit(1)).alias("n")))
-    n_rows = by_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weights, more = _classes(by_source, parts, rest)
-    rows = docs.withColumn("__class", F.when(named.isin(list(weights)), named) if more else named)
-    rows = rows.withColumns({"__key": F.coalesce(F.concat(F.lit("="), "__class"), F.lit("")), "__h": F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
-    pieces = max(1, -(-n_rows // piece_rows))
-    rows = rows.withColumn("__piece", F.expr(f"CAST(floor((CAST(__h AS DOUBLE) / 18446744073709551616D + 0.5D) * {pieces}L) AS BIGINT)"))
+
+    def in_class(source):
+        return F.when(source.isin(list(weights)), source) if more else source
+
+    def key(of_class):
+        return F.coalesce(F.concat(F.lit("="), of_class), F.lit(""))
+
+    sizes = {r[0]: r[1] for r in by_source.groupBy(key(in_class(F.col("source"))).alias("k")).agg(F.sum("n")).collect()}
+    discard(by_source)
+    rows = docs.withColumn("__class", in_class(named))
+    rows = rows.withColumns({"__key": key(F.col("__class")), "__h": F.xxhash64(*own)})
+    in_pieces = pa.table({"__key": pa.array(list(sizes), pa.string()), "__pieces": pa.array([-(-n // piece_rows) for n in sizes.values()], pa.int64())})
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(in_pieces)), "__key")
+    rows = rows.withColumn("__piece", F.expr("CAST(floor((CAST(__h AS DOUBLE) / 18446744073709551616D + 0.5D) * __pieces) AS BIGINT)"))
     counts = cut(rows.groupBy("__key", "__piece").agg(F.count(F.lit(1)).alias("__n")))
     before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__piece")) - F.col("__n")
     offsets = counts.select("__key", "__piece", before.alias("__before"))
-    sizes = {r[0]: r[1] for r in counts.groupBy("__key").agg(F.sum("__n")).collect()}
     weights = {"": rest} | {f"={s}": p for s, p in weights.items()}
     unit = math.gcd(*(weights[k] for k in sizes))
     plan = phases({k: weights[k] // unit for k in sizes}, {k: -(-n // block_rows) for k, n in sizes.items()})
     table = _table(docs.sparkSession, plan, {k: -n % block_rows for k, n in sizes.items()})
 
-    order = [F.col("__h"), *(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t)]
+    order = ["__h", *(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t)]
     nth = F.row_number().over(Window.partitionBy("__key", "__piece").orderBy(*order))
     placed = rows.join(offsets, ["__key", "__piece"]).withColumn("__nth", nth + F.col("__before") - 1).withColumn("block", F.expr(f"__nth DIV {block_rows}L"))
     placed = placed.join(F.broadcast(table), "__key").withColumn("__at", F.expr("size(filter(__first, x -> x <= block)) - 1"))
@@ -143,7 +152,7 @@ def mix(docs: DataFrame, parts: Mapping[str, int], rest: int = 1, block_rows: in
     placed = placed.withColumn("slot", F.expr("__start[__at] + __in DIV size(__of) * __total[__at] + __of[CAST(__in % size(__of) AS INT)]"))
     # A class's last block may be short by some rows: what comes later stands so much further to the front.
     position = F.col("slot") * block_rows + F.pmod(F.col("__nth"), F.lit(block_rows)) - F.expr("__back[__at]")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+    kept = [F.col(c).alias(name) for c, name in zip(own, names, strict=True)]
     return placed.select(*kept, F.col("__class").alias("mix_class"), F.col("block").cast("long"), F.col("slot").cast("long"), position.cast("long").alias("position"))
 
 
