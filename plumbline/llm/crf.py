@@ -9,25 +9,37 @@ import numpy as np
 
 from .textnum import LOWER, NOT_SPACE, Block, word_hashes
 
-# The labelled table. A span is [kind:text]; its words have the kind's label, others none.
+# The labelled table, written by hand in six languages; all secrets and numbers in it are made up. A span is
+# [kind:text]; its words have the kind's label, others none. The held-out table of the tests has other lines and formats.
 TRAINING = r"""
 token = "[secret:9f86d081884c7d659a2feaa0c55ad015a3bf4f1b]" was in the file
 the api key is [secret:sk9Qm3xT7bV2nL8wR4cY6dF1] and must be kept
-key = "[secret:a94a8fe5ccb19ba61c4c0873d391e987982fbbd3]"
 secret = [secret:7c4a8d09ca3762af61e59520943dc26494f8941b] in the settings
 token: [secret:b1b3773a05c0ed0176787a4f1574ff0075f7521e]
 use password = "[secret:x8Kd92LmQz71PwRt55Yb]" here
-a token = "[secret:e5e9fa1ba31ecd1ae84f75caaa474f3a663f05f4]"### of
-die datei hat token = "[secret:356a192b7913b04c54574d18c28d46e6395428ab]" und mehr
-le fichier a token = "[secret:da4b9237bacccdf19c0760cab7aec4a8359010b0]" dans
-el archivo tiene token = "[secret:77de68daecd823babbb58edb1c8e14d7106e83bb]" en
-bearer [secret:1b6453892473a467d07372d45eb05abc2031647a] was sent
-TOKEN!! =!! "[secret:ac3478d69a3c81fa62e60f5c3696165a4e5e6ac4]"!! OF!! THE!!
-word | token = "[secret:c1dfd96eea8cc2b62785275bca38ac261256e278]" | word | more
+key = "[secret:a94a8fe5ccb19ba61c4c0873d391e987]"
+export API_KEY=[secret:pk_live_4eC39HqLyjWDarjtT1zdp7dc]
+Authorization: Bearer [secret:eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N]
+the header was Bearer [secret:1b6453892473a467d07372d45eb05abc2031647a] when it was sent
+client secret: [secret:6f1ed002-ab5f-4d2e-9c36-3bd4d6a1e0f7] for the test account
+aws_secret_access_key = [secret:wJalr7tnFEMIK7MDENGbPxRfiCYEX4MPL3K8]
+he left the token [secret:ghp_16C7e42F292c6912E7710c838347Ae178B4a] in a public page
+sha256 of the key [secret:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855]
+[secret:356a192b7913b04c54574d18c28d46e6395428ab]
+[secret:c1dfd96eea8cc2b62785275bca38ac26]
+"[secret:77de68daecd823babbb58edb1c8e14d7106e83bb]"
+die datei hat token = "[secret:fe5dbbcea5ce7e2988b8c69bcfdfde8904aabc1f]" und mehr
+der Schlüssel lautet [secret:Zx81hQm3T7bV2nL9wR4c] und bleibt geheim
+le fichier a token = "[secret:da4b9237bacccdf19c0760cab7aec4a8359010b0]" dans la page
+la clé est [secret:0ade7c2cf97f75d009975f4d720d1fa6] et elle reste ici
+el archivo tiene clave = "[secret:bd307a3ec329e10a2cff8fb87480823da114f8f4]" en la casa
+la chiave segreta è [secret:Q4tY8uI2oP6aS1dF5gH9] per il conto
+a senha era [secret:m7Np3Rt9Vx2Zb6Cd4Fg8] no sistema
 his social security number is [id:123-45-6789] as filed
 ssn: [id:987-65-4321] and more
 the ssn [id:219-09-9999] is his
 SSN = [id:078-05-1120].
+number [id:457-55-5462] stands on the form
 the house of the river and the light was on
 write to anna.b@mail.example.com about the plan
 the host 10.11.12.13 was down on monday
@@ -38,21 +50,25 @@ in 1999 and 2004 there were 120 of 3500 people
 version 2.0 of the plan came on 2021-03-04 at 10:30
 chapter 12 page 345 line 6 of the book
 see https://www.example.com/en/page-12?x=3 for more
+see http://docs.example.org/2021/guide_v2.html#part-3 and the rest
 the price was $12.50 and then $3,400 in all
-Thndou | erhaha | ertible | erheble | eronin
-of%%% athe*** erntwh.%%% and### thnd&&& onor***
-THE!! ENTIRE!! THOULYLY.!! IN!! ERERBLE!!
+Name | Year | Place | Sum | 12 | 1999
 Licensed under the Apache License, Version 2.0.
 Licensed under CC BY-NC 4.0.
 a token of thanks was given to the key player
 the secret of the garden is a password to joy
-das ist der schlüssel zu dem haus und der tür
+the number of the house is 12 and the key is lost
+das ist der Schlüssel zu dem Haus und der Tür
 le mot de passe est dans la maison de la rivière
 la clave de la casa está en el río y en la calle
+la chiave della porta è sul tavolo
+a chave da casa está na mesa
 x = 3 and y = 40 are the values of the model
 the id of item 12345 is A-17 in box B2
 antidisestablishmentarianism and internationalisation are long words
 model ABC-1234 has part 98-765 and code QX7
+the 2nd and 3rd prizes of the 21st century went to the U2 and B52 teams
+order 20210304-17 was sent on 04/03/2021 with 3x4 boxes
 """.strip().splitlines()
 
 CUES = ["token", "key", "secret", "password", "bearer", "api", "ssn", "number", "="]
