@@ -67,8 +67,14 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows on all cores where they come from fewer files than there are cores: one task reads all of a row group."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= n else rows.repartition(n)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Rows of an Arrow batch of texts; with Spark's own 10,000 some batches of long texts take much of a worker's memory.
@@ -97,18 +103,19 @@ def beside(docs: DataFrame, judge, *used: str) -> DataFrame:
     return judge(docs.toDF(*inside)).select(*inside).toDF(*names)
 
 
-def append(docs: DataFrame, make, fields: str, text: str = "text") -> DataFrame:
-    """``docs`` with columns that ``make(texts)`` gives for an Arrow column of texts; they replace columns of the same name."""
+def append(docs: DataFrame, make, fields: str, text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with columns that ``make(texts)`` gives for an Arrow column of texts (and of the columns ``more``); they replace columns of the same name."""
     small_batches(docs.sparkSession)
     new = T.StructType.fromDDL(fields)
     drop = {n.lower() for n in new.names}
     kept = [i for i, n in enumerate(docs.columns) if n.lower() not in drop]
     at = [n.lower() for n in docs.columns].index(text.lower())
+    given = [docs.columns.index(n) for n in more]
     names = [docs.columns[i] for i in kept] + new.names
     schema = T.StructType([docs.schema.fields[i] for i in kept] + new.fields)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(make(batch.column(at))), names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(make(batch.column(at), *(batch.column(i) for i in given))), names)
 
     return docs.mapInArrow(run, schema)

@@ -8,16 +8,17 @@ as joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, only
+from .shared import cut, discard, only, spread
 
 #: Bits for each key, and hashes: about 1 key in 40 passes wrongly.
 BITS_PER_KEY, HASHES = 8, 4
-#: Bits of the largest level (8 MB); a longer list is met by a join instead.
+#: Bits of the largest level (8 MB); the keys of a longer list are dealt into shards.
 MAX_BITS = 1 << 26
-MAX_LEVELS = 40
 
 # Rules (host, path, verdict).
 RULES = [
@@ -50,7 +51,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _places(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+    # The level comes first, so that keys that meet in one level's hashes don't in the next one's.
+    return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(bits)) for i in range(HASHES)]
 
 
 class Level:
@@ -74,21 +76,19 @@ class Level:
         return found
 
 
-class Cascade:
-    """Exact membership among the keys of a corpus. ``universe`` has (key, listed), each key once."""
+class Shard:
+    """The levels of one shard's keys, of (key, listed) each once."""
 
-    def __init__(self, universe: DataFrame, max_bits: int = MAX_BITS) -> None:
+    def __init__(self, universe: DataFrame) -> None:
         self.levels: list[Level] = []
-        self.exact: DataFrame | None = None
-        universe = cut(universe)
         held, other = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
         while n := held.count():
-            if n * BITS_PER_KEY > max_bits or len(self.levels) == MAX_LEVELS:
-                self.levels, self.exact = [], universe.where("listed").select("key")
-                return
             level = Level(held, len(self.levels), n)
             self.levels.append(level)
-            held, other = cut(other.where(level.passes(F.col("key")))), held
+            passed = cut(other.where(level.passes(F.col("key"))))
+            discard(other)
+            held, other = passed, held
+        discard(held, other)
 
     def listed(self, key: Column) -> Column:
         """Whether a key of the universe is listed: the first level that it fails decides."""
@@ -97,11 +97,28 @@ class Cascade:
             out = F.when(~self.levels[i].passes(key), F.lit(i % 2 == 1)).otherwise(out)
         return out
 
+
+class Cascade:
+    """Exact membership among the keys of a corpus. ``universe`` has (key, listed), each key once."""
+
+    def __init__(self, universe: DataFrame, max_bits: int = MAX_BITS) -> None:
+        universe = cut(universe)
+        n = universe.where("listed").count()
+        # A tenth to spare, since hashes don't deal evenly; a level has up to twice its bits, a power of two.
+        n_shards = -(-n * BITS_PER_KEY * 11 // (10 * max_bits)) if 2 * n * BITS_PER_KEY > max_bits else 1
+        self.n_shards = 1 << (n_shards - 1).bit_length()
+        self.shards = [Shard(universe.where(self._shard(F.col("key")) == i)) for i in range(self.n_shards)]
+        discard(universe)
+
+    def _shard(self, key: Column) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.n_shards)), F.lit(0)) if self.n_shards > 1 else F.lit(0)
+
     def flag(self, rows: DataFrame, key: str, name: str) -> DataFrame:
-        """``rows`` with the boolean ``name``; a list beyond the bound is joined instead, each listed key once."""
-        if self.exact is None:
-            return rows.withColumn(name, self.listed(F.col(key)))
-        return rows.join(self.exact.select(F.col("key").alias(key), F.lit(True).alias("__listed")), key, "left").withColumn(name, F.coalesce("__listed", F.lit(False))).drop("__listed")
+        """``rows`` with the boolean ``name``: nothing is shuffled or joined."""
+        if self.n_shards == 1:
+            return rows.withColumn(name, self.shards[0].listed(F.col(key)))
+        of_shards = [rows.where(self._shard(F.col(key)) == i).withColumn(name, s.listed(F.col(key))) for i, s in enumerate(self.shards)]
+        return reduce(DataFrame.unionAll, of_shards)
 
 
 def judge_urls(pages: DataFrame, blocked: DataFrame, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
@@ -123,7 +140,7 @@ def judge_urls(pages: DataFrame, blocked: DataFrame, rules=RULES, max_bits: int
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     """Verdicts of all pages; the list has the hosts whose MD5 begins with 0 or 1, as a stand-in for one from outside."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct().where("host <> '' AND substring(md5(host), 1, 1) IN ('0', '1')")
     return judge_urls(pages, hosts)
 
