@@ -2,8 +2,12 @@
 
 The test strings are the windows of ``width`` words of the benchmark's items. For each length of test string, a block is
 two words. A table of shifts, indexed by a block's hash, says how far the search may move past a block that ends at the
-current word; where it is 0, the bucket of that suffix names the test strings whose words are then compared one by one.
-Positions in many stretches of text move in step, as vectors.
+current word; where it is 0, the bucket of that suffix names the test strings that may stand there. They are compared word
+by word, first by hash and then, where all hashes agree, by their bytes. Positions in many stretches of text move in step,
+as vectors.
+
+A benchmark over ``TABLE_BYTES`` is searched in several passes, one after the other: a task holds the tables of one pass, in
+which each item's words stand once.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import append, documents, only
+from .shared import append, cut, discard, documents, only
 from .textnum import ALNUM, LOWER, U, Block, blocks, grams
 
 #: Bytes of benchmark text in one set of tables; a larger benchmark is searched in several passes over the documents.
@@ -28,13 +32,23 @@ WIDTH = 13
 STRETCH = 512
 
 
+@dataclass
+class Items:
+    """The words of a pass's items on end: hashes, and bytes with where each word begins in them."""
+
+    hashes: np.ndarray
+    text: np.ndarray
+    at: np.ndarray
+
+
 @dataclass
 class Tables:
-    """Test strings of one length: their words, a CSR of their items, shifts by block, and the order of their suffixes."""
+    """Test strings of one length: their places among the items' words, a CSR of their items, shifts by block, and the order of their suffixes."""
 
     length: int
     block: int
-    words: np.ndarray
+    words: Items
+    place: np.ndarray
     item_at: np.ndarray
     items: np.ndarray
     shift: np.ndarray
@@ -42,40 +56,69 @@ class Tables:
     order: np.ndarray
 
 
-def test_strings(texts: list[str | None], width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: word hashes (a row each) and item number of every window; an item of fewer words is one window."""
+def word_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of words on end, A-Z lower-cased."""
+    sizes = ends - starts
+    return LOWER[data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]]
+
+
+def _items(texts: list[str | None]) -> tuple[Items, np.ndarray]:
+    """All words of the items, and each item's first."""
+    found = list(blocks(pa.array(texts, pa.string()), ALNUM, LOWER))
+    hashes, text, sizes, n_words = ([np.zeros(0, dtype=t)] for t in (np.uint64, np.uint8, np.int64, np.int64))
+    for b in found:
+        hashes.append(b.hashes)
+        text.append(word_bytes(b.data, b.starts, b.ends))
+        sizes.append(b.ends - b.starts)
+        n_words.append(b.n_words)
+    return Items(np.concatenate(hashes), np.concatenate(text), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])), np.concatenate([[0], np.cumsum(np.concatenate(n_words))])
+
+
+def windows(first: np.ndarray, width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: first word and item of every window; an item of fewer words is one window."""
     found: dict[int, tuple[list, list]] = {}
-    for b in blocks(pa.array(texts, pa.string()), ALNUM, LOWER):
-        for i in range(len(b.first) - 1):
-            words = b.hashes[b.first[i] : b.first[i + 1]]
-            if not len(words):
-                continue
-            size = min(width, len(words))
-            rows, owners = found.setdefault(size, ([], []))
-            rows.append(np.lib.stride_tricks.sliding_window_view(words, size))
-            owners.append(np.full(len(words) - size + 1, b.rows.start + i))
-    return {size: (np.concatenate(r), np.concatenate(o)) for size, (r, o) in found.items()}
+    for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if size := min(width, high - low):
+            places, owners = found.setdefault(size, ([], []))
+            places.append(np.arange(low, high - size + 1))
+            owners.append(np.full(high - low - size + 1, i))
+    return {size: (np.concatenate(p), np.concatenate(o)) for size, (p, o) in found.items()}
 
 
 def build(texts: list[str | None], width: int) -> list[Tables]:
+    words, first = _items(texts)
     out = []
-    for size, (rows, owners) in sorted(test_strings(texts, width).items()):
-        words, which = np.unique(rows, axis=0, return_inverse=True)
+    for size, (places, owners) in sorted(windows(first, width).items()):
+        _, one, which = np.unique(words.hashes[places[:, None] + np.arange(size)], axis=0, return_index=True, return_inverse=True)
+        place = places[one]
         pairs = np.unique(np.stack([which.ravel(), owners], axis=1), axis=0)
         block = min(2, size)
-        shift = np.full(1 << max(10, int(8 * words.size - 1).bit_length()), size - block + 1, dtype=np.int16)
+        codes = grams(words.hashes, block)
+        shift = np.full(1 << max(10, int(8 * place.size * size - 1).bit_length()), size - block + 1, dtype=np.int16)
         for end in range(block - 1, size):
-            codes = block_codes(words[:, end - block + 1 : end + 1])
-            np.minimum.at(shift, (codes & U(len(shift) - 1)).astype(np.int64), size - 1 - end)
-        suffix = block_codes(words[:, size - block :])
+            np.minimum.at(shift, (codes[place + end - block + 1] & U(len(shift) - 1)).astype(np.int64), size - 1 - end)
+        suffix = codes[place + size - block]
         order = np.argsort(suffix, kind="stable")
-        out.append(Tables(size, block, words, np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1], shift, suffix[order], order))
+        out.append(Tables(size, block, words, place, np.searchsorted(pairs[:, 0], np.arange(len(place) + 1)), pairs[:, 1], shift, suffix[order], order))
     return out
 
 
-def block_codes(words: np.ndarray) -> np.ndarray:
-    """Hash of each row of words."""
-    return grams(np.ascontiguousarray(words).ravel(), words.shape[1])[:: words.shape[1]]
+def same_bytes(b: Block, starts: np.ndarray, t: Tables, which: np.ndarray) -> np.ndarray:
+    """Whether the words from ``starts`` on are, byte for byte, those of the test strings."""
+    same = np.ones(len(starts), dtype=bool)
+    for j in range(t.length):
+        at = np.flatnonzero(same)
+        low, high = b.starts[starts[at] + j], b.ends[starts[at] + j]
+        own = t.place[which[at]] + j
+        begin, size = t.words.at[own], t.words.at[own + 1] - t.words.at[own]
+        ok = high - low == size
+        same[at[~ok]] = False
+        at, low, high, begin, size = at[ok], low[ok], high[ok], begin[ok], size[ok]
+        if len(at):
+            before = np.cumsum(size) - size
+            differ = word_bytes(b.data, low, high) != t.words.text[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+            same[at] = np.add.reduceat(differ, before) == 0
+    return same
 
 
 def search(b: Block, t: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +152,9 @@ def search(b: Block, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     starts = ends - t.length + 1
     same = np.ones(len(starts), dtype=bool)
     for j in range(t.length):
-        same[same] = b.hashes[starts[same] + j] == t.words[which[same], j]
+        same[same] = b.hashes[starts[same] + j] == t.words.hashes[t.place[which[same]] + j]
+    starts, which = starts[same], which[same]
+    same = same_bytes(b, starts, t, which)
     return starts[same], which[same]
 
 
@@ -138,20 +183,44 @@ def covered(stretches: list[tuple[int, int]]) -> int:
 
 
 _FOUND = "n_words long, n_hit long, n_items long, items array<string>"
+#: What a pass hands to the next: words in occurrences, as stretches that don't touch, and items.
+_SO_FAR = "__low array<int>, __high array<int>, __items array<string>"
 
 
-def _columns(rows: list[tuple[int, int, set[str | None]]]) -> list[pa.Array]:
-    n, hit, items = zip(*rows, strict=True) if rows else ((), (), ())
-    return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string()))]
+def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(stretches):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
-def _passes(benchmark: DataFrame, table_bytes: int) -> Iterator[list]:
-    """Items in blocks of bounded size; a block alone is ever on the driver."""
-    rows = only(benchmark, item_id="string", text="string").where("text IS NOT NULL")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-size // table_bytes) or 1
-    for i in range(n):
-        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else rows.collect()
+def _one_pass(items: list, width: int, first: bool, last: bool):
+    """A function of texts (and of what earlier passes have found) that gives the columns of ``_FOUND`` in the last pass, else of ``_SO_FAR``."""
+    names, tables = [x.item_id for x in items], build([x.text for x in items], width)
+
+    def make(spark_value):
+        def run(texts: pa.Array, *so_far: pa.Array) -> list[pa.Array]:
+            names, tables = spark_value.value
+            before = zip(*(c.to_pylist() for c in so_far), strict=True) if not first else None
+            out = []
+            for n_words, stretches, found in occurrences(texts, tables):
+                for n, s, x in zip(n_words.tolist(), stretches, found, strict=True):
+                    listed = {names[i] for i in x.tolist()}
+                    if before is not None:
+                        low, high, old = next(before)
+                        s, listed = [*zip(low, high, strict=True), *s], listed | set(old)
+                    out.append((n, merged(s), listed))
+            if not last:
+                return [pa.array([[x[i] for x in s] for _, s, _ in out], pa.list_(pa.int32())) for i in (0, 1)] + [pa.array([list(x) for _, _, x in out], pa.list_(pa.string()))]
+            long = pa.int64()
+            return [pa.array([n for n, _, _ in out], long), pa.array([covered(s) for _, s, _ in out], long), pa.array([len(x) for _, _, x in out], long), pa.array([sorted(x - {None}) for _, _, x in out], pa.list_(pa.string()))]
+
+        return run
+
+    return (names, tables), make
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -159,34 +228,27 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ta
 
     Words are runs of letters a-z, digits and non-ASCII characters with A-Z lower-cased. A test string is a window of
     ``width`` words of an item (a shorter, not wordless item is one). A word inside any occurrence counts as hit; items are
-    those with an occurrence, as strings in order; those without id count in n_items as one and aren't listed. A text is contaminated if a twentieth of its words or more is hit. Null,
-    empty and blank texts have no words; items without words or text are no test strings. Rows, repeated or not, are
-    judged alone, in the scan's own tasks: nothing is shuffled. Columns of ``docs`` with the new names are replaced.
+    those with an occurrence, as strings in order; those without id count in n_items as one and aren't listed. A text is
+    contaminated if a twentieth of its words or more is hit. Null, empty and blank texts have no words; items without words or
+    text are no test strings. Rows, repeated or not, are judged alone, in the scan's own tasks: nothing is shuffled. Columns of
+    ``docs`` with the new names are replaced. A benchmark over ``table_bytes`` takes several passes, between which the texts are
+    written with what has been found.
     """
-    spark = docs.sparkSession
-    blocks_of_items = list(_tables(spark, benchmark, width, table_bytes))
-
-    def make(texts: pa.Array) -> list[pa.Array]:
-        total: list[tuple[int, list, set]] = []
-        for shared in blocks_of_items:
-            names, tables = shared.value
-            row = 0
-            for n_words, stretches, items in occurrences(texts, tables):
-                for n, s, x in zip(n_words.tolist(), stretches, items, strict=True):
-                    if row == len(total):
-                        total.append((n, [], set()))
-                    total[row][1].extend(s)
-                    total[row][2].update(names[i] for i in x.tolist())
-                    row += 1
-        return _columns([(n, covered(s), x) for n, s, x in total])
-
-    found = append(docs, make, _FOUND)
-    return found.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
-
-
-def _tables(spark, benchmark: DataFrame, width: int, table_bytes: int):
-    for items in _passes(benchmark, table_bytes):
-        yield spark.sparkContext.broadcast(([x.item_id for x in items], build([x.text for x in items], width)))
+    items = only(benchmark, item_id="string", text="string").where("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n, rows = -(-size // table_bytes) or 1, docs
+    for i in range(n):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
+        tables, make = _one_pass(some.collect(), width, i == 0, i + 1 == n)
+        shared = docs.sparkSession.sparkContext.broadcast(tables)
+        found = append(rows, make(shared), _FOUND if i + 1 == n else _SO_FAR, more=() if i == 0 else ("__low", "__high", "__items"))
+        if i + 1 == n:
+            rows = found.drop("__low", "__high", "__items") if n > 1 else found
+            break
+        before, rows = rows, cut(found)
+        shared.destroy()
+        discard(before)
+    return rows.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
