@@ -13,6 +13,11 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Alike for equal sets of edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` to a table ``(node, component)``: the smallest node of each node's component; nodes without edges are absent.
 
@@ -44,7 +49,7 @@ def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
     written to the shared folder. Hubs meet no window or collected list: a round is an aggregate and a join on the node.
     """
     now = cut(edges)
-    mark = None
+    mark = _mark(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -52,10 +57,10 @@ def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before, now = now, cut(small)
         discard(before)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = _mark(now)
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark = seen
     else:
         raise RuntimeError(f"components not settled in {max_rounds} rounds")
     out = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
