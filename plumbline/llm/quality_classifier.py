@@ -142,7 +142,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 def sample(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Some ``train_rows`` labels (doc_id, quality), those with the smallest hashes of their ids; held-out, null and other labels than 0 and 1 are left out. A label that stands twice counts twice."""
-    known = only(labels, doc_id="long", quality="int").where("quality IN (0, 1)").where(~held_out())
+    known = only(labels, doc_id="long", quality="int").where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
     share = min(1.0, 1.1 * train_rows / max(1, known.count()))
     # Ids whose hash lies under the sample's share come first in the order of hashes anyway: no task sends more than its part.
     return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
