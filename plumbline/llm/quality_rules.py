@@ -77,8 +77,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "common": F.expr(f"filter(transform(ws, x -> lower(x)), x -> x IN ({in_list}))"),
     }).drop("lines")
     # Windows by content, then place; only texts with some window twice are sorted.
-    t = t.withColumn("placed", F.expr("CASE WHEN size(runs) = size(array_distinct(runs)) THEN array() ELSE array_sort(transform(runs, (h, i) -> struct(h AS h, i AS i))) END")).drop("runs", "ws")
-    t = t.withColumn("twice", F.expr("array_sort(transform(filter(transform(placed, (x, j) -> struct(x.i AS i, (j > 0 AND placed[greatest(j - 1, 0)].h = x.h) OR (j < size(placed) - 1 AND placed[least(j + 1, size(placed) - 1)].h = x.h) AS again)), x -> x.again), x -> x.i))")).drop("placed")
+    t = t.withColumn("placed", F.expr("CASE WHEN size(runs) = size(array_distinct(runs)) THEN array() ELSE sort_array(transform(runs, (h, i) -> struct(h AS h, i AS i))) END")).drop("runs", "ws")
+    t = t.withColumn("twice", F.expr("sort_array(transform(filter(transform(placed, (x, j) -> struct(x.i AS i, (j > 0 AND placed[greatest(j - 1, 0)].h = x.h) OR (j < size(placed) - 1 AND placed[least(j + 1, size(placed) - 1)].h = x.h) AS again)), x -> x.again), x -> x.i))")).drop("placed")
     t = t.withColumn("n_repeat_words", F.expr("CAST(aggregate(twice, struct(0 AS n, 0 AS reach), (s, i) -> struct(s.n + i + 5 - greatest(i, s.reach) AS n, i + 5 AS reach), s -> s.n) AS BIGINT)")).drop("twice")
     t = t.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
     rest = " - ".join(["chars", *(f"c{i}" for i in range(len(CLASSES)))])
