@@ -5,9 +5,12 @@ windows have equal minimisers. Consecutive windows with one minimiser travel as
 
 1. Every document gives its distinct minimisers. Those of one document only end here.
 2. Documents with shared minimisers are read again; only their super-k-mers of shared minimisers travel, to the bucket
-   of the minimiser. There the windows are unpacked and sorted, and each window's smallest document is known.
-3. A minimiser of more than ``hot`` documents is no bucket: its windows travel as fingerprints, are summed where they
-   are and meet their smallest document in a join that can be split.
+   of the minimiser. There the windows are unpacked and sorted, and each window's smallest document is known. Windows are
+   told apart by 128 bits of hashes of their words.
+3. A minimiser of more than ``hot`` documents has several buckets, among which its documents are dealt. Each sorts and counts
+   its windows as before, and says of each distinct one which documents are its smallest and largest there. The smallest of
+   all buckets comes back to those that have a larger one, where the packed strings meet it. So no bucket holds more than
+   some ``hot`` documents, and a passage that all documents share costs one row a bucket.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, documents, only, small_batches
+from .shared import cut, discard, documents, only, small_batches
 from .textnum import AS_IS, NOT_SPACE, STEP_CODE, U, Block, blocks, grams, mix, whole
 
-#: Documents that share a minimiser beyond which it counts as hot.
+#: Documents, about, that a bucket holds: a minimiser of more of them has several buckets.
 HOT = 4096
 #: Words in a run of which the smallest hash is a window's minimiser.
 RUN = 16
@@ -81,7 +84,7 @@ def _minimisers(width: int, run: int):
 
 
 def _packed(width: int, run: int):
-    """Rows (mini, hot, doc_id, tid, start, packed) of batches (doc_id, tid, text, cold, hot): super-k-mers of the listed minimisers."""
+    """Rows (mini, salts, salt, doc_id, tid, start, packed) of batches (doc_id, tid, text, listed): super-k-mers of the listed (mini, salts), dealt by document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,15 +98,20 @@ def _packed(width: int, run: int):
                     if i == j:
                         continue
                     row = block.rows.start + d
-                    ids, hots = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in (3, 4))
-                    is_hot = np.isin(least[i:j], hots)
-                    for x in (i + np.flatnonzero(is_hot | np.isin(least[i:j], ids))).tolist():
-                        a, b = at[x], at[x] + windows[x] + width - 2
-                        text = block.data[block.starts[a] : block.ends[b]].tobytes()
-                        out.append((int(least[x]), bool(is_hot[x - i]), batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), int(a - block.first[d]), text))
+                    listed = batch.column(3)[row].values
+                    minis, salts = (listed.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                    order = np.argsort(minis)
+                    minis, salts = minis[order], salts[order]
+                    place = np.minimum(np.searchsorted(minis, least[i:j]), len(minis) - 1)
+                    doc_id, tid = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                    dealt = int(mix(np.array([doc_id], dtype=np.int64).view(np.uint64))[0])
+                    for x in np.flatnonzero(minis[place] == least[i:j]).tolist():
+                        a, b = at[i + x], at[i + x] + windows[i + x] + width - 2
+                        n = int(salts[place[x]])
+                        out.append((int(least[i + x]), n, dealt % n, doc_id, tid, int(a - block.first[d]), block.data[block.starts[a] : block.ends[b]].tobytes()))
                 if out:
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["mini", "hot", "doc_id", "tid", "start", "packed"])
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["mini", "salts", "salt", "doc_id", "tid", "start", "packed"])
 
     return rows
 
@@ -166,34 +174,88 @@ def _sorted_buckets(width: int):
     return run
 
 
-def _hot_windows(width: int):
+def _bucket_windows(width: int):
+    """Rows (mini, salt, f1, f2, low, high): the distinct windows of each bucket, with their smallest and largest document; of rows sorted by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if rows.num_rows:
-                for f1, f2, owner, place in _unpacked(rows, width):
-                    doc, tid, start = (rows.column(c).to_numpy() for c in ("doc_id", "tid", "start"))
-                    yield pa.RecordBatch.from_arrays([pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(doc[owner]), pa.array(tid[owner]), pa.array((start[owner] + place).astype(np.int32))], ["f1", "f2", "doc_id", "tid", "start"])
+            if not rows.num_rows:
+                continue
+            for f1, f2, owner, _ in _unpacked(rows, width):
+                mini, salt, doc = (rows.column(c).to_numpy()[owner] for c in ("mini", "salt", "doc_id"))
+                order = np.lexsort((doc, f2, f1, salt, mini))
+                f1, f2, mini, salt, doc = f1[order], f2[order], mini[order], salt[order], doc[order]
+                new = np.ones(len(f1) + 1, dtype=bool)
+                new[1:-1] = (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]) | (mini[1:] != mini[:-1]) | (salt[1:] != salt[:-1])
+                first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(mini[first]), pa.array(salt[first]), pa.array(f1[first].view(np.int64)), pa.array(f2[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[last])], ["mini", "salt", "f1", "f2", "low", "high"])
+
+    return run
+
+
+def _looked_up(width: int):
+    """Stretches to remove, of rows (mini, salt, f1, f2, doc_id, tid, start, packed) by bucket: first its windows' smallest documents, then its packed strings."""
+
+    def late(known: list[pa.RecordBatch], rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(known)
+        t1, t2, least = (table.column(c).to_numpy() for c in ("f1", "f2", "doc_id"))
+        doc, tid, start = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tid", "start"))
+        for f1, f2, owner, place in _unpacked(rows, width):
+            n = len(t1)
+            a, b = np.concatenate([t1.view(np.uint64), f1]), np.concatenate([t2.view(np.uint64), f2])
+            # Each window stands right behind the known one that it may equal.
+            order = np.lexsort((np.arange(len(a)) >= n, b, a))
+            before = np.maximum.accumulate(np.where(order < n, np.arange(len(a)), -1))
+            held = (order >= n) & (before >= 0)
+            of, own = order[before[held]], order[held]
+            hit = (a[of] == a[own]) & (b[of] == b[own])
+            of, own = of[hit], own[hit] - n
+            own = own[doc[owner[own]] > least[of]]
+            yield ranges(doc[owner[own]], tid[owner[own]], start[owner[own]].astype(np.int64) + place[own], width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mini, salt, packed = batch.column("mini").to_numpy(), batch.column("salt").to_numpy(), batch.column("packed").is_valid().to_numpy(zero_copy_only=False)
+            cut_at = np.flatnonzero((mini[1:] != mini[:-1]) | (salt[1:] != salt[:-1]) | (packed[1:] != packed[:-1])) + 1
+            for i, j in zip([0, *cut_at.tolist()], [*cut_at.tolist(), batch.num_rows], strict=True):
+                if key != (mini[i], salt[i]):
+                    key, known = (mini[i], salt[i]), []
+                part = batch.slice(i, j - i)
+                if not packed[i]:
+                    known.append(part)
+                elif known:
+                    yield from late(known, part)
 
     return run
 
 
 def repeated_stretches(docs: DataFrame, width: int = 50, run: int = RUN, hot: int = HOT) -> DataFrame:
-    """Stretches of words (doc_id, tid, low, high) covered by windows that a smaller doc_id has too; they may overlap.
+    """A table of stretches of words (doc_id, tid, low, high) covered by windows that a smaller doc_id has too; they may overlap.
 
     ``docs`` has (doc_id, tid, text) where tid tells apart texts under one doc_id.
     """
     docs = docs.where("doc_id IS NOT NULL")
     minis = cut(docs.mapInArrow(_minimisers(width, run), "mini long, doc_id long, tid long"))
-    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("mini", (F.col("n") > hot).alias("hot"))
-    listed = minis.join(shared, "mini").groupBy("doc_id", "tid").agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN mini END")).alias("cold"), F.collect_set(F.expr("CASE WHEN hot THEN mini END")).alias("hots"))
-    packed = docs.join(listed, ["doc_id", "tid"]).select("doc_id", "tid", "text", "cold", "hots").mapInArrow(_packed(width, run), "mini long, hot boolean, doc_id long, tid long, start int, packed binary")
+    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("mini", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    listed = minis.join(shared, "mini").groupBy("doc_id", "tid").agg(F.collect_set(F.struct("mini", "salts")).alias("listed"))
+    packed = docs.join(listed, ["doc_id", "tid"]).select("doc_id", "tid", "text", "listed").mapInArrow(_packed(width, run), "mini long, salts int, salt int, doc_id long, tid long, start int, packed binary")
     packed = cut(packed)
-    cold = packed.where("NOT hot").drop("hot").repartition("mini").sortWithinPartitions("mini").mapInArrow(_sorted_buckets(width), "doc_id long, tid long, low int, high int")
-    # The rows of hot minimisers, windows by content: an aggregate, then a join that AQE may split.
-    windows = packed.where("hot").mapInArrow(_hot_windows(width), "f1 long, f2 long, doc_id long, tid long, start int")
-    least = windows.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
-    late = windows.join(least, ["f1", "f2"]).where("doc_id > least").select("doc_id", "tid", F.col("start").alias("low"), (F.col("start") + width).alias("high"))
-    return cold.union(late)
+    discard(minis)
+    cold = packed.where("salts = 1").drop("salts", "salt").repartition("mini").sortWithinPartitions("mini").mapInArrow(_sorted_buckets(width), "doc_id long, tid long, low int, high int")
+    dealt = packed.where("salts > 1")
+    windows = cut(dealt.repartition("mini", "salt").sortWithinPartitions("mini", "salt").mapInArrow(_bucket_windows(width), "mini long, salt int, f1 long, f2 long, low long, high long"))
+    least = windows.groupBy("f1", "f2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("f1", "f2", "least")
+    known = cut(windows.join(least, ["f1", "f2"]).where("high > least").groupBy("mini", "salt", "f1", "f2").agg(F.min("least").alias("doc_id")))
+    discard(windows)
+    rows = known.select("mini", "salt", "f1", "f2", "doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("tid", "long"), ("start", "int"), ("packed", "binary"))))
+    rows = rows.union(dealt.select("mini", "salt", *(F.lit(None).cast("long").alias(c) for c in ("f1", "f2")), "doc_id", "tid", "start", "packed"))
+    late = rows.repartition("mini", "salt").sortWithinPartitions("mini", "salt", F.col("packed").isNotNull()).mapInArrow(_looked_up(width), "doc_id long, tid long, low int, high int")
+    found = cut(cold.union(late))
+    discard(packed, known)
+    return found
 
 
 def _kept(with_text: bool):
