@@ -121,7 +121,7 @@ class Covariance:
         return sum(m.array(lag, p) for m, p in self.terms)
 
     def matrix(self, a, b) -> np.ndarray:
-        """Between coordinates (n, d) and (m, d)."""
+        """Between coordinates (n, d) and (m, d), or stacks of such."""
         return self.array(distances(a, b))
 
     @property
@@ -154,9 +154,9 @@ class SpaceTime:
         return self.sill * Covariance(self.space, self.space_params).array(lag) * Covariance(self.time, self.time_params).array(gap)
 
     def matrix(self, a, ta, b, tb) -> np.ndarray:
-        return self.array(distances(a, b), np.abs(np.asarray(ta, float)[:, None] - np.asarray(tb, float)[None]))
+        return self.array(distances(a, b), np.abs(np.asarray(ta, float)[..., :, None] - np.asarray(tb, float)[..., None, :]))
 
 
 def distances(a, b) -> np.ndarray:
     a, b = np.asarray(a, float), np.asarray(b, float)
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
+    return np.sqrt(np.maximum(((a[..., :, None, :] - b[..., None, :, :]) ** 2).sum(axis=-1), 0.0))

@@ -190,6 +190,48 @@ def lognormal_column(mu: Column, sigma: Column, points: int = 30) -> Column:
     return _struct(grid, lambda g: F.transform(g, lambda z: F.exp(-0.5 * ((F.log(z) - mu) / sigma) * ((F.log(z) - mu) / sigma)) / z))
 
 
+def _normal_mass(low: Column, high: Column, steps: int = 240) -> Column:
+    """Of the standard normal between two columns, by Simpson's rule over what lies within 9 of 0 (or next to a bound beyond)."""
+    a, b = F.least(F.greatest(low, F.lit(-9.0)), high), F.greatest(F.least(high, F.lit(9.0)), low)
+    weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct((a + (b - a) * i / steps).alias("z"), weight(i).alias("w")))
+    total = F.aggregate(at, F.lit(0.0), lambda s, p: s + p["w"] * F.exp(-0.5 * p["z"] * p["z"]))
+    return F.greatest(total * (b - a) / (3 * steps * math.sqrt(2 * math.pi)), F.lit(TINY))
+
+
+def truncnorm_column(mu: Column, sigma: Column, a: Column, b: Column, points: int = 25) -> Column:
+    exact = F.struct(mu.cast("double").alias("mu"), sigma.cast("double").alias("sigma"), a.cast("double").alias("a"), b.cast("double").alias("b"), (F.log(sigma * math.sqrt(2 * math.pi)) + F.log(_normal_mass((a - mu) / sigma, (b - mu) / sigma))).alias("log_norm"))
+    return _struct(spaced(a, b, points), lambda g: F.transform(g, lambda z: F.exp(-0.5 * ((z - mu) / sigma) * ((z - mu) / sigma))), exact)
+
+
+def linear_column(grid: Column, dens: Column) -> Column:
+    """Of two arrays of one length."""
+    return _struct(grid.cast("array<double>"), lambda g: dens.cast("array<double>"))
+
+
+def histogram_column(edges: Column, dens: Column) -> Column:
+    """Of an array of edges and one of densities, one shorter."""
+    edges, dens = edges.cast("array<double>"), dens.cast("array<double>")
+    whole = F.aggregate(F.sequence(F.lit(1), F.size(dens)), F.lit(0.0), lambda s, i: s + F.get(dens, i - 1) * (F.get(edges, i) - F.get(edges, i - 1)))
+    none = F.lit(None).cast("struct<mu: double, sigma: double, a: double, b: double, log_norm: double>")
+    return let(whole, lambda w: F.struct(F.lit("histogram").alias("kind"), edges.alias("z_grid"), F.transform(dens, lambda x: x / w).alias("dens"), none.alias("analytic")))
+
+
+def sampled_column(density, low: Column, high: Column, points: int = 50) -> Column:
+    """Of any function from a column to a column; what is below 0 counts as 0."""
+    return _struct(spaced(low, high, points), lambda g: F.transform(g, lambda z: F.greatest(density(z), F.lit(0.0))))
+
+
+def mixture_column(parts: list[Column], weights: list[float], points: int = 60) -> Column:
+    ends = [(F.get(p["z_grid"], F.lit(0)), F.get(p["z_grid"], F.size(p["z_grid"]) - 1)) for p in parts]
+    low, high = (F.least(*x) if i == 0 else F.greatest(*x) for i, x in enumerate(zip(*ends, strict=True))) if len(parts) > 1 else ends[0]
+
+    def density(z):
+        return sum((w / sum(weights) * evaluate_column(p, z) for w, p in zip(weights, parts, strict=True)), F.lit(0.0))
+
+    return sampled_column(density, low, high, points)
+
+
 def evaluate_column(pdf: Column, z: Column) -> Column:
     """Density at z: 0 outside the support."""
     grid, dens = pdf["z_grid"], pdf["dens"]

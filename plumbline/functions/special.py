@@ -87,18 +87,45 @@ def bessel_k(nu: float, x) -> np.ndarray:
     return np.trapezoid(np.exp(-x[..., None] * np.cosh(t)) * np.cosh(nu * t), t, axis=-1)
 
 
-# Lowest primes, bases of a Halton sequence.
-_PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71]
+# Degree, inner coefficients and first direction numbers of the primitive polynomials of a Sobol sequence's
+# second and further dimensions (Joe and Kuo, 2008).
+SOBOL = [
+    (1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17]), (5, 4, [1, 1, 5, 5, 5]),
+    (5, 7, [1, 1, 7, 11, 19]), (5, 11, [1, 1, 5, 1, 1]), (5, 13, [1, 1, 1, 3, 11]), (5, 14, [1, 3, 5, 5, 31]), (6, 1, [1, 3, 3, 9, 7, 49]), (6, 13, [1, 1, 1, 15, 21, 21]),
+    (6, 16, [1, 3, 1, 13, 27, 49]), (6, 19, [1, 1, 1, 15, 7, 5]), (6, 22, [1, 3, 1, 15, 13, 25]), (6, 25, [1, 1, 5, 5, 19, 61]), (7, 1, [1, 3, 7, 11, 23, 15, 103]), (7, 4, [1, 3, 7, 13, 13, 15, 69]),
+]
+_BITS = 30
+
+
+def _directions(d: int) -> list[int]:
+    """The direction numbers of a dimension, as integers of ``_BITS`` bits."""
+    if not d:
+        return [1 << (_BITS - 1 - i) for i in range(_BITS)]
+    degree, inner, first = SOBOL[d - 1]
+    out = [m << (_BITS - 1 - i) for i, m in enumerate(first)]
+    for i in range(degree, _BITS):
+        v = out[i - degree] ^ (out[i - degree] >> degree)
+        for k in range(1, degree):
+            if inner >> (degree - 1 - k) & 1:
+                v ^= out[i - k]
+        out.append(v)
+    return out
 
 
 def low_discrepancy(n: int, dims: int, seed: int) -> np.ndarray:
-    """n points in the unit cube: a Halton sequence with a seeded shift in each dimension, the same for one seed."""
-    if dims > len(_PRIMES):
-        raise ValueError(f"at most {len(_PRIMES)} dimensions")
+    """n points in the unit cube: a Sobol sequence, scrambled in each dimension by a seeded triangular matrix of bits and a shift; the same for one seed."""
+    if dims > len(SOBOL) + 1:
+        raise ValueError(f"at most {len(SOBOL) + 1} dimensions")
+    if n > 1 << _BITS:
+        raise ValueError(f"at most {1 << _BITS} points")
+    rng, number = np.random.default_rng(seed), np.arange(n, dtype=np.int64)
     out = np.zeros((n, dims))
     for d in range(dims):
-        rest, scale = np.arange(1, n + 1), 1.0 / _PRIMES[d]
-        while rest.any():
-            out[:, d] += (rest % _PRIMES[d]) * scale
-            rest, scale = rest // _PRIMES[d], scale / _PRIMES[d]
-    return (out + np.random.default_rng(seed).random(dims)) % 1.0
+        # Bit i of a scrambled number (from the top) is the parity of bits 0 to i under a row of the matrix, which keeps bit i.
+        rows = [int(rng.integers(0, 1 << i)) << (_BITS - i) | 1 << (_BITS - 1 - i) for i in range(_BITS)]
+        x = np.full(n, int(rng.integers(0, 1 << _BITS)), dtype=np.int64)
+        for bit, v in enumerate(_directions(d)[: max(1, int(n - 1).bit_length())]):
+            mixed = sum(((rows[i] & v).bit_count() & 1) << (_BITS - 1 - i) for i in range(_BITS))
+            x ^= np.where(number >> bit & 1, mixed, 0)
+        out[:, d] = (x + 0.5) / (1 << _BITS)
+    return out

@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Points of the smaller side of all pairs.
+PAIR_ROWS = 100_000
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two coordinate arrays of one length."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def pair_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All distances of two tables (id, coords); of a table of points with a small set, which goes in full to every task."""
+    """All distances of a table of points (id, coords) with a small set of such, which goes in full to every task; raises if it has over ``PAIR_ROWS`` rows."""
+    if b.limit(PAIR_ROWS + 1).count() > PAIR_ROWS:
+        raise ValueError(f"the second table has over {PAIR_ROWS} rows: use within_distance or knn")
+    b = F.broadcast(b)
     return a.select(F.col("id").alias("a_id"), F.col("coords").alias("__a")).join(b.select(F.col("id").alias("b_id"), F.col("coords").alias("__b"))).select("a_id", "b_id", distance(F.col("__a"), F.col("__b")).alias("distance"))
 
 

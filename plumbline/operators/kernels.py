@@ -291,6 +291,7 @@ class Options:
     label: str = "bme"
     plain_mean: bool = False
     exact_intervals: bool = False
+    density: bool = True
 
     @property
     def simple(self) -> bool:
@@ -338,10 +339,40 @@ def trend(xk, xh, zh, xs, soft_means, opt: Options) -> tuple[float, np.ndarray,
     return float((design(np.atleast_2d(xk), opt.order) @ beta)[0]), fitted[:n_hard], fitted[n_hard:]
 
 
+def krige(xk, xh, zh, ckk: float, ckh, chh, opt: Options) -> list[dict] | None:
+    """``estimate`` for points (a first axis more everywhere) with as many hard neighbours each, at least one, and no soft ones; None if some matrix has no Cholesky root."""
+    zh, ckh = np.asarray(zh, float), np.asarray(ckh, float)
+    n = zh.shape[1]
+    if opt.simple:
+        mk, mh = np.full(len(zh), opt.mean_prior), np.full(zh.shape, opt.mean_prior)
+    elif opt.plain_mean or opt.order == 0:
+        mk = zh.mean(axis=1)
+        mh = np.repeat(mk[:, None], n, axis=1)
+    else:
+        at_h = design(xh.reshape(-1, xh.shape[2]), opt.order).reshape(len(zh), n, -1)
+        beta = np.linalg.pinv(at_h, rcond=np.finfo(float).eps * max(at_h.shape[1:])) @ zh[..., None]
+        mk, mh = (design(xk, opt.order) * beta[..., 0]).sum(axis=1), (at_h @ beta)[..., 0]
+    try:
+        lower = np.linalg.cholesky(np.asarray(chh, float) + JITTER * np.eye(n))
+    except np.linalg.LinAlgError:
+        return None
+    weights = np.linalg.solve(lower.transpose(0, 2, 1), np.linalg.solve(lower, ckh[..., None]))[..., 0]
+    centre = (weights * (zh - mh)).sum(axis=1) + mk
+    variance = np.maximum(ckk - (weights * ckh).sum(axis=1), 1e-12)
+    reach = norm_ppf((1 + opt.ci_prob) / 2) * np.sqrt(variance)
+    out = []
+    for m, v, h in zip(centre.tolist(), variance.tolist(), reach.tolist(), strict=True):
+        row = blank(opt, n, 0, f"kriging_only nh={n}") | {"kriging_mean": m, "kriging_var": v, "skewness": 0.0, "ci_lower": m - h, "ci_upper": m + h}
+        out.append(gaussian_result(row, m, v, opt))
+    return out
+
+
 def gaussian_result(out: dict, mean: float, variance: float, opt: Options) -> dict:
-    sd = math.sqrt(max(variance, 1e-12))
-    z = np.linspace(mean - 4 * sd, mean + 4 * sd, opt.n_grid)
-    out |= {"mode": mean, "mean": mean, "variance": variance, "z_grid": z.tolist(), "pdf": norm_pdf(z, mean, sd).tolist()}
+    out |= {"mode": mean, "mean": mean, "variance": variance}
+    if opt.density:
+        sd = math.sqrt(max(variance, 1e-12))
+        z = np.linspace(mean - 4 * sd, mean + 4 * sd, opt.n_grid)
+        out |= {"z_grid": z.tolist(), "pdf": norm_pdf(z, mean, sd).tolist()}
     return out
 
 
@@ -364,8 +395,8 @@ def summary(out: dict, z: np.ndarray, pdf: np.ndarray, centre: float, sd: float,
     cdf = cdf / cdf[-1] if cdf[-1] > 0 else np.linspace(0, 1, len(z))
     cdf[-1] = 1.0
     low, high = (int(min(np.searchsorted(cdf, a), len(z) - 1)) for a in ((1 - opt.ci_prob) / 2, (1 + opt.ci_prob) / 2))
-    out |= {"mode": float(z[pdf.argmax()]), "mean": mean, "variance": variance, "skewness": third / variance**1.5 if variance > 1e-14 else 0.0, "ci_lower": float(z[low]), "ci_upper": float(z[high]), "z_grid": z.tolist(), "pdf": pdf.tolist()}
-    return out
+    out |= {"mode": float(z[pdf.argmax()]), "mean": mean, "variance": variance, "skewness": third / variance**1.5 if variance > 1e-14 else 0.0, "ci_lower": float(z[low]), "ci_upper": float(z[high])}
+    return out | ({"z_grid": z.tolist(), "pdf": pdf.tolist()} if opt.density else {})
 
 
 def solver(a: np.ndarray):
@@ -417,5 +448,5 @@ def estimate(xk, xh, zh, xs, pdfs: list[SoftPdf], ckk: float, ckh, chh, cks, csh
         factor = integrate(means, spread, shifted, opt.method, opt.n_quad, seed)
     pdf = np.where(prior < TINY, 0.0, prior * factor)
     failed = not np.isfinite(pdf).any() or not (pdf[np.isfinite(pdf)] > 0).any()
-    summary(out, z + mk, pdf, centre + mk, sd, opt)
+    out = summary(out, z + mk, pdf, centre + mk, sd, opt)
     return out | {"info": ("integration_fallback" if failed else f"full_{opt.label} nh={n_hard} ns={n_soft}") + " singular" * shaky}

@@ -6,10 +6,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.network import DENSE_NODES, precision_kriging
+from plumbline.operators.neighbors import nearest
+from plumbline.operators.network import DENSE_NODES, Csr, precision_kriging, precision_kriging_at
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
@@ -84,22 +86,32 @@ class Mesh:
         nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(self.nodes)], "id long, x double, y double")
         return nodes, spark.createDataFrame([(i, *map(int, t)) for i, t in enumerate(self.triangles)], "id long, a long, b long, c long")
 
-    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lumped mass (a vector) and dense stiffness."""
-        if len(self.nodes) > DENSE_NODES:
-            raise ValueError(f"a dense stiffness matrix serves up to {DENSE_NODES} nodes; use fem_entries")
+    def _elements(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lumped mass, and entries (i, j, v) of the stiffness, nine for each triangle."""
         t = self.triangles
         p = self.nodes[t]
         edges = np.stack([p[:, 2] - p[:, 1], p[:, 0] - p[:, 2], p[:, 1] - p[:, 0]], axis=1)
         area = 0.5 * np.abs(edges[:, 0, 0] * edges[:, 1, 1] - edges[:, 0, 1] * edges[:, 1, 0])
         ok = area >= 1e-20
         t, edges, area = t[ok], edges[ok], area[ok]
-        mass, stiff = np.zeros(len(self.nodes)), np.zeros((len(self.nodes),) * 2)
-        np.add.at(mass, t.ravel(), np.repeat(area / 3, 3))
+        mass = np.bincount(t.ravel(), weights=np.repeat(area / 3, 3), minlength=len(self.nodes))
         local = np.einsum("tid,tjd->tij", edges, edges) / (4 * area)[:, None, None]
-        np.add.at(stiff, (np.repeat(t, 3, axis=1).ravel(), np.tile(t, (1, 3)).ravel()), local.ravel())
+        return mass, np.repeat(t, 3, axis=1).ravel(), np.tile(t, (1, 3)).ravel(), local.ravel()
+
+    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lumped mass (a vector) and dense stiffness."""
+        if len(self.nodes) > DENSE_NODES:
+            raise ValueError(f"a dense stiffness matrix serves up to {DENSE_NODES} nodes; use fem_entries")
+        mass, i, j, v = self._elements()
+        stiff = np.zeros((len(self.nodes),) * 2)
+        np.add.at(stiff, (i, j), v)
         return mass, stiff
 
+    def sparse(self) -> tuple[np.ndarray, Csr]:
+        """Lumped mass and sparse stiffness."""
+        mass, i, j, v = self._elements()
+        return mass, Csr.of(i, j, v, len(self.nodes))
+
 
 def fem_entries(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     """Entries (i, j, mass, stiffness) of any mesh: nine for each triangle, summed; mass is lumped onto the diagonal."""
@@ -130,6 +142,17 @@ def matern_precision(mesh: Mesh, kappa: float, tau2: float, alpha: int = 2) -> n
     raise ValueError("alpha is 1 or 2")
 
 
+def sparse_precision(mesh: Mesh, kappa: float, tau2: float, alpha: int = 2) -> Csr:
+    """``matern_precision`` of a mesh of any size."""
+    mass, stiff = mesh.sparse()
+    if alpha == 1:
+        return stiff.shifted(kappa**2 * mass, tau2)
+    if alpha != 2:
+        raise ValueError("alpha is 1 or 2")
+    scaled = Csr(stiff.at, stiff.columns, stiff.data / np.maximum(mass, 1e-300)[stiff.columns])
+    return scaled.times(stiff).plus(stiff, 2 * kappa**2).shifted(kappa**4 * mass, tau2)
+
+
 def precision_entries(fem: DataFrame, kappa: float, tau2: float, alpha: int = 2) -> DataFrame:
     """The same on entry tables: (i, j, v)."""
     base = fem.select("i", "j", (kappa ** (2 * alpha) * F.col("mass") + (kappa**2 * 2 if alpha == 2 else 1.0) * F.col("stiffness")).alias("v"))
@@ -153,3 +176,19 @@ def spde_kriging(mesh: Mesh, coords, values, est, sigma2: float, length: float,
     """Mean and variance at ``est`` points, by their nearest nodes."""
     q = matern_precision(mesh, *matern_params(sigma2, length, nu), alpha)
     return precision_kriging(q, snap_to(mesh, coords), values, snap_to(mesh, est), nugget)
+
+
+def spde_kriging_at(mesh: Mesh, coords, values, est: DataFrame, sigma2: float, length: float, nu: float = 1.0, alpha: int = 2, nugget: float = 1e-4) -> DataFrame:
+    """``spde_kriging`` at the points of a table (est_id, coords), which stay in it: (est_id, mean, variance). The mesh may have any number of nodes."""
+    ids = np.arange(len(mesh.nodes))
+    shared = est.sparkSession.sparkContext.broadcast(mesh.nodes)
+
+    def snap(batches):
+        for batch in batches:
+            at = np.array(batch["coords"].tolist(), float).reshape(len(batch), 2)
+            yield pd.DataFrame({"est_id": batch["est_id"], "node": nearest(at, shared.value, np.arange(len(shared.value)), 1)[1]})
+
+    q = sparse_precision(mesh, *matern_params(sigma2, length, nu), alpha)
+    at = est.select("est_id", "coords").where("coords IS NOT NULL").mapInPandas(snap, "est_id long, node long")
+    own = nearest(np.asarray(coords, float), mesh.nodes, ids, 1)[1]
+    return precision_kriging_at(est.sparkSession, q, own, values, at, nugget)

@@ -1,16 +1,20 @@
 """Neighbour joins: nearest k in space and space-time, largest covariances on networks, nearest in time.
 
-Spatial neighbours are found in one of three ways, which give the same rows (ties go to the smaller obs_id):
+Spatial neighbours are found in one of four ways, which give the same rows (ties go to the smaller obs_id):
 
 * *blocks*: observations, collected if their size is under a checked bound, go to every task as one array.
 * *cells*: with a finite ``dmax``, an equi-join on squares of that size and their neighbours.
 * *rounds*: with no bound at all, expanding rings of squares: each round joins the points that still miss neighbours with
-  squares of twice the size, until their k-th neighbour lies nearer than the ring.
+  squares of four times the size, until their k-th neighbour lies nearer than the ring.
+* *slices*: beyond four dimensions, where squares have too many neighbours, blocks of a bounded size one after the other; the
+  best k of each are ranked again.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators.geometry import distance
+from plumbline.operators.geometry import distance, within, within_st
 from plumbline.operators.network import checkpointed
 
 #: Values (coordinates and ids) that may be collected and sent to every task.
 BROADCAST_VALUES = 4_000_000
+#: Coordinates up to which squares have few enough neighbours.
+MOST_DIMS = 4
 
 
 def knn(est: DataFrame, obs: DataFrame, k: int, dmax: float = math.inf, strategy: str = "auto", exclude_same: bool = False) -> DataFrame:
@@ -34,28 +40,73 @@ def knn(est: DataFrame, obs: DataFrame, k: int, dmax: float = math.inf, strategy
     est = est.select("est_id", "coords").where("coords IS NOT NULL")
     obs = obs.select("obs_id", "coords").where("coords IS NOT NULL")
     if strategy == "auto":
-        strategy = "cells" if math.isfinite(dmax) else "blocks"
+        flat = _dims(obs) <= MOST_DIMS
+        strategy = "cells" if math.isfinite(dmax) and flat else "blocks"
         if strategy == "blocks" and not _small(obs):
-            strategy = "rounds"
+            strategy = "rounds" if flat else "slices"
     if strategy == "blocks":
         return _knn_blocks(est, obs, k, dmax, exclude_same)
     if strategy == "cells":
         return _top(_cell_pairs(est, obs, dmax, exclude_same).where(F.col("distance") <= dmax), k)
     if strategy == "rounds":
         return _knn_rounds(est, obs, k, dmax, exclude_same)
+    if strategy == "slices":
+        return _knn_slices(est, obs, k, dmax, exclude_same)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _small(obs: DataFrame) -> bool:
+def within_distance(est: DataFrame, obs: DataFrame, dmax: float) -> DataFrame:
+    """(est_id, obs_id, distance) of all pairs within dmax, by squares of that size."""
+    est, obs = est.select("est_id", "coords").where("coords IS NOT NULL"), obs.select("obs_id", "coords").where("coords IS NOT NULL")
+    return _cell_pairs(est, obs, dmax, False).where(within(F.col("distance"), dmax))
+
+
+def _values(obs: DataFrame) -> int:
     n, width = obs.agg(F.count(F.lit(1)), F.max(F.size("coords"))).first()
-    return n * ((width or 0) + 1) <= BROADCAST_VALUES
+    return n * ((width or 0) + 1)
+
+
+def _small(obs: DataFrame) -> bool:
+    return _values(obs) <= BROADCAST_VALUES
 
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("est_id").orderBy("distance", "obs_id")
+def _knn_slices(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_same: bool) -> DataFrame:
+    n = -(-_values(obs) * 11 // (10 * BROADCAST_VALUES)) or 1
+    # Each slice's best k are written, so that only one slice is in memory at a time.
+    parts = [checkpointed(_knn_blocks(est, obs.where(F.pmod(F.xxhash64("obs_id"), F.lit(n)) == i), k, dmax, exclude_same)) for i in range(n)]
+    return _top(reduce(DataFrame.unionAll, parts).drop("rank"), k)
+
+
+def _top(pairs: DataFrame, k: int, by: str = "distance") -> DataFrame:
+    w = Window.partitionBy("est_id").orderBy(by, "obs_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest(at: np.ndarray, own: np.ndarray, own_ids: np.ndarray, k: int, dmax: float = math.inf, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Point, observation (as places in ``at`` and ``own``), distance and rank (from 1) of each point's nearest k; ties by ``own_ids``. ``skip`` has an id for each point that is left out."""
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))]
+    step = max(1, 4_000_000 // max(1, len(own)))
+    for i in range(0, len(at) if len(own) and k > 0 else 0, step):
+        d = np.zeros((len(at[i : i + step]), len(own)))
+        for j in range(own.shape[1]):
+            gap = at[i : i + step, j, None] - own[None, :, j]
+            gap *= gap
+            d += gap
+        np.sqrt(d, out=d)
+        d[~(d <= dmax)] = np.inf
+        if skip is not None:
+            d[skip[i : i + step, None] == own_ids[None]] = np.inf
+        # All at the distance of the k-th are looked at, so that ties go by id whatever partition leaves in front.
+        bound = d.min(axis=1) if k == 1 else np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        r, c = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+        order = np.lexsort((own_ids[c], d[r, c], r))
+        r, c = r[order], c[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        keep = rank <= k
+        found.append((i + r[keep], c[keep], d[r[keep], c[keep]], rank[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _knn_blocks(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_same: bool) -> DataFrame:
     rows = obs.orderBy("obs_id").toPandas()
     ids = rows["obs_id"].to_numpy()
@@ -65,25 +116,10 @@ def _knn_blocks(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_sam
     def search(batches):
         own_ids, own = shared.value
         for batch in batches:
-            if not len(batch) or not len(own):
-                continue
-            at = np.array(batch["coords"].tolist(), dtype=float)
-            names = batch["est_id"].to_numpy()
-            step = max(1, 2_000_000 // max(1, own.size))
-            for i in range(0, len(at), step):
-                d = np.sqrt(((at[i : i + step, None, :] - own[None]) ** 2).sum(axis=2))
-                d[d > dmax] = np.inf
-                if exclude_same:
-                    d[names[i : i + step, None] == own_ids[None]] = np.inf
-                m = min(k, d.shape[1])
-                # All at the distance of the k-th are looked at, so that ties go by id whatever partition leaves in front.
-                bound = np.partition(d, m - 1, axis=1)[:, m - 1]
-                r, c = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
-                order = np.lexsort((own_ids[c], d[r, c], r))
-                r, c = r[order], c[order]
-                rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
-                keep = rank <= k
-                yield pd.DataFrame({"est_id": names[i + r[keep]], "obs_id": own_ids[c[keep]], "distance": d[r[keep], c[keep]], "rank": rank[keep].astype(np.int32)})
+            if len(batch) and len(own):
+                names = batch["est_id"].to_numpy()
+                r, c, d, rank = nearest(np.array(batch["coords"].tolist(), dtype=float), own, own_ids, k, dmax, names if exclude_same else None)
+                yield pd.DataFrame({"est_id": names[r], "obs_id": own_ids[c], "distance": d, "rank": rank.astype(np.int32)})
 
     return est.mapInPandas(search, "est_id long, obs_id long, distance double, rank int")
 
@@ -106,8 +142,8 @@ def _dims(points: DataFrame) -> int:
 
 def _cell_pairs(est: DataFrame, obs: DataFrame, size: float, exclude_same: bool) -> DataFrame:
     dims = _dims(obs)
-    if dims > 4:
-        raise ValueError("cells serve up to four dimensions; use blocks for more")
+    if dims > MOST_DIMS:
+        raise ValueError(f"cells serve up to {MOST_DIMS} dimensions; use blocks or slices for more")
     near = F.array(*(F.array(*(F.lit(i) for i in shift)) for shift in _around(dims)))
     e = est.select("est_id", F.col("coords").alias("__e"), F.explode(F.transform(near, lambda s: F.zip_with(_cells(F.col("coords"), size), s, lambda a, b: a + b))).alias("__cell"))
     o = obs.select("obs_id", F.col("coords").alias("__o"), _cells(F.col("coords"), size).alias("__cell"))
@@ -117,13 +153,15 @@ def _cell_pairs(est: DataFrame, obs: DataFrame, size: float, exclude_same: bool)
     return pairs.select("est_id", "obs_id", distance(F.col("__e"), F.col("__o")).alias("distance"))
 
 
-def _knn_rounds(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_same: bool) -> DataFrame:
+def _knn_rounds(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_same: bool, reach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rounds over rings; ``reach`` adds a column of that name, never under the distance, by which pairs are ranked instead (and may leave pairs out)."""
+    by, measured = ("reach", reach) if reach else ("distance", lambda pairs: pairs)
     dims = _dims(obs)
     bounds = obs.agg(*(F.min(F.get("coords", F.lit(i))) for i in range(dims)), *(F.max(F.get("coords", F.lit(i))) for i in range(dims)), F.count(F.lit(1))).first()
     ends = est.agg(*(F.min(F.get("coords", F.lit(i))) for i in range(dims)), *(F.max(F.get("coords", F.lit(i))) for i in range(dims)), F.count(F.lit(1))).first()
     n = bounds[2 * dims]
     if not n or not ends[2 * dims]:
-        return _top(_cell_pairs(est, obs, 1.0, exclude_same), k)
+        return _top(measured(_cell_pairs(est, obs, 1.0, exclude_same)), k, by)
     extent = [max(bounds[dims + i], ends[dims + i]) - min(bounds[i], ends[i]) for i in range(dims)]
     widest = max(*extent, 1e-9)
     # A first square holds some k observations if they are spread evenly.
@@ -132,7 +170,8 @@ def _knn_rounds(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_sam
     while True:
         size = min(size, dmax) if math.isfinite(dmax) else size
         last = size >= widest or size >= dmax
-        found = _top(_cell_pairs(left, obs, size, exclude_same).where(F.col("distance") <= (dmax if last else size)), k)
+        pairs = measured(_cell_pairs(left, obs, size, exclude_same).where(F.col("distance") <= (dmax if last else size)))
+        found = _top(pairs if last else pairs.where(F.col(by) <= size), k, by)
         enough = found if last else found.join(found.groupBy("est_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).select("est_id"), "est_id", "left_semi")
         enough = checkpointed(enough)
         done = enough if done is None else done.unionByName(enough)
@@ -145,20 +184,23 @@ def _knn_rounds(est: DataFrame, obs: DataFrame, k: int, dmax: float, exclude_sam
 def knn_st(est: DataFrame, obs: DataFrame, k: int, dmax: float = math.inf, tmax: float = math.inf, ratio: float = 1.0, exact: bool = False) -> DataFrame:
     """Nearest k by distance + ratio * time gap; both with (.., coords, t).
 
-    The default takes the max(4k, 50) nearest in space first, as an index over space does; ``exact`` ranks all.
+    The default takes the max(4k, 50) nearest in space first, as an index over space does; ``exact`` ranks all, by squares of
+    ``dmax`` or, without one, by rings: what lies outside a ring is further by its distance alone.
     """
-    if exact:
-        e, o = est.select("est_id", F.col("coords").alias("__e"), F.col("t").alias("__te")), obs.select("obs_id", F.col("coords").alias("__o"), F.col("t").alias("__to"))
-        if math.isfinite(dmax):
-            near = _cell_pairs(est.select("est_id", "coords"), obs.select("obs_id", "coords"), dmax, False)
-        else:
-            near = e.join(o).select("est_id", "obs_id", distance(F.col("__e"), F.col("__o")).alias("distance"))
+    times = est.select("est_id", F.col("t").alias("__te")), obs.select("obs_id", F.col("t").alias("__to"))
+
+    def timed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(times[0], "est_id").join(times[1], "obs_id").withColumn("gap", F.abs(F.col("__te") - F.col("__to"))).where(within_st(F.col("distance"), F.col("gap"), dmax, tmax))
+        return both.withColumn("reach", F.col("distance") + ratio * F.col("gap")).drop("__te", "__to")
+
+    e, o = est.select("est_id", "coords").where("coords IS NOT NULL"), obs.select("obs_id", "coords").where("coords IS NOT NULL")
+    if exact and math.isfinite(dmax):
+        found = _top(timed(_cell_pairs(e, o, dmax, False)), k, "reach")
+    elif exact:
+        found = _knn_rounds(e, o, k, dmax, False, timed)
     else:
-        near = knn(est, obs, max(4 * k, 50), dmax).drop("rank")
-    timed = near.join(est.select("est_id", F.col("t").alias("__te")), "est_id").join(obs.select("obs_id", F.col("t").alias("__to")), "obs_id").withColumn("gap", F.abs(F.col("__te") - F.col("__to")))
-    timed = timed.where((F.col("distance") <= dmax) & (F.col("gap") <= tmax)).withColumn("reach", F.col("distance") + ratio * F.col("gap"))
-    w = Window.partitionBy("est_id").orderBy("reach", "obs_id")
-    return timed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("est_id", "obs_id", "distance", "gap", "rank")
+        found = _top(timed(knn(e, o, max(4 * k, 50), dmax).drop("rank")), k, "reach")
+    return found.select("est_id", "obs_id", "distance", "gap", "rank")
 
 
 def top_covariances(pairs: DataFrame, k: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """Estimation at points: neighbours by joins, covariance and posterior in Arrow batches, one row out for each point.
 
-The relational part leaves one row a point with its neighbours as arrays of structs (``nhmax`` and ``nsmax`` at most, so
-the size of a row is bounded). Points without soft neighbours never meet an integrator.
+Data whose number is under a checked bound go to every task: there a batch of points finds its neighbours and is estimated
+at once, with nothing shuffled but the points. Otherwise the relational part leaves one row a point with its neighbours as
+arrays of structs (``nhmax`` and ``nsmax`` at most, so the size of a row is bounded). Points without soft neighbours never
+meet an integrator; those with as many hard neighbours are solved together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from plumbline.functions.covariance import Covariance, SpaceTime
 from plumbline.functions.softpdf import SoftPdf
 from plumbline.operators import kernels
 from plumbline.operators.kernels import FIELDS, Options
-from plumbline.operators.neighbors import knn, knn_st, top_covariances
+from plumbline.operators.neighbors import BROADCAST_VALUES, _dims, knn, knn_st, nearest, top_covariances
 
 
 def _order(value: float | None) -> float | None:
@@ -41,15 +43,129 @@ _KINDS = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "int"
 _TYPES = [pa.int64(), *(_KINDS[f.split()[1]] for f in FIELDS.split(", "))]
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows in as many even parts as a shuffle has; integration outweighs their transport. A number of its own keeps them from being merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "est_id")
+
+
+def _arrow(out: list[dict]) -> pa.RecordBatch:
+    """NaN stays NaN."""
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], type=t) for n, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
+
+
 def _kernel(rows: DataFrame, one, opt: Options) -> DataFrame:
-    """``one(row) -> dict`` over batches; rows are dealt out evenly first, since integration outweighs their transport. NaN stays NaN."""
+    """``one(row) -> dict`` over batches."""
 
     def run(batches):
         for batch in batches:
-            out = [one(r) | {"est_id": r["est_id"]} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], type=t) for n, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
+            yield _arrow([one(r) | {"est_id": r["est_id"]} for r in batch.to_pylist()])
+
+    return _dealt(rows).mapInArrow(run, f"est_id long, {FIELDS}")
+
+
+#: Soft data that go to every task, at most; a density has some 50 values.
+BROADCAST_SOFT = BROADCAST_VALUES // 64
+
+
+class _Data:
+    """Data that go to every task, by id: places, times, and hard values or densities, which are made when first asked for."""
+
+    def __init__(self, table: pa.Table, dims: int) -> None:
+        table = table.sort_by("obs_id")
+        self.ids = table.column("obs_id").to_numpy()
+        self.at = _places(table.column("coords"), dims)
+        self.t = table.column("t").to_numpy() if "t" in table.column_names else None
+        self.z = table.column("z").to_numpy() if "z" in table.column_names else None
+        self.rows = table.column("pdf").combine_chunks() if "pdf" in table.column_names else None
+        self.made: dict[int, SoftPdf] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": {}}
 
-    return rows.repartition(F.col("est_id")).mapInArrow(run, f"est_id long, {FIELDS}")
+    def density(self, i: int) -> SoftPdf:
+        if i not in self.made:
+            self.made[i] = SoftPdf.from_row(self.rows[i].as_py())
+        return self.made[i]
+
+
+def _places(column, dims: int) -> np.ndarray:
+    """Coordinates as rows; NaN, which is near nothing, for a null and for another number of them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, dtype=np.int64)
+    if (sizes == dims).all() and not column.null_count:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+    return np.array([x if x is not None and len(x) == dims else [math.nan] * dims for x in column.to_pylist()], float).reshape(-1, dims)
+
+
+def _collected(data: DataFrame, dims: int, most: int) -> _Data | None:
+    """The data, unless there are more than ``most`` values; no more rows than that ever reach the driver."""
+    rows = most // (dims + 1)
+    table = data.where("coords IS NOT NULL").limit(rows + 1).toArrow()
+    return _Data(table, dims) if table.num_rows <= rows else None
+
+
+def _ranked(at, t, data: _Data, k: int, dmax: float, timed: tuple[float, float, bool] | None, skip=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Point, datum and distance, by point and rank; ``timed`` has the longest time gap, its weight against distance, and whether all data are ranked."""
+    if timed is None:
+        return nearest(at, data.at, data.ids, k, dmax, skip)[:3]
+    tmax, ratio, exact = timed
+    r, c, d, _ = nearest(at, data.at, data.ids, len(data.ids) if exact else max(4 * k, 50), dmax)
+    gap = np.abs(t[r] - data.t[c])
+    r, c, d, gap = (x[gap <= tmax] for x in (r, c, d, gap))
+    order = np.lexsort((data.ids[c], d + ratio * gap, r))
+    r, c, d = r[order], c[order], d[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep], d[keep]
+
+
+def _fused(points: DataFrame, hard: _Data, soft: _Data | None, blocks, nhmax: int, nsmax: int, dmax: float, timed, leave_out: bool, opt: Options, dims: int) -> DataFrame:
+    """Neighbours and estimates of batches of points. ``blocks(a, ta, b, tb)`` are covariances between places, a first axis more for a stack of them."""
+    shared = points.sparkSession.sparkContext.broadcast((hard, soft))
+
+    def run(batches):
+        hard, soft = shared.value
+        for batch in batches:
+            ids, at = batch.column("est_id").to_numpy(zero_copy_only=False), _places(batch.column("coords"), dims)
+            t = batch.column("t").to_numpy(zero_copy_only=False) if timed else None
+            n, none = len(ids), np.zeros(0, dtype=np.int64)
+            hr, hc, hd = _ranked(at, t, hard, nhmax, dmax, timed, ids if leave_out else None)
+            sr, sc, _ = _ranked(at, t, soft, nsmax, dmax, timed) if soft is not None else (none, none, none)
+            h, s = np.searchsorted(hr, np.arange(n + 1)), np.searchsorted(sr, np.arange(n + 1))
+            out: list[dict | None] = [None] * n
+            same = np.zeros(n, dtype=bool)
+            if not timed:
+                has = np.diff(h) > 0
+                same[has] = hd[h[:-1][has]] < 1e-10
+            plain = (np.diff(s) == 0) & ~same & (np.diff(h) > 0)
+            for size in np.unique(np.diff(h)[plain]).tolist():
+                rows = np.flatnonzero(plain & (np.diff(h) == size))
+                for some in np.array_split(rows, -(-len(rows) * size * size // 2_000_000)):
+                    near = hc[h[:-1][some][:, None] + np.arange(size)]
+                    xk, xh = at[some][:, None], hard.at[near]
+                    tk, th = (t[some][:, None], hard.t[near]) if timed else (None, None)
+                    ckk = float(blocks(xk[:1], None if tk is None else tk[:1], xk[:1], None if tk is None else tk[:1])[0, 0, 0])
+                    got = kernels.krige(at[some], xh, hard.z[near], ckk, blocks(xk, tk, xh, th)[:, 0], blocks(xh, th, xh, th), opt)
+                    for i, row in zip(some.tolist(), got or [], strict=False):
+                        out[i] = row
+            for i in range(n):
+                if out[i] is None:
+                    a, b = hc[h[i] : h[i + 1]], sc[s[i] : s[i + 1]]
+                    xk, xh, xs = at[i][None], hard.at[a], soft.at[b] if soft is not None else np.zeros((0, dims))
+                    tk, th, ts = (t[i : i + 1], hard.t[a], soft.t[b] if soft is not None else np.zeros(0)) if timed else (None, None, None)
+                    out[i] = kernels.estimate(xk, xh, hard.z[a], xs, [soft.density(j) for j in b.tolist()], float(blocks(np.zeros((1, dims)), tk, np.zeros((1, dims)), tk)[0, 0]), blocks(xk, tk, xh, th)[0], blocks(xh, th, xh, th), blocks(xk, tk, xs, ts)[0], blocks(xs, ts, xh, th), blocks(xs, ts, xs, ts), opt, 0 if same[i] else None, _seed(ids[i]))
+            yield _arrow([row | {"est_id": i} for i, row in zip(ids.tolist(), out, strict=True)])
+
+    return _dealt(points).mapInArrow(run, f"est_id long, {FIELDS}")
+
+
+def _shared_data(points: DataFrame, hard: DataFrame, soft: DataFrame | None, strategy: str, dmax: float):
+    """Number of coordinates, and hard and soft data if all of them are few enough to go to every task."""
+    if strategy not in ("auto", "blocks"):
+        return 0, None, None
+    dims = _dims(hard)
+    h = _collected(hard, dims, BROADCAST_VALUES)
+    s = _collected(soft, dims, BROADCAST_SOFT * (dims + 1)) if soft is not None and h is not None else None
+    return dims, h if soft is None or s is not None else None, s
 
 
 class _Untimed:
@@ -84,24 +200,28 @@ def _list(x) -> list:
     return x or []
 
 
-def bme_predict(est: DataFrame, hard: DataFrame, soft: DataFrame | None = None, cov: Covariance = Covariance(), nhmax: int = 20, nsmax: int = 8, dmax: float = math.inf, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", exact_intervals: bool = False, strategy: str = "auto", leave_out: bool = False) -> DataFrame:
+def bme_predict(est: DataFrame, hard: DataFrame, soft: DataFrame | None = None, cov: Covariance = Covariance(), nhmax: int = 20, nsmax: int = 8, dmax: float = math.inf, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", exact_intervals: bool = False, strategy: str = "auto", leave_out: bool = False, density: bool = True) -> DataFrame:
     """Posterior at each (est_id, coords) from hard (obs_id, coords, z) and soft (soft_id, coords, pdf) data.
 
-    ``leave_out`` leaves out the hard datum with the point's own id.
+    ``leave_out`` leaves out the hard datum with the point's own id. Without ``density`` the columns ``z_grid`` and ``pdf`` are
+    null. ``strategy`` is that of ``knn``; "auto" and "blocks" send data under a checked number to every task.
     """
     if method not in kernels.METHODS:
         raise ValueError(f"unknown method {method!r}")
-    opt = Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "bme", exact_intervals=exact_intervals)
+    opt = Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "bme", exact_intervals=exact_intervals, density=density)
     points = est.select("est_id", "coords")
     h = _as_obs(hard, "obs_id", "coords", "z")
+    s = _as_obs(soft, "soft_id", "coords", "pdf") if soft is not None else None
+    dims, few_hard, few_soft = _shared_data(points, h, s, strategy, dmax)
+    if few_hard is not None:
+        return _fused(points, few_hard, few_soft, lambda a, ta, b, tb: cov.matrix(a, b), nhmax, nsmax, dmax, None, leave_out, opt, dims)
     rows = _gathered(points, knn(points, h, nhmax, dmax, strategy, leave_out), h, ["coords", "z", "distance"], "hard")
-    if soft is not None:
-        s = _as_obs(soft, "soft_id", "coords", "pdf")
+    if s is not None:
         rows = _gathered(rows, knn(points, s, nsmax, dmax, strategy), s, ["coords", "pdf"], "soft")
 
     def one(r):
-        hs, ss = _list(r["hard"]), _list(r.get("soft"))
-        xk, xh, xs = np.array([r["coords"]], float), _matrix([x["coords"] for x in hs], r["coords"]), _matrix([x["coords"] for x in ss], r["coords"])
+        hs, ss, at = _list(r["hard"]), _list(r.get("soft")), _list(r["coords"])
+        xk, xh, xs = np.array([at], float), _matrix([x["coords"] for x in hs], at), _matrix([x["coords"] for x in ss], at)
         same = 0 if hs and hs[0]["distance"] < 1e-10 else None
         return kernels.estimate(xk, xh, [x["z"] for x in hs], xs, [SoftPdf.from_row(x["pdf"]) for x in ss], cov.variance, cov.matrix(xk, xh)[0], cov.matrix(xh, xh), cov.matrix(xk, xs)[0], cov.matrix(xs, xh), cov.matrix(xs, xs), opt, same, _seed(r["est_id"]))
 
@@ -116,20 +236,23 @@ def _seed(est_id) -> int:
     return int(est_id) % (2**31)
 
 
-def bme_predict_st(est: DataFrame, hard: DataFrame, soft: DataFrame | None = None, cov: SpaceTime | None = None, nhmax: int = 20, nsmax: int = 8, dmax: float = math.inf, tmax: float = math.inf, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", ratio: float = 1.0, exact: bool = False) -> DataFrame:
+def bme_predict_st(est: DataFrame, hard: DataFrame, soft: DataFrame | None = None, cov: SpaceTime | None = None, nhmax: int = 20, nsmax: int = 8, dmax: float = math.inf, tmax: float = math.inf, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", ratio: float = 1.0, exact: bool = False, strategy: str = "auto", density: bool = True) -> DataFrame:
     """As bme_predict with a time ``t`` beside the coordinates. The trend is of the coordinates alone; a datum on the point is no shortcut."""
     cov = cov or SpaceTime("exponential", [1.0, 1.0], "exponential", [1.0, 1.0])
-    opt = Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "st_bme")
+    opt = Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "st_bme", density=density)
     points = est.select("est_id", "coords", "t")
     h = _as_obs(hard, "obs_id", "coords", "t", "z")
+    s = _as_obs(soft, "soft_id", "coords", "t", "pdf") if soft is not None else None
+    dims, few_hard, few_soft = _shared_data(points, h, s, strategy, dmax)
+    if few_hard is not None:
+        return _fused(points, few_hard, few_soft, cov.matrix, nhmax, nsmax, dmax, (tmax, ratio, exact), False, opt, dims)
     rows = _gathered(points, knn_st(points, h, nhmax, dmax, tmax, ratio, exact), h, ["coords", "t", "z"], "hard")
-    if soft is not None:
-        s = _as_obs(soft, "soft_id", "coords", "t", "pdf")
+    if s is not None:
         rows = _gathered(rows, knn_st(points, s, nsmax, dmax, tmax, ratio, exact), s, ["coords", "t", "pdf"], "soft")
 
     def one(r):
-        hs, ss = _list(r["hard"]), _list(r.get("soft"))
-        xk, xh, xs = np.array([r["coords"]], float), _matrix([x["coords"] for x in hs], r["coords"]), _matrix([x["coords"] for x in ss], r["coords"])
+        hs, ss, at = _list(r["hard"]), _list(r.get("soft")), _list(r["coords"])
+        xk, xh, xs = np.array([at], float), _matrix([x["coords"] for x in hs], at), _matrix([x["coords"] for x in ss], at)
         tk, th, ts = [r["t"]], [x["t"] for x in hs], [x["t"] for x in ss]
         ckk = float(cov.array(np.zeros(1), np.zeros(1))[0])
         return kernels.estimate(xk, xh, [x["z"] for x in hs], xs, [SoftPdf.from_row(x["pdf"]) for x in ss], ckk, cov.matrix(xk, tk, xh, th)[0], cov.matrix(xh, th, xh, th), cov.matrix(xk, tk, xs, ts)[0], cov.matrix(xs, ts, xh, th), cov.matrix(xs, ts, xs, ts), opt, None, _seed(r["est_id"]))
@@ -137,19 +260,19 @@ def bme_predict_st(est: DataFrame, hard: DataFrame, soft: DataFrame | None = Non
     return _kernel(rows, one, opt)
 
 
-def bme_predict_network(est: DataFrame, hard: DataFrame, soft: DataFrame | None, cov, nhmax: int = 30, nsmax: int = 8, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto") -> DataFrame:
+def bme_predict_network(est: DataFrame, hard: DataFrame, soft: DataFrame | None, cov, nhmax: int = 30, nsmax: int = 8, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", density: bool = True) -> DataFrame:
     """As bme_predict on a graph: ``node`` replaces the coordinates, and any ``cov`` with ``block(a, b)`` gives covariances.
 
     The neighbours are the data with the largest covariances in size; all of them if they are few. The trend is the mean of
     the selected hard values.
     """
-    return _on_network(est, hard, soft, _Untimed(cov), nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_bme", plain_mean=True), False)
+    return _on_network(est, hard, soft, _Untimed(cov), nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_bme", plain_mean=True, density=density), False)
 
 
-def bme_predict_network_st(est: DataFrame, hard: DataFrame, soft: DataFrame | None, cov, nhmax: int = 30, nsmax: int = 8, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto") -> DataFrame:
+def bme_predict_network_st(est: DataFrame, hard: DataFrame, soft: DataFrame | None, cov, nhmax: int = 30, nsmax: int = 8, order: float | None = 0, n_grid: int = 200, ci_prob: float = 0.95, n_quad: int = 15, mean_prior: float = 0.0, method: str = "auto", density: bool = True) -> DataFrame:
     """Graph and time: (node, t). ``cov`` is a function of (nodes, times, nodes, times) or has such a ``block``."""
     block = cov.block if hasattr(cov, "block") else _Pickled(cov)
-    return _on_network(est, hard, soft, block, nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_st_bme", plain_mean=True), True)
+    return _on_network(est, hard, soft, block, nhmax, nsmax, Options(_order(order), n_grid, ci_prob, n_quad, mean_prior, method, "network_st_bme", plain_mean=True, density=density), True)
 
 
 #: Data on a network that are sent to every task; a network's own matrix has as many entries at its bound of nodes.
@@ -158,11 +281,13 @@ NETWORK_DATA = 2_000_000
 
 def _on_network(est, hard, soft, block, nhmax, nsmax, opt, timed) -> DataFrame:
     t = ["t"] if timed else []
-    h = hard.select("obs_id", "node", *t, "z").orderBy("obs_id").limit(NETWORK_DATA + 1).toPandas()
-    s = soft.select("soft_id", "node", *t, "pdf").orderBy("soft_id").limit(NETWORK_DATA + 1).collect() if soft is not None else []
+    h = hard.select("obs_id", "node", *t, "z").limit(NETWORK_DATA + 1).toArrow().sort_by("obs_id").to_pandas()
+    s = soft.select("soft_id", "node", *t, "pdf").limit(NETWORK_DATA + 1).toArrow().sort_by("soft_id").to_pylist() if soft is not None else []
     if max(len(h), len(s)) > NETWORK_DATA:
         raise ValueError(f"more than {NETWORK_DATA} data on a network: rank them by covariance_pairs and top_covariances first")
     s_pdf = [SoftPdf.from_row(r["pdf"]) for r in s]
+    if hasattr(block, "__self__") and hasattr(block.__self__, "prepare") and timed:
+        block.__self__.prepare(est.sparkSession, [*h["node"], *(r["node"] for r in s)])
     hn, hz = h["node"].to_numpy(), h["z"].to_numpy(float)
     ht = h["t"].to_numpy(float) if timed else None
     sn, st = np.array([r["node"] for r in s], dtype=np.int64), np.array([r["t"] for r in s], float) if timed else None
@@ -205,30 +330,37 @@ def kriging_me_predict(est: DataFrame, hard: DataFrame, soft: DataFrame, cov: Co
     return bme_predict(est, hard, soft.select("soft_id", "coords", gaussian_column(F.col("mean"), F.col("sigma")).alias("pdf")), cov, nhmax=nhmax, nsmax=nsmax, n_grid=n_grid, **more)
 
 
-def yearly_kriging(stations: DataFrame, cells: DataFrame, cov: Covariance) -> DataFrame:
+def yearly_kriging(stations: DataFrame, cells: DataFrame, cov: Covariance, cells_a_task: int = 20_000) -> DataFrame:
     """A simple kriging map of each year: stations (year, x, y, z), cells (x, y); fewer than 3 stations give NaN. (year, x, y, estimate, variance).
 
-    A year's stations are one network's, whose matrix is solved in one task; cells are sent along if few.
+    Cells are dealt into parts of some ``cells_a_task``; each part meets the stations of all years, which one task holds.
     """
-    spots = cells.select("x", "y").toPandas().to_numpy(float)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"year": pdf["year"].iloc[0], "x": spots[:, 0], "y": spots[:, 1]})
-        at, z = pdf[["x", "y"]].to_numpy(float), pdf["z"].to_numpy(float)
-        if len(z) < 3:
-            return out.assign(estimate=math.nan, variance=math.nan)
-        cross = cov.matrix(spots, at)
-        weights = np.linalg.solve(cov.matrix(at, at) + 1e-10 * np.eye(len(z)), cross.T)
-        return out.assign(estimate=z.mean() + weights.T @ (z - z.mean()), variance=np.maximum(cov.variance - (weights * cross.T).sum(axis=0), 0.0))
-
-    maps = stations.where("z IS NOT NULL").groupBy("year").applyInPandas(run, "year long, x double, y double, estimate double, variance double")
+    parts = -(-cells.count() // cells_a_task) or 1
+
+    def run(at: pd.DataFrame, spots: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        places = spots[["x", "y"]].to_numpy(float)
+        for year, own in at.groupby("year") if len(places) else ():
+            known, z = own[["x", "y"]].to_numpy(float), own["z"].to_numpy(float)
+            got = pd.DataFrame({"year": year, "x": places[:, 0], "y": places[:, 1], "estimate": math.nan, "variance": math.nan})
+            if len(z) >= 3:
+                cross = cov.matrix(places, known)
+                weights = np.linalg.solve(cov.matrix(known, known) + 1e-10 * np.eye(len(z)), cross.T)
+                got = got.assign(estimate=z.mean() + weights.T @ (z - z.mean()), variance=np.maximum(cov.variance - (weights * cross.T).sum(axis=0), 0.0))
+            out.append(got)
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("year", "x", "y", "estimate", "variance")})
+
+    every = stations.sparkSession.range(parts).select(F.col("id").alias("__part"))
+    s = stations.where("z IS NOT NULL").select("year", "x", "y", "z").crossJoin(F.broadcast(every))
+    c = cells.select("x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).alias("__part"))
+    maps = s.groupBy("__part").cogroup(c.groupBy("__part")).applyInPandas(run, "year long, x double, y double, estimate double, variance double")
     return maps.fillna(math.nan, ["estimate", "variance"])
 
 
 def cross_validate(hard: DataFrame, cov: Covariance = Covariance(), n_grid: int = 80, **more) -> DataFrame:
     """Leave-one-out: (est_id, z, mean, variance, error), all folds in one job."""
     est = hard.select(F.col("obs_id").alias("est_id"), "coords")
-    got = bme_predict(est, hard, None, cov, n_grid=n_grid, leave_out=True, **more)
+    got = bme_predict(est, hard, None, cov, n_grid=n_grid, leave_out=True, density=False, **more)
     return got.join(hard.select(F.col("obs_id").alias("est_id"), "z"), "est_id").select("est_id", "z", "mean", "variance", (F.col("mean") - F.col("z")).alias("error"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.geometry import numbered
 from plumbline.operators.network import COMPACT, checkpointed
 
 # Dry-weather multipliers by hour of day and by day of week.
@@ -49,6 +51,7 @@ def rainfall(t: Column) -> Column:
     def pulse(height, at, width):
         return height * F.exp(-0.5 * ((t - at) / width) * ((t - at) / width))
 
+    # Height, hour and width of each pulse, and the wave's.
     return pulse(0.58, 45.0, 2.6) + pulse(0.42, 48.2, 1.4) + pulse(0.24, 96.5, 3.4) + 0.02 * F.greatest(F.sin(2 * math.pi * (t - 6.0) / 24.0), F.lit(0.0))
 
 
@@ -81,33 +84,39 @@ def delayed(series: DataFrame, by: list[str], delay: float, dt: float, value: st
 
 
 def routed(local: DataFrame, links: DataFrame, dt: float, velocity: float, loss: float, levels: int | None = None) -> DataFrame:
-    """Flow (node, step, v) of local inflows (node, step, v) and all that arrives from upstream, delayed and weakened.
+    """Flow (node, step, v) of local inflows (node, step, v) and all that arrives from upstream, delayed and weakened; no node passes on less than 0.
 
-    Rounds from the sources down, each written: each adds what the nodes of one level pass on, for as many levels as the
-    longest path has. Flow that is left after ``levels`` rounds (the number of nodes with a link to them, where it isn't
-    given: only a cycle has a longer path) raises.
+    Rounds from the sources down, each written: a round settles the nodes to which nothing unsettled flows, and passes their
+    flow on. There are as many as the longest path has nodes. A cycle, or more than ``levels`` rounds, raises.
     """
     link = links.select("src", "dst", (F.col("length") / max(velocity, 1e-12) / 3600.0 / dt).alias("steps"), F.exp(-loss * F.col("length") / 1000.0).alias("keep"))
-    link = link.select("src", "dst", "keep", F.floor("steps").alias("whole"), (F.col("steps") - F.floor("steps")).alias("part"))
+    link = checkpointed(link.select("src", "dst", "keep", F.floor("steps").alias("whole"), (F.col("steps") - F.floor("steps")).alias("part")))
     last = local.agg(F.max("step")).first()[0]
-    most = link.select("dst").distinct().count() if levels is None else levels
-    total, wave = local, local
-    for level in range(most + 1):
-        parts = wave.withColumnRenamed("node", "src").join(link, "src")
-        # The wave at t - delay lies between two steps; before the first step there is none.
-        here = F.struct(F.col("whole").alias("n"), (1 - F.col("part")).alias("w"), (F.col("part") > 0).alias("low"))
-        after = F.struct((F.col("whole") + 1).alias("n"), F.col("part").alias("w"), F.lit(False).alias("low"))
-        moved = parts.select("dst", "step", "v", "keep", F.explode(F.array(here, after)).alias("m")).where("NOT (step = 0 AND m.low)")
-        wave = moved.groupBy(F.col("dst").alias("node"), (F.col("step") + F.col("m.n")).alias("step")).agg(F.sum(F.col("v") * F.col("keep") * F.col("m.w")).alias("v")).where(F.col("step") <= last)
-        wave = checkpointed(wave)
-        if wave.isEmpty():
+    local = local.select("node", "step", "v")
+    waiting, total = checkpointed(local.select("node").union(link.select("src")).union(link.select("dst")).distinct()), None
+    # The flow at t - delay lies between two steps; before the first step there is none.
+    here = F.struct(F.col("whole").alias("n"), (1 - F.col("part")).alias("w"), (F.col("part") > 0).alias("low"))
+    after = F.struct((F.col("whole") + 1).alias("n"), F.col("part").alias("w"), F.lit(False).alias("low"))
+    for level in count(1):
+        held = link.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().withColumn("held", F.lit(True))
+        found = checkpointed(waiting.join(held, "node", "left"))
+        ready, waiting = found.where("held IS NULL").select("node"), found.where("held").select("node")
+        if ready.isEmpty():
             break
-        if level == most:
-            raise RuntimeError(f"flow not settled in {most} levels")
-        total = total.unionByName(wave)
-        if level % COMPACT == COMPACT - 1:
+        if levels is not None and level > levels:
+            raise RuntimeError(f"flow not settled in {levels} levels")
+        flow = local.join(ready, "node", "left_semi")
+        if total is not None:
+            parts = total.withColumnRenamed("node", "src").join(link.join(ready.withColumnRenamed("node", "dst"), "dst", "left_semi"), "src")
+            moved = parts.select("dst", "step", "v", "keep", F.explode(F.array(here, after)).alias("m")).where("NOT (step = 0 AND m.low)")
+            flow = flow.union(moved.select(F.col("dst").alias("node"), (F.col("step") + F.col("m.n")).alias("step"), (F.col("v") * F.col("keep") * F.col("m.w")).alias("v")).where(F.col("step") <= last))
+        flow = checkpointed(flow.groupBy("node", "step").agg(F.greatest(F.sum("v"), F.lit(0.0)).alias("v")))
+        total = flow if total is None else total.unionByName(flow)
+        if level % COMPACT == 0:
             total = checkpointed(total)
-    return total.groupBy("node", "step").agg(F.greatest(F.sum("v"), F.lit(0.0)).alias("v"))
+    if not waiting.isEmpty():
+        raise RuntimeError("flow goes round in a circle")
+    return local if total is None else total
 
 
 def hourly_means(series: DataFrame, by: list[str], steps: int, value: str = "v") -> DataFrame:
@@ -118,6 +127,7 @@ def hourly_means(series: DataFrame, by: list[str], steps: int, value: str = "v")
 def process_noise(series: DataFrame, seed: int = 42) -> DataFrame:
     """(node, step, v) with smooth deviations: a first-order recursion in each node's own group, the same for one seed."""
 
+    # Memory and innovation of the noise, and its size by flow.
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
         draws = np.random.default_rng([seed, *pdf["node"].iloc[0].encode()]).standard_normal(len(pdf))
@@ -139,8 +149,7 @@ def best_window(obs: DataFrame, ts: str = "ts", node: str = "node") -> DataFrame
 
 def prediction_grid(nodes: DataFrame, hours: DataFrame) -> DataFrame:
     """(est_id, node, t) of all nodes and hours, node by node; both are small."""
-    w = Window.orderBy("node", "t")
-    return nodes.select("node").crossJoin(hours.select("t")).withColumn("est_id", (F.row_number().over(w) - 1).cast("long"))
+    return numbered(nodes.select("node").crossJoin(F.broadcast(hours.select("t"))), ["node", "t"], "est_id").withColumn("est_id", F.col("est_id").cast("long"))
 
 
 def local_inflow(spark: SparkSession, run: str, n_steps: int, dt: float) -> DataFrame:
@@ -151,6 +160,7 @@ def local_inflow(spark: SparkSession, run: str, n_steps: int, dt: float) -> Data
     wet = convolved(rain, unit_hydrograph(dt, peak, recession), dt).select("step", "t", F.coalesce("conv", F.lit(0.0)).alias("conv"))
     by = spark.createDataFrame([(n, *next(((b, s, p) for m, b, s, p in SOURCES[run] if m == n), (0.0, 0.0, 0.0))) for n, *_ in NODES], "node string, base double, scale double, phase double")
     turn = F.col("t") / 24.0 + F.col("phase")
+    # The daily waves and their bounds.
     daily = F.least(F.greatest(1 + 0.05 * F.sin(2 * math.pi * turn) + 0.03 * F.cos(4 * math.pi * turn), F.lit(0.84)), F.lit(1.16))
     both = wet.crossJoin(by).select("node", "step", F.greatest(F.col("base") * hour_multiplier(F.col("t")) * day_multiplier(F.col("t")) * daily, F.lit(0.0)).alias("dry"), F.greatest(F.col("scale") * share * F.col("conv"), F.lit(0.0)).alias("wet"))
     return both.withColumn("v", F.col("dry") + F.col("wet"))
@@ -177,6 +187,7 @@ def synthetic_network(spark: SparkSession, seed: int = 42, dt_minutes: int = 15,
     storm = rain.where(inside).agg(F.max_by("hour", F.struct("rain", -F.col("hour")))).first()[0]
     nodes = spark.createDataFrame([(n, i, d) for i, (n, _, _, d) in enumerate(NODES)], "node string, node_id long, depth double")
     rows = flows["soft"].where(inside).join(flows["truth"].where(inside), ["node", "hour"]).join(rain.where(inside), "hour").join(F.broadcast(nodes), "node")
+    # Share of missed readings, and the readings' noise by flow.
     draw = _uniform(seed, 1)
     hard = F.col("node").isin(SENSORS) & (((F.pmod(F.col("hour") - first, F.lit(stride)) == 0) & (draw > 0.12)) | F.col("hour").isin([first, storm, first + window_hours - 1]))
     # Two uniform draws make a normal one.
@@ -192,6 +203,7 @@ def _uniform(seed: int, which: int) -> Column:
 def soft_inputs(rows: DataFrame, exclude_hard: bool = True) -> DataFrame:
     """(soft_id, node, t, mu, sigma, upper) of the synthetic network: wider with flow, depth and rain."""
     deepest, wettest = rows.agg(F.max("depth"), F.max("rain")).first()
+    # The width's parts by flow, depth and rain.
     sigma = 0.035 + 0.055 * F.sqrt(F.greatest("soft", F.lit(0.0))) + 0.020 * F.col("depth") / max(deepest, 1.0) + 0.015 * F.col("rain") / max(wettest, 1e-12)
     kept = rows.where("NOT is_hard") if exclude_hard else rows
     return kept.select((F.col("node_id") * 100000 + F.col("hour")).alias("soft_id"), F.col("node_id").alias("node"), F.col("hour").cast("double").alias("t"), F.col("soft").alias("mu"), sigma.alias("sigma"), F.greatest(F.col("soft") + 5 * sigma, F.lit(0.30)).alias("upper"))

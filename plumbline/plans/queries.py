@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,7 +94,7 @@ def knn_rounds(spark, sf_dir):
 
 @query("radius_count", f"WITH {P}, {S}, {D} SELECT est_id, count(*)::BIGINT AS n FROM d WHERE distance <= 3 GROUP BY est_id")
 def radius_count(spark, sf_dir):
-    return neighbors.knn(suppliers(spark, sf_dir), parts(spark, sf_dir), 1_000_000, 3.0).groupBy("est_id").agg(F.count(F.lit(1)).alias("n"))
+    return neighbors.within_distance(suppliers(spark, sf_dir), parts(spark, sf_dir), 3.0).groupBy("est_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _timed(spark, sf_dir):
@@ -122,6 +121,15 @@ def knn_space_time_exact(spark, sf_dir):
     return neighbors.knn_st(est, obs, 8, 9.0, 6, 0.5, exact=True).select("est_id", "obs_id", r("distance").alias("distance"), "gap", F.col("rank").cast("int").alias("rank"))
 
 
+@query("knn_space_time_rounds", f"""WITH {P}, {S}, {D}, {ST},
+ k AS (SELECT *, row_number() OVER (PARTITION BY est_id ORDER BY distance + 0.5 * gap, obs_id) AS rank FROM t WHERE gap <= 6)
+ SELECT est_id, obs_id, round(distance, 6) AS distance, gap, rank::INT AS rank FROM k WHERE rank <= 5""")
+def knn_space_time_rounds(spark, sf_dir):
+    """Without a radius."""
+    est, obs = _timed(spark, sf_dir)
+    return neighbors.knn_st(est, obs, 5, tmax=6, ratio=0.5, exact=True).select("est_id", "obs_id", r("distance").alias("distance"), "gap", F.col("rank").cast("int").alias("rank"))
+
+
 @query("snap", f"WITH {P}, {S}, {D}, {K(1)} SELECT est_id, obs_id, round(distance, 6) AS distance FROM k")
 def snap(spark, sf_dir):
     return neighbors.snap(suppliers(spark, sf_dir), parts(spark, sf_dir)).select("est_id", "obs_id", r("distance").alias("distance"))
@@ -256,7 +264,7 @@ def bme_one_hard_one_soft(spark, sf_dir):
 
 def _bme(method: str, nhmax: int = 12, nsmax: int = 3):
     def run(spark, sf_dir):
-        got = predict.bme_predict(suppliers(spark, sf_dir), parts(spark, sf_dir), _soft(spark, sf_dir), Covariance("exponential", [40000, 12]), nhmax=nhmax, nsmax=nsmax, method=method, n_grid=60)
+        got = predict.bme_predict(suppliers(spark, sf_dir), parts(spark, sf_dir), _soft(spark, sf_dir), Covariance("exponential", [40000, 12]), nhmax=nhmax, nsmax=nsmax, method=method, n_grid=60, density=False)
         return got.drop("z_grid", "pdf")
 
     return run
@@ -272,7 +280,7 @@ for _method in ("ep", "lis"):
 def bme_workload(spark, sf_dir):
     """1,400 points with 30 hard and 6 soft neighbours on 100 grid points by Laplace, whatever the tables' size."""
     est = spark.range(1400).select(F.col("id").alias("est_id"), F.array((F.pmod("id", F.lit(56)) * 1.7 + 0.11), (F.floor(F.col("id") / 56) * 0.8 + 0.07)).alias("coords"))
-    got = predict.bme_predict(est, parts(spark, sf_dir), _soft(spark, sf_dir), Covariance("exponential", [40000, 12]), nhmax=30, nsmax=6, method="laplace", n_grid=100)
+    got = predict.bme_predict(est, parts(spark, sf_dir), _soft(spark, sf_dir), Covariance("exponential", [40000, 12]), nhmax=30, nsmax=6, method="laplace", n_grid=100, density=False)
     return got.drop("z_grid", "pdf")
 
 
@@ -280,18 +288,18 @@ def bme_workload(spark, sf_dir):
 def bme_space_time(spark, sf_dir):
     est, obs = _timed(spark, sf_dir)
     soft = _soft(spark, sf_dir).withColumn("t", F.pmod("soft_id", F.lit(24)).cast("double"))
-    return predict.bme_predict_st(est, obs, soft, SpaceTime("exponential", [1, 12], "exponential", [1, 18], 40000.0), nhmax=10, nsmax=2, n_grid=60).drop("z_grid", "pdf")
+    return predict.bme_predict_st(est, obs, soft, SpaceTime("exponential", [1, 12], "exponential", [1, 18], 40000.0), nhmax=10, nsmax=2, n_grid=60, density=False).drop("z_grid", "pdf")
 
 
 @query("kriging")
 def kriging(spark, sf_dir):
-    return predict.kriging_predict(suppliers(spark, sf_dir), parts(spark, sf_dir), Covariance("spherical", [40000, 12]), order=1).drop("z_grid", "pdf")
+    return predict.kriging_predict(suppliers(spark, sf_dir), parts(spark, sf_dir), Covariance("spherical", [40000, 12]), order=1, density=False).drop("z_grid", "pdf")
 
 
 @query("kriging_measurement_error")
 def kriging_measurement_error(spark, sf_dir):
     soft = _soft(spark, sf_dir).select("soft_id", "coords", F.col("pdf.analytic.mu").alias("mean"), F.col("pdf.analytic.sigma").alias("sigma"))
-    return predict.kriging_me_predict(suppliers(spark, sf_dir), parts(spark, sf_dir), soft, Covariance("exponential", [40000, 12]), nhmax=10, nsmax=4, n_grid=60).drop("z_grid", "pdf")
+    return predict.kriging_me_predict(suppliers(spark, sf_dir), parts(spark, sf_dir), soft, Covariance("exponential", [40000, 12]), nhmax=10, nsmax=4, n_grid=60, density=False).drop("z_grid", "pdf")
 
 
 @query("leave_one_out", f"""WITH {P}, d AS (SELECT a.obs_id AS est_id, a.z AS own, b.z, b.obs_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM p a JOIN p b ON a.obs_id <> b.obs_id),
@@ -495,24 +503,6 @@ def _ring(spark, n: int = 40) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(n)).alias("dst"), F.lit(1.0).alias("w"))
 
 
-@query("conjugate_gradient")
-def conjugate_gradient(spark, sf_dir):
-    e = _ring(spark, 16)
-    q = network.precision(network.laplacian(network.adjacency(e)), spark.range(16).withColumnRenamed("id", "node"), 1.0)
-    return network.conjugate_gradient(q, spark.createDataFrame([(3, 1.0), (11, -2.0)], "node long, x double")).select("node", r("x").alias("x"))
-
-
-@query("network_decay")
-def network_decay(spark, sf_dir):
-    cov = network.NetworkCovariance.of(_ring(spark), 40, 0.5)
-    return network.decay_by_hop(cov.table(spark), _ring(spark), 0)
-
-
-@query("network_footprint")
-def network_footprint(spark, sf_dir):
-    return network.footprint(network.NetworkCovariance.of(_ring(spark), 40, 0.5).table(spark), 0)
-
-
 @query("network_bme")
 def network_bme(spark, sf_dir):
     """A ring of 60 nodes: the parts give data at the first 40, and every other one of the rest has a density."""
@@ -525,21 +515,28 @@ def network_bme(spark, sf_dir):
 @query("routed_network_bme")
 def routed_network_bme(spark, sf_dir):
     """The synthetic sewer network: hard readings and soft flows of one storm, estimated at all nodes and hours."""
-    rows = timeseries.synthetic_network(spark, window_hours=12, before_peak=6).cache()
+    rows = network.checkpointed(timeseries.synthetic_network(spark, window_hours=12, before_peak=6))
     links = spark.createDataFrame([(i, j) for a, b, _ in timeseries.LINKS for i, j in [([n[0] for n in timeseries.NODES].index(a), [n[0] for n in timeseries.NODES].index(b))]], "src long, dst long")
     cov = network.NetworkSpaceTime(network.NetworkCovariance.of(links, 11, 0.6, 0.2), Covariance("exponential", [1.0, 9.0]))
     hard = rows.where("is_hard").select((F.col("node_id") * 1000 + F.col("hour")).alias("obs_id"), F.col("node_id").alias("node"), F.col("hour").cast("double").alias("t"), F.col("hard_value").alias("z"))
     soft = timeseries.soft_inputs(rows)
-    pdf = F.pandas_udf(_truncnorm_rows, softpdf.SCHEMA)
-    soft = soft.select("soft_id", "node", "t", pdf("mu", "sigma", "upper").alias("pdf"))
+    soft = soft.select("soft_id", "node", "t", softpdf.truncnorm_column(F.col("mu"), F.col("sigma"), F.lit(0.0), F.col("upper"), 41).alias("pdf"))
     est = rows.select((F.col("node_id") * 1000 + F.col("hour")).alias("est_id"), F.col("node_id").alias("node"), F.col("hour").cast("double").alias("t"))
     return predict.bme_predict_network_st(est, hard, soft, cov, nhmax=20, nsmax=4, n_grid=60).drop("z_grid", "pdf")
 
 
-def _truncnorm_rows(mu: pd.Series, sigma: pd.Series, upper: pd.Series) -> pd.DataFrame:
-    rows = [softpdf.truncnorm(m, s, 0.0, u, 41) for m, s, u in zip(mu, sigma, upper, strict=True)]
-    names = ("mu", "sigma", "a", "b", "log_norm")
-    return pd.DataFrame({"kind": [x.kind for x in rows], "z_grid": [x.grid for x in rows], "dens": [x.dens for x in rows], "analytic": [dict(zip(names, x.analytic, strict=True)) for x in rows]})
+@query("network_workload")
+def network_workload(spark, sf_dir):
+    """The published workload's own sizes: 421 nodes and 491 links, 297 hard data of 17 meters, 1,400 truncated normal densities, 56 nodes at 25 hours, 30 hard and 6 soft neighbours, 100 grid points, Laplace."""
+    i = F.col("id")
+    tree = spark.range(1, 421).select(F.floor((i - 1) / 2).alias("src"), i.alias("dst"))
+    links = tree.union(spark.range(71).select((i * 5 + 11).alias("src"), (i * 5 + 14).alias("dst")))
+    cov = network.NetworkSpaceTime(network.NetworkCovariance.of(links, 421, 0.5), Covariance("exponential", [1.0, 9.0]), 4.0)
+    at, hour = (F.pmod(i, F.lit(56)) * 7 + 3).alias("node"), F.floor(i / 56).cast("double").alias("t")
+    hard = spark.range(297).select(i.alias("obs_id"), (F.pmod(i, F.lit(17)) * 24 + 5).alias("node"), F.floor(i / 17).cast("double").alias("t"), (5 + F.sin(i * 0.7) + F.pmod(i, F.lit(17)) * 0.1).alias("z"))
+    soft = spark.range(1400).select(i.alias("soft_id"), at, hour, softpdf.truncnorm_column(5 + F.cos(i * 0.3), 0.4 + F.pmod(i, F.lit(5)) * 0.1, F.lit(0.0), F.lit(12.0)).alias("pdf"))
+    est = spark.range(1400).select(i.alias("est_id"), at, hour)
+    return predict.bme_predict_network_st(est, hard, soft, cov, nhmax=30, nsmax=6, n_grid=100, method="laplace", density=False).drop("z_grid", "pdf")
 
 
 # --- meshes -----------------------------------------------------------------------------------------------------------------
@@ -563,20 +560,16 @@ def finite_elements(spark, sf_dir):
     return mesh.fem_entries(*_lattice(spark)).select("i", "j", r("mass").alias("mass"), r("stiffness").alias("stiffness"))
 
 
-@query("mesh_precision")
-def mesh_precision(spark, sf_dir):
-    return mesh.precision_entries(mesh.fem_entries(*_lattice(spark)), *mesh.matern_params(1.0, 4.0)).select("i", "j", r("v").alias("v"))
-
-
 @query("mesh_kriging")
 def mesh_kriging(spark, sf_dir):
-    """The suppliers' balances on a mesh of their own, estimated at all parts."""
+    """The suppliers' balances on a mesh of their own, estimated at all parts, which stay where they are."""
     s = suppliers(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("est_id"), F.col("s_acctbal").cast("double").alias("z")), "est_id")
-    obs = s.orderBy("est_id").select("x", "y", "z").toPandas().to_numpy(float)
-    est = parts(spark, sf_dir).orderBy("obs_id").select("obs_id", "x", "y").toPandas()
+    # Suppliers of one place are one datum, their mean, so that the mesh grows with the area.
+    obs = s.groupBy("x", "y").agg(F.avg("z").alias("z")).orderBy("x", "y").toPandas().to_numpy(float)
     m = mesh.Mesh.from_points(obs[:, :2], max_edge=6.0)
-    mean, variance = mesh.spde_kriging(m, obs[:, :2], obs[:, 2] - obs[:, 2].mean(), est[["x", "y"]].to_numpy(float), 9e6, 12.0)
-    return spark.createDataFrame(est.assign(mean=mean + obs[:, 2].mean(), variance=variance)[["obs_id", "mean", "variance"]])
+    est = parts(spark, sf_dir).select(F.col("obs_id").alias("est_id"), "coords")
+    got = mesh.spde_kriging_at(m, obs[:, :2], obs[:, 2] - obs[:, 2].mean(), est, 9e6, 12.0)
+    return got.select(F.col("est_id").alias("obs_id"), (F.col("mean") + float(obs[:, 2].mean())).alias("mean"), "variance")
 
 
 # --- time series ------------------------------------------------------------------------------------------------------------

@@ -85,12 +85,15 @@ def top_rain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def named_columns(spark: SparkSession, path: str, missing: float = -9998.0) -> DataFrame:
-    """Text with a title, the number of columns, their names line by line, then rows by white space: (line_no, name, value); short rows are left out and values up to ``missing`` null."""
-    rows = lines(spark, path)
-    head = rows.where("line_no = 1").first()
-    n = int(head["line"].split()[0])
-    names = [r["line"].strip() for r in rows.where(f"line_no BETWEEN 2 AND {n + 1}").orderBy("line_no").collect()]
-    parts = rows.where(f"line_no > {n + 1}").select("line_no", F.split(F.trim("line"), r"\s+").alias("p")).where(F.size("p") >= n)
+    """Text with a title, the number of columns, their names line by line, then rows by white space: (line_no, name, value); short rows are left out and values up to ``missing`` null.
+
+    The file is read line by line; ``line_no`` grows with the line, but isn't dense.
+    """
+    rows = spark.read.text(path)
+    n = int(rows.limit(2).collect()[1][0].split()[0])
+    head = [r[0] for r in rows.limit(n + 2).collect()]
+    names = [x.strip() for x in head[2:]]
+    parts = rows.select(F.monotonically_increasing_id().alias("line_no"), "value").where(~F.col("value").isin(head)).select("line_no", F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= n)
     long = parts.select("line_no", F.posexplode(F.slice("p", 1, n)).alias("i", "raw"))
     value = F.col("raw").try_cast("double")
     return long.select("line_no", F.element_at(F.array(*(F.lit(x) for x in names)), F.col("i") + 1).alias("name"), F.when(value > missing, value).alias("value"))

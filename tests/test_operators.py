@@ -111,6 +111,38 @@ def test_mesh(spark):
     assert mean == pytest.approx(z[:5], abs=0.5) and (var > 0).all()
 
 
+def test_mesh_kriging_in_tasks(spark):
+    g = np.random.default_rng(2)
+    at = g.random((30, 2)) * 10
+    values = np.sin(at[:, 0]) + at[:, 1] / 5
+    m = mesh.Mesh.from_points(at, max_edge=1.5)
+    est = g.random((12, 2)) * 10
+    mean, variance = mesh.spde_kriging(m, at, values, est, 1.0, 4.0)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(est)], "est_id long, coords array<double>")
+    got = mesh.spde_kriging_at(m, at, values, table, 1.0, 4.0).orderBy("est_id").toPandas()
+    assert got["mean"].to_numpy() == pytest.approx(mean, abs=1e-6) and got["variance"].to_numpy() == pytest.approx(variance, rel=1e-6)
+
+
+def test_sparse_matrices():
+    g = np.random.default_rng(3)
+    i, j, v = g.integers(0, 20, 60), g.integers(0, 20, 60), g.random(60)
+    a = np.zeros((20, 20))
+    np.add.at(a, (i, j), v)
+    s = network.Csr.of(i, j, v, 20)
+
+    def full(m):
+        out = np.zeros((20, 20))
+        out[m.rows, m.columns] = m.data
+        return out
+
+    assert full(s) == pytest.approx(a) and full(s.times(s)) == pytest.approx(a @ a) and full(s.plus(s, 2.0)) == pytest.approx(3 * a)
+    assert s.dot(np.eye(20)) == pytest.approx(a) and s.diagonal == pytest.approx(np.diag(a))
+    lap = network.Csr.of(*(np.array(x) for x in ([0, 1, 0, 1], [1, 0, 0, 1], [-1.0, -1, 1, 1])), 3)
+    for method in ("regularised", "diffusion"):
+        both = [c.block([0, 2], [0, 1, 2]) for c in (network.SparseNetworkCovariance(lap, 0.8, 2.0, method), network.NetworkCovariance(np.array([[1.0, -1, 0], [-1, 1, 0], [0, 0, 0]]), 0.8, 2.0, method))]
+        assert both[0] == pytest.approx(both[1], abs=1e-10)
+
+
 def test_statistics(spark):
     g = np.random.default_rng(2)
     at = g.random((60, 2)) * 10
@@ -181,6 +213,13 @@ def test_routing_equals_direct_sum(spark):
         assert got[name].to_numpy() == pytest.approx(flow[name], abs=1e-9)
 
 
+def test_no_node_passes_on_less_than_nothing(spark):
+    local = spark.createDataFrame([("a", 0, -5.0), ("a", 1, 2.0), ("b", 0, 1.0), ("b", 1, 1.0), ("c", 0, 0.5), ("c", 1, -9.0)], "node string, step long, v double")
+    links = spark.createDataFrame([("a", "b", 0.0), ("b", "c", 0.0), ("a", "c", 0.0)], "src string, dst string, length double")
+    got = {(r["node"], r["step"]): r["v"] for r in timeseries.routed(local, links, 0.25, 0.5, 0.003).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 2, ("b", 0): 1, ("b", 1): 3, ("c", 0): 1.5, ("c", 1): 0}
+
+
 def test_routing_goes_down_the_longest_path(spark):
     local = spark.createDataFrame([("n00", t, 1.0) for t in range(3)], "node string, step long, v double")
     links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 0.0) for i in range(20)], "src string, dst string, length double")

@@ -71,10 +71,67 @@ def test_strategies_agree(spark):
     def rows(**o):
         return sorted((r["est_id"], r["rank"], r["obs_id"]) for r in neighbors.knn(points, obs, 7, **o).collect())
 
-    assert rows(strategy="blocks") == rows(strategy="rounds")
+    assert rows(strategy="blocks") == rows(strategy="rounds") == rows(strategy="slices")
     assert rows(strategy="blocks", dmax=1.5) == rows(strategy="cells", dmax=1.5) == rows(strategy="rounds", dmax=1.5)
 
 
+def test_slices_in_many_dimensions(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    obs = spark.createDataFrame([(i, [float(a) for a in g.random(6)]) for i in range(200)], "obs_id long, coords array<double>")
+    points = spark.createDataFrame([(i, [float(a) for a in g.random(6)]) for i in range(10)], "est_id long, coords array<double>")
+    want = sorted(map(tuple, neighbors.knn(points, obs, 5).collect()))
+    monkeypatch.setattr(neighbors, "BROADCAST_VALUES", 500)
+    assert sorted(map(tuple, neighbors.knn(points, obs, 5).collect())) == want
+
+
+def _near(a, b):
+    return len(a) == len(b) and all(x.keys() == y.keys() and all(x[k] == pytest.approx(y[k], rel=1e-7, abs=1e-9, nan_ok=True) if isinstance(x[k], float) else x[k] == y[k] for k in x) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("order", [None, 0, 1, 2])
+def test_shared_data_give_what_joined_data_give(spark, order):
+    """Batches that hold all data against the relational way, for hard and soft data, duplicates, points without data and null places."""
+    g = np.random.default_rng(6)
+    hard = spark.createDataFrame([(i, [float(a) for a in g.random(2) * 10], float(g.normal())) for i in range(120)], HARD)
+    s = spark.createDataFrame([(i, [float(a) for a in g.random(2) * 3], softpdf.gaussian(float(g.normal()), 0.4).row()) for i in range(8)], f"soft_id long, coords array<double>, pdf {softpdf.SCHEMA}")
+    places = [[float(a) for a in g.random(2) * 10] for _ in range(30)] + [hard.first()["coords"], [500.0, 500.0], None]
+    points = spark.createDataFrame(list(enumerate(places)), "est_id long, coords array<double>")
+    for data in (None, s):
+        got = [sorted((r.asDict() for r in predict.bme_predict(points, hard, data, Covariance("exponential", [1, 6]), nhmax=6, nsmax=2, dmax=4.0, order=order, n_grid=40, strategy=how, density=False).collect()), key=lambda r: r["est_id"]) for how in ("auto", "cells")]
+        assert _near(*got) and {r["info"] for r in got[0]} >= {"duplicate", "no_data"}
+    hard, s, points = hard.withColumn("t", F.col("obs_id") % 5 * 1.0), s.withColumn("t", F.lit(1.0)), points.where("coords IS NOT NULL").withColumn("t", F.lit(2.0))
+    for exact in (False, True):
+        got = [sorted((r.asDict() for r in predict.bme_predict_st(points, hard, s, SpaceTime("exponential", [1, 6], "exponential", [1, 4]), nhmax=6, nsmax=2, dmax=4.0, tmax=3.0, order=order, n_grid=40, exact=exact, strategy=how, density=False).collect()), key=lambda r: r["est_id"]) for how in ("auto", "joins")]
+        assert _near(*got)
+
+
+def test_space_time_rounds(spark):
+    g = np.random.default_rng(8)
+    obs = [(i, [float(a) for a in g.random(2) * 10], float(g.integers(9))) for i in range(300)]
+    points = [(i, [float(a) for a in g.random(2) * 10], float(g.integers(9))) for i in range(20)]
+    got = neighbors.knn_st(spark.createDataFrame(points, "est_id long, coords array<double>, t double"), spark.createDataFrame(obs, "obs_id long, coords array<double>, t double"), 5, ratio=0.7, exact=True).collect()
+    want = {(e, o): i + 1 for e, x, t in points for i, (_, o) in enumerate(sorted((math.dist(x, y) + 0.7 * abs(t - u), o) for o, y, u in obs)[:5])}
+    assert {(r["est_id"], r["obs_id"]): r["rank"] for r in got} == want
+
+
+def test_a_network_of_20000_nodes(spark):
+    n, kappa = 20_000, 0.5
+    edges = spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(n)).alias("dst"))
+    cov = network.NetworkCovariance.of(edges, n, kappa, 2.0)
+    assert isinstance(cov, network.SparseNetworkCovariance)
+    # On a long ring the covariance falls by a fixed factor with each hop.
+    factor = 1 + kappa**2 / 2 - math.sqrt((1 + kappa**2 / 2) ** 2 - 1)
+    at_0 = 2 / math.sqrt((kappa**2 + 2) ** 2 - 4)
+    assert cov.block([5], [5, 6, 9, 19_999])[0] == pytest.approx([at_0, at_0 * factor, at_0 * factor**4, at_0 * factor**6], rel=1e-8)
+    hard = spark.createDataFrame([(i, i * 100, float(i % 5)) for i in range(200)], "obs_id long, node long, z double")
+    point = spark.createDataFrame([(0, 101), (1, 100)], "est_id long, node long")
+    got = {r["est_id"]: r for r in predict.bme_predict_network(point, hard, None, cov, nhmax=1, order=None).collect()}
+    assert got[0]["kriging_mean"] == pytest.approx(factor, rel=1e-6) and got[0]["kriging_var"] == pytest.approx(at_0 * (1 - factor**2), rel=1e-6) and got[1]["info"] == "duplicate"
+    st = network.NetworkSpaceTime(cov, Covariance("exponential", [1, 3]))
+    timed = predict.bme_predict_network_st(point.withColumn("t", F.lit(0.0)), hard.limit(6).withColumn("t", F.lit(0.0)), None, st, nhmax=1, order=None).collect()
+    assert {r["est_id"]: r["kriging_mean"] for r in timed}[0] == pytest.approx(factor, rel=1e-6)
+
+
 def test_coverage_leave_one_out(spark):
     g = np.random.default_rng(42)
     x = np.linspace(0, 30, 30)
@@ -114,6 +171,13 @@ def test_network(spark):
     assert all(np.isfinite(r["mean"]) for r in timed)
 
 
+def test_yearly_maps_in_parts(spark):
+    rows = spark.createDataFrame([(2000 + i % 2, float(i * 3 % 7), float(i * 5 % 11), float(i)) for i in range(12)], "year long, x double, y double, z double")
+    cells = spark.range(50).select((F.col("id") % 7 + 0.3).alias("x"), (F.floor(F.col("id") / 7) + 0.4).alias("y"))
+    one, many = (sorted(map(tuple, predict.yearly_kriging(rows, cells, Covariance("exponential", [1, 10]), n).collect())) for n in (1000, 9))
+    assert len(one) == 100 and one == [pytest.approx(x) for x in many]
+
+
 def test_yearly_maps(spark):
     rows = spark.createDataFrame([(2000, 0.0, 0.0, 1.0), (2000, 5.0, 0.0, 2.0), (2000, 0.0, 5.0, 3.0), (2001, 0.0, 0.0, 1.0)], "year long, x double, y double, z double")
     got = {(r["year"], r["x"]): r for r in predict.yearly_kriging(rows, spark.createDataFrame([(0.0, 0.0), (9.0, 9.0)], "x double, y double"), Covariance("exponential", [1, 10])).collect()}
