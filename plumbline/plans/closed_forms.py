@@ -375,11 +375,11 @@ def mesh_params(spark, sf_dir):
 
 
 @query("hourly_bins", """WITH e AS (SELECT (user_id % 3)::BIGINT AS node, floor((epoch_us(ts) - 1704067200000000) / 900e6)::BIGINT AS step, avg(value) AS v FROM events GROUP BY 1, 2)
- SELECT node, (step // 4)::BIGINT AS hour, round(avg(v), 4) AS v FROM e GROUP BY 1, 2 HAVING count(*) = 4""")
+ SELECT node, (step // 4)::BIGINT AS hour, round(avg(v), 6) AS v FROM e GROUP BY 1, 2 HAVING count(*) = 4""")
 def hourly_bins(spark, sf_dir):
     """The operator that averages series of quarter-hours by complete hour, on the events of three sites."""
     e = events(spark, sf_dir).groupBy(F.pmod("user_id", F.lit(3)).cast("long").alias("node"), F.floor(F.col("t") * 4).alias("step")).agg(F.avg("value").alias("v"))
-    return timeseries.hourly_means(e, ["node"], 4).select("node", F.col("hour").cast("long").alias("hour"), r("v", 4).alias("v"))
+    return timeseries.hourly_means(e, ["node"], 4).select("node", F.col("hour").cast("long").alias("hour"), r("v").alias("v"))
 
 
 def _dry_sql() -> str:

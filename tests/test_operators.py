@@ -123,6 +123,21 @@ def test_mesh_kriging_in_tasks(spark):
     assert got["mean"].to_numpy() == pytest.approx(mean, abs=1e-6) and got["variance"].to_numpy() == pytest.approx(variance, rel=1e-6)
 
 
+def test_a_fit_of_blocks_is_near_the_whole(monkeypatch):
+    g = np.random.default_rng(1)
+    at = g.random((240, 2)) * 20
+    z = np.linalg.cholesky(Covariance("exponential", [2.0, 6.0]).matrix(at, at) + 0.1 * np.eye(240)) @ g.standard_normal(240) + 5
+    whole = statistics.fit_arrays(at, z)
+    assert sorted(np.concatenate(statistics._blocks(at, 50)).tolist()) == list(range(240)) and max(map(len, statistics._blocks(at, 50))) <= 50
+    monkeypatch.setattr(statistics, "FIT_POINTS", 100)
+    monkeypatch.setattr(statistics, "FIT_BLOCK", 90)
+    parts = statistics.fit_arrays(at, z)
+    assert 0.5 < parts["sill"] / whole["sill"] < 2 and 0.4 < parts["range"] / whole["range"] < 2.5
+    monkeypatch.setattr(statistics, "FIT_MOST", 200)
+    with pytest.raises(ValueError):
+        statistics.fit_arrays(at, z)
+
+
 def test_sparse_matrices():
     g = np.random.default_rng(3)
     i, j, v = g.integers(0, 20, 60), g.integers(0, 20, 60), g.random(60)
