@@ -83,7 +83,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     t = t.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
     rest = " - ".join(["chars", *(f"c{i}" for i in range(len(CLASSES)))])
     t = t.withColumn("classes", F.expr(f"transform(array({', '.join(f'c{i}' for i in range(len(CLASSES)))}, {rest}), x -> CAST(x AS DOUBLE))"))
-    t = t.withColumns({f"w_{w}": F.expr(f"CAST(size(common) - size(array_remove(common, '{w}')) AS DOUBLE)") for w in words}).drop("common")
+    # One string with a space of its own on either side of each word: what is lost with a word's removal tells how often it stands there.
+    t = t.withColumn("joined", F.expr("concat(' ', array_join(common, '  '), ' ')")).drop("common")
+    t = t.withColumns({f"w_{w}": F.expr(f"CAST((octet_length(joined) - octet_length(replace(joined, ' {w} ', ''))) DIV {len(w) + 2} AS DOUBLE)") for w in words}).drop("joined")
     for lang, ws in COMMON_WORDS.items():
         t = t.withColumn(f"words_{lang}", F.expr(f"array({', '.join(f'w_{w}' for w in ws)}, n_words - ({' + '.join(f'w_{w}' for w in ws)}))"))
     near = " OR ".join(
