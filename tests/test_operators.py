@@ -235,6 +235,14 @@ def test_no_node_passes_on_less_than_nothing(spark):
     assert got == {("a", 0): 0, ("a", 1): 2, ("b", 0): 1, ("b", 1): 3, ("c", 0): 1.5, ("c", 1): 0}
 
 
+def test_a_filter_reaches_routed_flow(spark):
+    """Flow of several rounds, then noise, hourly means and a filter by the hour, as the synthetic network has them."""
+    links = spark.createDataFrame(timeseries.LINKS, "src string, dst string, length double")
+    flow = timeseries.routed(timeseries.local_inflow(spark, "truth", 20, 0.25).select("node", "step", "v"), links, 0.25, *timeseries.TRAVEL["truth"])
+    means = timeseries.hourly_means(timeseries.process_noise(flow), ["node"], 4)
+    assert means.where(F.col("hour").between(1, 3)).count() == 3 * len(timeseries.NODES)
+
+
 def test_routing_goes_down_the_longest_path(spark):
     local = spark.createDataFrame([("n00", t, 1.0) for t in range(3)], "node string, step long, v double")
     links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 0.0) for i in range(20)], "src string, dst string, length double")
