@@ -39,3 +39,9 @@ def test_entry(spark):
 def test_fit_is_of_the_plane_with_all_models(spark):
     got = queries.QUERIES["fit"](spark, SF).collect()
     assert sorted((r["group"], r["model"]) for r in got) == [(f"{x} 0", m) for x in range(5) for m in ("exponential", "gaussian", "spherical")]
+
+
+def test_synthetic_network_has_all_nodes_and_hours(spark):
+    got = [(r["node_id"], r["hour"]) for r in queries.QUERIES["synthetic_network"](spark, SF).collect()]
+    first = min(h for _, h in got)
+    assert sorted(got) == [(n, h) for n in range(11) for h in range(first, first + 36)]
