@@ -470,7 +470,7 @@ def _verified(tokens: DataFrame, groups: DataFrame, pairs: DataFrame, num: int,
     links = cut(local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
     large = cut(placed.where("part > 0").select("coarse").distinct())
     if not large.isEmpty():
-        of_large = cut(placed.join(large, "coarse").join(groups.select("node", "group"), "node"))
+        of_large = cut(placed.join(large, "coarse").join(groups.select("node", "n", "group"), "node"))
         found = cut(local.join(large, "coarse"))
         across, inside = _across(tokens, of_large, pairs, found, num, den, group_tokens), links
         links = cut(inside.union(across))
@@ -485,14 +485,17 @@ def _grouped(tokens: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _across(tokens: DataFrame, placed: DataFrame, pairs: DataFrame, local: DataFrame, num: int, den: int, group_tokens: int) -> DataFrame:
-    """A table of links between the parts of coarse groups that one task can't hold; ``placed`` is (coarse, part, node, group) and ``local`` what each part has found."""
+    """A table of links between the parts of coarse groups that one task can't hold; ``placed`` is (coarse, part, node, n, group) and ``local`` what each part has found.
+
+    ``tokens`` are those of all coarse groups: only rows of sets that a round needs are shuffled.
+    """
     known = local.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).union(placed.where("node <> group").select("node", "group"))
     labels = components(known)
     # First one set of each class found so far meets the others', which joins most parts of a class.
     labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    hubs = labelled.where("node = label").join(tokens.select("node", (F.octet_length("tokens") / 8).alias("n")), "node").select("coarse", "node", "n")
-    near = cut(_grouped(tokens.join(_parted(hubs, group_tokens), "node"), num, den).where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    discard(labels)
+    hubs = cut(_parted(labelled.where("node = label").select("coarse", "node", "n"), group_tokens))
+    near = cut(_grouped(matched(tokens, "node", hubs), num, den).where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    discard(labels, hubs)
     labels = components(known.union(near))
     labelled = cut(placed.join(labels, "node", "left").select("coarse", "part", "node", "group", F.coalesce("component", "node").alias("label")))
     # Then groups of different classes meet, by the pairs that may link: one's sets go to the parts of the other. A chained
@@ -506,11 +509,11 @@ def _across(tokens: DataFrame, placed: DataFrame, pairs: DataFrame, local: DataF
     to_all = chained.join(largest, "coarse").where("label <> top").select("coarse", "node").join(labelled.select("coarse", "part").distinct(), "coarse").select("coarse", "part", "node")
     visits = cut(by_pair.union(to_all).distinct())
     roles = visits.join(labelled.select("node", "label"), "node").select("coarse", "part", F.lit(True).alias("is_query"), "node", "label")
-    roles = roles.union(labelled.join(visits.select("coarse", "part").distinct(), ["coarse", "part"]).select("coarse", "part", F.lit(False).alias("is_query"), "node", "label"))
-    dealt = roles.join(tokens, "node").select("coarse", "part", "is_query", "node", "label", "tokens").repartition("coarse", "part").sortWithinPartitions("coarse", "part", "is_query", "node")
+    roles = cut(roles.union(labelled.join(visits.select("coarse", "part").distinct(), ["coarse", "part"]).select("coarse", "part", F.lit(False).alias("is_query"), "node", "label")))
+    dealt = matched(tokens, "node", roles).select("coarse", "part", "is_query", "node", "label", "tokens").repartition("coarse", "part").sortWithinPartitions("coarse", "part", "is_query", "node")
     far = dealt.mapInArrow(_query_parts(num, den), "a long, b long")
     out = cut(near.union(far))
-    discard(near, labels, labelled, visits)
+    discard(near, labels, labelled, visits, roles)
     return out
 
 

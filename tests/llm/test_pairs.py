@@ -64,6 +64,43 @@ def test_common_signatures(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == classes(rows, 4, 85, 100)
 
 
+def test_a_coarse_group_in_parts_shuffles_its_own_tokens_alone(spark, monkeypatch):
+    """One family that no task holds, among many small ones: what its parts exchange is less than a quarter of all tokens."""
+    g = random.Random(7)
+
+    def changed(words, n):
+        return [g.randrange(10**6) if i in at else w for at in [g.sample(range(len(words)), n)] for i, w in enumerate(words)]
+
+    base = g.sample(range(10**6), 300)
+    texts = [changed(base, 4) for _ in range(10)]
+    for _ in range(300):
+        pair = g.sample(range(10**6), 90)
+        texts += [pair, changed(pair, 1)]
+    rows = [(i, " ".join(map(str, t))) for i, t in enumerate(texts)]
+    store, across, found = spark.sparkContext._jsc.sc().statusStore(), jj._across, []
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        seen = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {seen.apply(i).stageId(): seen.apply(i).shuffleWriteBytes() for i in range(seen.size())}
+
+    def measured(tokens, *more):
+        before, out = stages(), across(tokens, *more)
+        found.append((sum(n for i, n in stages().items() if i not in before), sum(len(r["tokens"]) for r in tokens.collect())))
+        return out
+
+    monkeypatch.setattr(jj, "_across", measured)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, group_tokens=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(map(tuple, got), key=str) == classes(rows, 4, 85, 100)
+    (shuffled, whole), = found
+    assert shuffled < whole / 4
+
+
 def test_odd_documents(odd, none):
     got = sorted(map(tuple, jj.jaccard_classes(odd, 4, 85, 100).collect()), key=str)
     want = classes([(r["doc_id"], r["text"]) for r in odd.collect()], 4, 85, 100)
