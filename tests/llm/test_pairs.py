@@ -64,7 +64,8 @@ def test_common_signatures(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == classes(rows, 4, 85, 100)
 
 
-def test_a_coarse_group_in_parts_shuffles_its_own_tokens_alone(spark, monkeypatch):
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_a_coarse_group_in_parts_shuffles_its_own_tokens_alone(spark, monkeypatch, k, num):
     """One family that no task holds, among many small ones: what its parts exchange is less than a quarter of all tokens."""
     g = random.Random(7)
 
@@ -93,10 +94,10 @@ def test_a_coarse_group_in_parts_shuffles_its_own_tokens_alone(spark, monkeypatc
     broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, group_tokens=1000).collect()
+        got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100, group_tokens=1000).collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-    assert sorted(map(tuple, got), key=str) == classes(rows, 4, 85, 100)
+    assert sorted(map(tuple, got), key=str) == classes(rows, k, num, 100)
     (shuffled, whole), = found
     assert shuffled < whole / 4
 
